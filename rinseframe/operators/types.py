@@ -10,12 +10,12 @@ from rinseframe.functions.columns import (
     as_double,
     col,
     data_type,
-    empty_as_null,
     is_datetime,
     is_numeric,
     is_string,
     replace_columns,
 )
+from rinseframe.functions.text import cell_text
 
 # Text layouts tried in this order when no format is given.
 DATETIME_FORMATS = [
@@ -37,33 +37,6 @@ DATETIME_FORMATS = [
 ]
 
 
-def _number_text(x: Column) -> Column:
-    """Shortest decimal text: plain digits for 1e-4 <= |x| < 1e16, else like 1e+16."""
-    text = x.cast("string")
-    plain = F.regexp_replace(x.cast("string").cast("decimal(38,22)").cast("string"), "0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    mantissa = F.regexp_replace(F.regexp_extract(text, "^([^E]+)E", 1), r"\.0$", "")
-    exponent = F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
-    power = F.concat(
-        F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0")
-    )
-    magnitude = F.abs(x)
-    return (
-        F.when(~text.contains("E"), text)
-        .when((magnitude >= 1e-4) & (magnitude < 1e16), plain)
-        .otherwise(F.concat(mantissa, power))
-    )
-
-
-def _to_string(df: DataFrame, name: str) -> Column:
-    dtype = data_type(df, name)
-    if isinstance(dtype, T.DoubleType):
-        return _number_text(empty_as_null(df, name))
-    if isinstance(dtype, T.BooleanType):
-        return F.when(col(name), "True").when(~col(name), "False")
-    return empty_as_null(df, name).cast("string")
-
-
 def _to_double(df: DataFrame, name: str, errors: str) -> Column:
     dtype = data_type(df, name)
     if isinstance(dtype, T.StringType):
@@ -110,7 +83,7 @@ def change_type(
     """
     data_type(df, column)
     if new_type == "string":
-        changed = _to_string(df, column)
+        changed = cell_text(df, column)
     elif new_type == "float":
         changed = _to_double(df, column, errors)
     elif new_type == "int":
