@@ -2,18 +2,20 @@
 
 Pairs within edit distance k are found by equi-joins on blocking keys that miss
 none of them; a bounded Levenshtein check on the joined rows then removes the
-false ones. There is no cross join and no cap on candidates.
-
-* Short strings: two strings within distance k share a string left after deleting
-  at most k characters from each (deletion neighbourhood). How many strings can
-  share one is bounded by the alphabet, not by the table. For a large k, where a
-  string has too many such variants, they share a character instead, or are both
-  so short that every pair belongs to the result.
-* Long strings: cut the shorter one into more than k pieces. k edits leave at least
-  one of any k+1 pieces whole, and it occurs in the longer string shifted by at
-  most k. Of each string the k+1 pieces kept are those that are not frequent, so
-  text shared by many strings (a template, a common prefix) does not become a key
-  unless there is nothing else to choose.
+false ones. There is no cross join and no cap on candidates. A pair is found
+through its shorter string (by text among equal lengths), in one of two ways:
+
+* Pieces: cut the string into more than k pieces. k edits leave at least one of any
+  k+1 pieces whole, and it occurs in the longer string shifted by at most k. Kept
+  as keys are the k+1 pieces that fewest strings share.
+* Deletion variants: both strings have a common text left after deleting at most k
+  characters from each. How many strings share a variant is bounded by the
+  alphabet, not by the table, but a string has many of them. They serve strings
+  too short for pieces, and strings whose pieces are all shared by so many others
+  (a template with a running number) that variants are fewer than candidates.
+
+For a large k, where even short strings have too many variants, strings of up to k
+characters are paired directly: all pairs of them belong to the result.
 """
 
 from __future__ import annotations
@@ -29,22 +31,29 @@ from rinseframe.plans.lineage import cut_lineage, shuffle_partitions
 # Deletion variants one string may have, and the longest string they are built for.
 MAX_VARIANTS = 5000
 MAX_VARIANT_LENGTH = 256
-# Pieces per needed piece, and the least length of one.
+# Variants of all strings together below which no other keys are considered.
+FEW_VARIANTS = 1_000_000
+# Pieces cut per piece needed, and the least length of one.
 SPARE_PIECES = 4
 MIN_PIECE = 3
-# Hash classes in which piece frequencies are counted, and the share making one frequent.
-FREQUENCY_CLASSES = 1 << 16
-FREQUENT_SHARE = 1 / 4096
 
 
-def _short_length(k: int) -> int:
-    """Longest length of the shorter string for which deletion variants are used, 0 for none."""
-    longest = 0
-    for partner in range(2 * k, MAX_VARIANT_LENGTH + 1):
-        if sum(comb(partner, i) for i in range(k + 1)) > MAX_VARIANTS:
-            break
-        longest = partner - k
-    return longest
+def _variant_count(length: int, k: int) -> int:
+    return sum(comb(length, i) for i in range(k + 1))
+
+
+def _variant_limit(k: int) -> int:
+    """Longest shorter string of a pair that variants can serve, 0 for none."""
+    lengths = range(2 * k, MAX_VARIANT_LENGTH + 1)
+    fitting = [partner - k for partner in lengths if _variant_count(partner, k) <= MAX_VARIANTS]
+    return max(fitting, default=0)
+
+
+def _direct_limit(k: int) -> int:
+    """Longest string that has no more variants than a string may have look-ups for pieces."""
+    look_ups = SPARE_PIECES * (k + 1) * (k + 1) ** 2
+    fitting = [length for length in range(k, _variant_limit(k) + 1) if _variant_count(length, k) <= look_ups]
+    return max(fitting, default=k)
 
 
 def distinct_values(df: DataFrame, column: str, order_col: str | None = None) -> DataFrame:
@@ -77,38 +86,38 @@ def _deletion_variants(v: Column, k: int) -> Column:
     return F.array_distinct(variants)
 
 
-def _pair_columns(a: str, b: str) -> list[Column]:
-    """The two sides of a pair, earlier first position first."""
-    swap = (F.col(f"{b}.f") < F.col(f"{a}.f")) | ((F.col(f"{b}.f") == F.col(f"{a}.f")) & (F.col(f"{b}.v") < F.col(f"{a}.v")))
-    first = F.when(swap, F.col(b)).otherwise(F.col(a))
-    second = F.when(swap, F.col(a)).otherwise(F.col(b))
-    return [first.alias("a"), second.alias("b")]
-
-
 def _string() -> Column:
     return F.struct("v", "n", "f").alias("s")
 
 
-def _sides(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The keyed strings (s, h) once as left and once as right side of a self-join."""
+def _shorter(a: str, b: str) -> Column:
+    """Whether a pair is found through its string ``a``."""
+    a_length, b_length = F.length(f"{a}.v"), F.length(f"{b}.v")
+    return (a_length < b_length) | ((a_length == b_length) & (F.col(f"{a}.v") < F.col(f"{b}.v")))
+
+
+def _close(a: str, b: str, k: int) -> Column:
+    return _shorter(a, b) & (F.levenshtein(f"{a}.v", f"{b}.v", k) >= 0)
+
+
+def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(s, h) tables as the two sides of a join on h."""
     return (
-        keyed.select(F.col("s").alias("l"), F.col("h").alias("lh")),
-        keyed.select(F.col("s").alias("r"), F.col("h").alias("rh")),
+        left.select(F.col("s").alias("l"), F.col("h").alias("lh")),
+        right.select(F.col("s").alias("r"), F.col("h").alias("rh")),
     )
 
 
-def _variant_pairs(values: DataFrame, k: int, longest: int) -> DataFrame:
-    """Pairs whose shorter string has at most ``longest`` characters."""
-    variants = F.explode(_deletion_variants(F.col("v"), k)).alias("variant")
-    keyed = values.where(F.length("v") <= longest + k).select(_string(), variants)
-    left, right = _sides(keyed.select("s", F.xxhash64("variant").alias("h")))
-    close = (
-        (F.col("lh") == F.col("rh"))
-        & (F.col("l.v") < F.col("r.v"))
-        & (F.least(F.length("l.v"), F.length("r.v")) <= longest)
-        & (F.levenshtein("l.v", "r.v", k) >= 0)
-    )
-    return left.join(right, close).select("l", "r").distinct()
+def _variant_pairs(shorter: DataFrame, values: DataFrame, lengths: list[int], k: int) -> DataFrame:
+    """Pairs found through ``shorter``, whose strings have the given lengths."""
+    partners = sorted({length + d for length in lengths for d in range(k + 1)})
+
+    def keyed(strings: DataFrame) -> DataFrame:
+        variants = F.explode(_deletion_variants(F.col("v"), k)).alias("variant")
+        return strings.select(_string(), variants).select("s", F.xxhash64("variant").alias("h"))
+
+    left, right = _sides(keyed(shorter), keyed(values.where(F.length("v").isin(partners))))
+    return left.join(right, (F.col("lh") == F.col("rh")) & _close("l", "r", k)).select("l", "r").distinct()
 
 
 def _tiny_pairs(values: DataFrame, k: int) -> DataFrame:
@@ -120,17 +129,14 @@ def _tiny_pairs(values: DataFrame, k: int) -> DataFrame:
     """
     tiny, others = values.where(F.length("v") <= k), values.where(F.length("v").between(k + 1, 2 * k))
     blocks = shuffle_partitions(values.sparkSession)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("h")
     dealt = tiny.select(_string(), F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("h"))
-    copied = tiny.select(_string(), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("h"))
-    both = _sides(dealt)[0].join(
-        _sides(copied)[1], (F.col("lh") == F.col("rh")) & (F.col("l.v") < F.col("r.v"))
-    )
+    left, right = _sides(dealt, tiny.select(_string(), every))
+    both = left.join(right, (F.col("lh") == F.col("rh")) & _shorter("l", "r")).select("l", "r")
     letters = F.explode(F.array_distinct(F.split("v", ""))).alias("h")
-    mixed = _sides(tiny.select(_string(), letters))[0].join(
-        _sides(others.select(_string(), letters))[1],
-        (F.col("lh") == F.col("rh")) & (F.levenshtein("l.v", "r.v", k) >= 0),
-    )
-    return both.select("l", "r").unionByName(mixed.select("l", "r").distinct())
+    left, right = _sides(tiny.select(_string(), letters), others.select(_string(), letters))
+    mixed = left.join(right, (F.col("lh") == F.col("rh")) & _close("l", "r", k)).select("l", "r").distinct()
+    return both.unionByName(mixed)
 
 
 def _pieces(length: Column, k: int) -> Column:
@@ -148,92 +154,132 @@ def _piece_hash(length: Column, i: Column, text: Column) -> Column:
     return F.xxhash64(length, i, text)
 
 
-def _long_candidates(values: DataFrame, k: int, longest: int) -> DataFrame:
-    """(i, j) ids of strings longer than ``longest`` sharing a kept piece."""
-    texts = values.where(F.length("v") > longest).select("v", F.md5("v").alias("id"), F.length("v").alias("len"))
+def _kept_pieces(texts: DataFrame, k: int) -> DataFrame:
+    """(id, len, cost, keys): the k+1 least shared pieces, cost being how many strings share them."""
 
-    def own_piece(i: Column) -> Column:
+    def piece(i: Column) -> Column:
         start, end = (_piece_start(F.col("len"), _pieces(F.col("len"), k), j) for j in (i, i + 1))
-        text = F.substr(F.col("v"), start + 1, end - start)
-        return F.struct(_piece_hash(F.col("len"), i, text).alias("h"), i.alias("i"))
-
-    own = texts.select(
-        "id", "len", F.transform(F.sequence(F.lit(0), _pieces(F.col("len"), k) - 1), own_piece).alias("own")
-    )
-    frequent = _frequent_classes(own.select(F.explode("own.h").alias("h")))
-    ranked = F.transform(
-        "own",
-        lambda p: F.struct((F.pmod(p["h"], F.lit(FREQUENCY_CLASSES))).isin(frequent).alias("often"), p["i"].alias("i"), p["h"].alias("h")),
-    )
-    kept = own.select("id", "len", F.explode(F.slice(F.array_sort(ranked), 1, k + 1)).alias("p")).select(
-        F.col("id").alias("i"), F.col("len").alias("i_len"), F.col("p.h").alias("h")
-    )
+        return _piece_hash(F.col("len"), i, F.substr(F.col("v"), start + 1, end - start))
 
-    # the longer string looks for pieces of every length it may be matched with
-    probes = [_probe_hashes(shorter_by, k, longest) for shorter_by in range(k + 1)]
-    looked_up = texts.select(F.col("id").alias("j"), F.col("len").alias("j_len"), F.explode(F.flatten(F.array(*probes))).alias("h2"))
-    once = (F.col("i_len") < F.col("j_len")) | (F.col("i") < F.col("j"))
+    hashes = F.transform(F.sequence(F.lit(0), _pieces(F.col("len"), k) - 1), piece)
+    own = texts.select("id", "len", F.explode(hashes).alias("h"))
+    shared = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "h"))), 1, k + 1)
     return (
-        kept.join(looked_up, (F.col("h") == F.col("h2")) & once & (F.col("i_len") <= F.col("j_len")))
-        .select("i", "j")
-        .distinct()
+        own.join(shared, "h")
+        .groupBy("id", "len")
+        .agg(rarest.alias("kept"))
+        .select(
+            "id",
+            "len",
+            F.aggregate("kept", F.lit(0).cast("bigint"), lambda total, p: total + p["n"]).alias("cost"),
+            F.transform("kept", lambda p: p["h"]).alias("keys"),
+        )
     )
 
 
-def _probe_hashes(shorter_by: int, k: int, longest: int) -> Column:
-    """Hashes under which pieces of strings shorter by ``shorter_by`` may occur here."""
-    length = F.col("len") - shorter_by
-    pieces = _pieces(length, k)
-    # shifts s with |s| + |shorter_by - s| <= k
-    first, last = -((k - shorter_by) // 2), (k + shorter_by) // 2
-
-    def window(i: Column) -> Column:
-        """The text a piece may lie in, taken from the string once for all shifts."""
-        start, end = _piece_start(length, pieces, i), _piece_start(length, pieces, i + 1)
-        origin = F.greatest(start + first, F.lit(0))
-        return F.struct(
-            i.alias("i"),
-            start.alias("start"),
-            end.alias("end"),
-            origin.alias("origin"),
-            F.substr(F.col("v"), origin + 1, end + last - origin).alias("text"),
-        )
-
-    def hashes(w: Column) -> Column:
-        def at(shift: int) -> Column:
-            fits = (w["start"] + shift >= 0) & (w["end"] + shift <= F.col("len"))
-            text = F.substr(w["text"], w["start"] + shift - w["origin"] + 1, w["end"] - w["start"])
-            return F.when(fits, _piece_hash(length, w["i"], text))
+def _probe_hashes(k: int, direct: int) -> Column:
+    """Hashes under which pieces of shorter (or equally long) strings may occur in a string."""
+
+    def in_string_of(length: Column, shorter_by: Column) -> Column:
+        pieces = _pieces(length, k)
+        # shifts s with |s| + |shorter_by - s| <= k
+        first = -F.floor((F.lit(k) - shorter_by) / 2).cast("int")
+        last = F.floor((F.lit(k) + shorter_by) / 2).cast("int")
+
+        def window(i: Column) -> Column:
+            """The text a piece may lie in, taken from the string once for all shifts."""
+            start, end = _piece_start(length, pieces, i), _piece_start(length, pieces, i + 1)
+            origin = F.greatest(start + first, F.lit(0))
+            return F.struct(
+                i.alias("i"),
+                start.alias("start"),
+                end.alias("end"),
+                origin.alias("origin"),
+                F.substr(F.col("v"), origin + 1, end + last - origin).alias("text"),
+            )
 
-        return F.array(*[at(shift) for shift in range(first, last + 1)])
+        def hashes(w: Column) -> Column:
+            def at(shift: Column) -> Column:
+                fits = (w["start"] + shift >= 0) & (w["end"] + shift <= F.col("len"))
+                text = F.substr(w["text"], w["start"] + shift - w["origin"] + 1, w["end"] - w["start"])
+                return F.when(fits, _piece_hash(length, w["i"], text))
 
-    found = F.flatten(F.transform(F.transform(F.sequence(F.lit(0), pieces - 1), window), hashes))
-    return F.when(length > longest, F.array_compact(F.array_distinct(found))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+            return F.transform(F.sequence(first, last), at)
 
+        return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), pieces - 1), window), hashes))
 
-def _frequent_classes(hashes: DataFrame) -> list[int]:
-    """Hash classes holding more than their share of pieces: at most 1/share of them."""
-    counts = hashes.groupBy(F.pmod("h", F.lit(FREQUENCY_CLASSES)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
-    often = counts.withColumn("share", share).where((F.col("share") > FREQUENT_SHARE) & (F.col("n") > 16))
-    return [row["c"] for row in often.select("c").collect()]
+    longest_gap = F.least(F.lit(k), F.col("len") - direct - 1)
+    by_gap = F.transform(F.sequence(F.lit(0), longest_gap), lambda d: in_string_of(F.col("len") - d, d))
+    return F.array_compact(F.array_distinct(F.flatten(by_gap)))
 
 
-def _long_pairs(values: DataFrame, k: int, longest: int) -> DataFrame:
-    texts = values.where(F.length("v") > longest).select(_string(), F.md5("v").alias("id"))
-    left = texts.select(F.col("s").alias("l"), F.col("id").alias("i"))
-    right = texts.select(F.col("s").alias("r"), F.col("id").alias("j"))
+def _piece_pairs(kept: DataFrame, texts: DataFrame, k: int, direct: int) -> DataFrame:
+    """Pairs found through the strings of ``kept``, all longer than ``direct``."""
+    index = kept.select(F.col("id").alias("i"), F.col("len").alias("i_len"), F.explode("keys").alias("h"))
+    probes = F.explode(_probe_hashes(k, direct)).alias("h2")
+    looked_up = texts.select(F.col("id").alias("j"), F.col("len").alias("j_len"), probes)
+    same = (F.col("h") == F.col("h2")) & (F.col("i_len") <= F.col("j_len")) & (F.col("i") != F.col("j"))
+    left = texts.select(_string().alias("l"), F.col("id").alias("i"))
+    right = texts.select(_string().alias("r"), F.col("id").alias("j"))
     return (
-        _long_candidates(values, k, longest)
+        index.join(looked_up, same)
+        .select("i", "j")
+        .distinct()
         .join(left, "i")
         .join(right, "j")
-        .where(F.levenshtein("l.v", "r.v", k) >= 0)
+        .where(_close("l", "r", k))
         .select("l", "r")
     )
 
 
+def _pairs(df: DataFrame, column: str, k: int, order_col: str | None) -> DataFrame:
+    """(a, b, distance) with a and b structs (v, n, f), the one of first position first."""
+    values = distinct_values(df, column, order_col)
+    if not is_string(df, column) or k < 1:
+        found = values.limit(0).select(_string().alias("l"), _string().alias("r"))
+    else:
+        # read by several branches; few strings can mean much work, so they are spread out
+        # (by a hash of their own: a partitioning like that of the grouping would be merged into it)
+        values = cut_lineage(values.repartition(shuffle_partitions(df.sparkSession), F.xxhash64("v")))
+        found = _found_pairs(values, k)
+    swap = (F.col("r.f") < F.col("l.f")) | ((F.col("r.f") == F.col("l.f")) & (F.col("r.v") < F.col("l.v")))
+    return found.select(
+        F.when(swap, F.col("r")).otherwise(F.col("l")).alias("a"),
+        F.when(swap, F.col("l")).otherwise(F.col("r")).alias("b"),
+    ).withColumn("distance", F.levenshtein("a.v", "b.v"))
+
+
+def _found_pairs(values: DataFrame, k: int) -> DataFrame:
+    limit = _variant_limit(k)
+    texts = values.select("v", "n", "f", F.md5("v").alias("id"), F.length("v").alias("len"))
+    if limit < k:
+        long_texts = texts.where(F.col("len") > k)
+        return _tiny_pairs(values, k).unionByName(_piece_pairs(_kept_pieces(long_texts, k), long_texts, k, k))
+    # strings by length, all that variants cannot serve as one: at most ``limit`` + k + 2 rows
+    counted = texts.groupBy(F.least("len", F.lit(limit + k + 1)).alias("len")).agg(F.count(F.lit(1)).alias("n"))
+    by_length = {row["len"]: row["n"] for row in counted.collect()}
+    rows = sum(n * _variant_count(length, k) for length, n in by_length.items() if length <= limit + k)
+    direct = limit if rows <= FEW_VARIANTS else _direct_limit(k)
+
+    shorter = texts.where(F.col("len") <= direct)
+    lengths = {length for length in by_length if length <= direct}
+    found = None
+    if any(length > direct for length in by_length):
+        long_texts = texts.where(F.col("len") > direct)
+        variants = F.lit([_variant_count(length, k) for length in range(limit + 1)])
+        dear = (F.col("len") <= limit) & (F.col("cost") > F.get(variants, F.col("len")))
+        kept = cut_lineage(_kept_pieces(long_texts, k).withColumn("by_variants", F.coalesce(dear, F.lit(False))))
+        found = _piece_pairs(kept.where("not by_variants"), long_texts, k, direct)
+        crowded = kept.where("by_variants").select("id", "len")
+        lengths |= {row["len"] for row in crowded.select("len").distinct().collect()}
+        shorter = shorter.unionByName(long_texts.join(crowded.select("id"), "id", "left_semi").select(*texts.columns))
+    if lengths:
+        by_variants = _variant_pairs(shorter, values, sorted(lengths), k)
+        found = by_variants if found is None else found.unionByName(by_variants)
+    return found if found is not None else values.limit(0).select(_string().alias("l"), _string().alias("r"))
+
+
 def similar_pairs(
     df: DataFrame, column: str, threshold: int, order_col: str | None = None
 ) -> DataFrame:
@@ -243,24 +289,6 @@ def similar_pairs(
     )
 
 
-def _pairs(df: DataFrame, column: str, k: int, order_col: str | None) -> DataFrame:
-    values = distinct_values(df, column, order_col)
-    if not is_string(df, column) or k < 1:
-        found = values.limit(0).select(F.struct("v", "n", "f").alias("l"), F.struct("v", "n", "f").alias("r"))
-    else:
-        longest = _short_length(k)
-        # read by several branches; few strings can mean much work, so they are spread out
-        values = cut_lineage(values.repartition(shuffle_partitions(df.sparkSession), "v"))
-        if longest >= k:
-            found = _variant_pairs(values, k, longest)
-        else:
-            longest = k
-            found = _tiny_pairs(values, k)
-        if not values.where(F.length("v") > longest).isEmpty():
-            found = found.unionByName(_long_pairs(values, k, longest))
-    return found.select(*_pair_columns("l", "r")).withColumn("distance", F.levenshtein("a.v", "b.v"))
-
-
 def find_duplicates(
     df: DataFrame, column: str, threshold: int, order_col: str | None = None
 ) -> DataFrame:

@@ -23,7 +23,7 @@ AGGREGATES = {
     "std": F.stddev_samp,
 }
 
-# Rows that may lie between the bounds of a quantile before they are narrowed again.
+# Rows that may lie between the bounds of all quantiles of a column before they are narrowed.
 SPAN_ROWS = 2_000_000
 
 
@@ -75,14 +75,14 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of several columns.
 
-    Two passes for any data size: a quantile sketch bounds each wanted value from
-    both sides, then only values between the bounds are counted one by one and
-    the rest fold into one group per gap. Should the bounds still hold too many
-    rows, the sketch is run again between them first.
+    A quantile sketch bounds each wanted value from both sides; the rows below and
+    between the bounds are counted, and only values between them are counted one by
+    one. Should the bounds still hold too many rows, the sketch is first run again
+    between them. What one task ranks is bounded by ``SPAN_ROWS``, whatever the table.
     """
     if not names:
         return {}
-    accuracy = max(10_000, 20 * len(probabilities))
+    accuracy = max(1_000, 20 * len(probabilities))
     margin = margin or 2.0 / accuracy
     points = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-margin, margin)})
     row = df.agg(
@@ -98,7 +98,7 @@ def quantiles(
         ranks[name] = {r for p in probabilities for r in _neighbour_ranks(totals[name], p)}
         spans[name] = _merge([(sketch[max(0.0, p - margin)], sketch[min(1.0, p + margin)]) for p in probabilities])
         rows = totals[name]
-        while rows * 4 * margin > SPAN_ROWS:
+        while rows * 4 * margin * len(spans[name]) > SPAN_ROWS:
             spans[name], inside = _narrow(df, name, spans[name], sorted(ranks[name]), accuracy)
             if inside > rows / 2:
                 break
@@ -137,6 +137,27 @@ def _merge(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return merged
 
 
+def _inside(x: Column, spans: list[tuple[float, float]]) -> Column:
+    return reduce(lambda a, b: a | b, [x.between(low, high) for low, high in spans])
+
+
+def _span_counts(df: DataFrame, spans: dict[str, list[tuple[float, float]]]) -> dict[str, list[tuple[int, int]]]:
+    """For every span the number of rows below it and inside it, in one aggregate."""
+    counts = []
+    for i, name in enumerate(spans):
+        x = as_double(df, name)
+        for j, (low, high) in enumerate(spans[name]):
+            counts += [
+                F.count_if(x < low).alias(f"{i}_{j}_below"),
+                F.count_if(x.between(low, high)).alias(f"{i}_{j}_inside"),
+            ]
+    row = df.agg(*counts).first()
+    return {
+        name: [(row[f"{i}_{j}_below"], row[f"{i}_{j}_inside"]) for j in range(len(spans[name]))]
+        for i, name in enumerate(spans)
+    }
+
+
 def _narrow(
     df: DataFrame, name: str, spans: list[tuple[float, float]], ranks: list[int], accuracy: int
 ) -> tuple[list[tuple[float, float]], int]:
@@ -145,67 +166,59 @@ def _narrow(
     Also returns the largest number of rows a given span held.
     """
     x = as_double(df, name)
-    inside = [x.between(low, high) for low, high in spans]
-    row = df.agg(
-        *[F.count_if(x < low).alias(f"before{j}") for j, (low, _) in enumerate(spans)],
-        *[F.count_if(c).alias(f"rows{j}") for j, c in enumerate(inside)],
-    ).first()
-    requests = {}
-    for j, (low, high) in enumerate(spans):
-        before, rows = row[f"before{j}"], row[f"rows{j}"]
-        shares = [(r - before) / rows for r in ranks if before <= r < before + rows]
-        if shares and low < high:
+    requests, largest = {}, 0
+    for j, (below, rows) in enumerate(_span_counts(df, {name: spans})[name]):
+        shares = [(r - below) / rows for r in ranks if below <= r < below + rows]
+        if shares and spans[j][0] < spans[j][1]:
             requests[j] = [max(0.0, min(shares) - 2.0 / accuracy), min(1.0, max(shares) + 2.0 / accuracy)]
+            largest = max(largest, rows)
     if not requests:
         return spans, 0
     sketch = df.agg(
-        *[F.approx_percentile(F.when(inside[j], x), p, accuracy).alias(f"q{j}") for j, p in requests.items()]
+        *[
+            F.approx_percentile(F.when(_inside(x, [spans[j]]), x), p, accuracy).alias(f"q{j}")
+            for j, p in requests.items()
+        ]
     ).first()
-    narrowed = [tuple(sketch[f"q{j}"]) if j in requests else span for j, span in enumerate(spans)]
-    return narrowed, max(row[f"rows{j}"] for j in requests)
+    return [tuple(sketch[f"q{j}"]) if j in requests else span for j, span in enumerate(spans)], largest
 
 
 def _values_at(
     df: DataFrame, ranks: dict[str, set[int]], spans: dict[str, list[tuple[float, float]]]
 ) -> dict[str, dict[int, float]]:
-    """Values at the wanted 0-based ranks, given spans that hold them."""
+    """Values at the wanted 0-based ranks, given spans that hold them.
+
+    Only rows inside a span are counted by value; a rank among them is the wanted
+    rank less the rows outside the spans before it.
+    """
+    wanted: dict[str, dict[int, int]] = {}
+    for name, counts in _span_counts(df, spans).items():
+        wanted[name], seen = {}, 0
+        for below, rows in counts:
+            wanted[name].update({r: r - below + seen for r in ranks[name] if below <= r < below + rows})
+            seen += rows
 
     def cell(name: str) -> Column:
         x = as_double(df, name)
-        steps = [(x >= F.lit(low)).cast("int") + (x > F.lit(high)).cast("int") for low, high in spans[name]]
-        # odd: inside a span, even: in the gap before, between or after the spans
-        part = reduce(lambda a, b: a + b, steps)
-        return F.struct(F.lit(name).alias("column"), part.alias("part"), F.when(part % 2 == 1, x).alias("x"))
+        return F.struct(F.lit(name).alias("column"), F.when(_inside(x, spans[name]), x).alias("x"))
 
     counted = (
-        df.select(F.inline(F.array(*[cell(name) for name in ranks])))
-        .where(F.col("part").isNotNull())
-        .groupBy("column", "part", "x")
+        df.select(F.inline(F.array(*[cell(name) for name in spans])))
+        .where(F.col("x").isNotNull())
+        .groupBy("column", "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # a handful of rows: one per span and gap
-    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = (
-        counted.groupBy("column", "part")
-        .agg(F.sum("n").alias("rows"))
-        .select("column", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    )
-    running = Window.partitionBy("column", "part").orderBy("x")
-    last = F.col("offset") + F.sum("n").over(running)
-    ranked = (
-        counted.where(F.col("x").isNotNull())
-        .join(parts, ["column", "part"])
-        .select("column", "x", (last - F.col("n")).alias("first"), last.alias("past"))
-    )
-    hit = [
-        (F.col("column") == name) & (F.col("first") <= r) & (F.col("past") > r)
-        for name, wanted in ranks.items()
-        for r in wanted
+    past = F.sum("n").over(Window.partitionBy("column").orderBy("x"))
+    placed = counted.select("column", "x", (past - F.col("n")).alias("first"), past.alias("past"))
+    hits = [
+        (F.col("column") == name) & (F.col("first") <= place) & (F.col("past") > place)
+        for name, places in wanted.items()
+        for place in set(places.values())
     ]
     values: dict[str, dict[int, float]] = {name: {} for name in ranks}
-    for row in ranked.where(reduce(lambda a, b: a | b, hit)).collect():
-        for r in ranks[row["column"]]:
-            if row["first"] <= r < row["past"]:
+    for row in placed.where(reduce(lambda a, b: a | b, hits)).collect() if hits else []:
+        for r, place in wanted[row["column"]].items():
+            if row["first"] <= place < row["past"]:
                 values[row["column"]][r] = row["x"]
     return values
 

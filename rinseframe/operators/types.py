@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +54,22 @@ def _to_double(df: DataFrame, name: str, errors: str) -> Column:
     raise TypeError(f"column {name!r} of type {dtype.simpleString()} has no numeric value")
 
 
+def _shape(layout: str) -> str:
+    """Regular expression of the texts a layout can read."""
+    parts = re.findall(r"y+|M+|d+|H+|m+|s+|S+|.", layout)
+    return "^" + "".join(_letters(part) for part in parts) + "$"
+
+
+def _letters(part: str) -> str:
+    if part[0] not in "yMdHmsS":
+        return re.escape(part)
+    if part in ("MMM", "MMMM"):
+        return r"\p{L}+\.?"
+    if part[0] == "S":
+        return f"[0-9]{{1,{len(part)}}}"
+    return "[0-9]{1,2}" if len(part) == 1 else f"[0-9]{{{len(part)}}}"
+
+
 def _to_datetime(df: DataFrame, name: str, formats: list[str], errors: str) -> Column:
     if is_datetime(df, name):
         return col(name).cast("timestamp_ntz")
@@ -64,7 +82,10 @@ def _to_datetime(df: DataFrame, name: str, formats: list[str], errors: str) -> C
     if not is_string(df, name):
         raise TypeError(f"column {name!r} cannot become a date and time")
     cell = col(name)
-    attempts = [F.try_to_timestamp(cell, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    # a text is only parsed by layouts it has the shape of
+    attempts = [
+        F.when(cell.rlike(_shape(f)), F.try_to_timestamp(cell, F.lit(f)).cast("timestamp_ntz")) for f in formats
+    ]
     parsed = F.coalesce(cell.try_cast("timestamp_ntz"), *attempts)
     if errors == "null":
         return parsed

@@ -30,12 +30,14 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Write the rows as a Parquet table in the shared folder and go on from there.
+
+    Later passes read only the columns they need, know the size of the table, and
+    survive the loss of executors.
+    """
+    path = new_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -612,7 +612,8 @@ def cleaned_orders(spark: SparkSession, sf: str) -> versions.Session:
     session = versions.Session(
         {"orders": read(spark, sf, "orders"), "customer": read(spark, sf, "customer")}, "INIT FROM PARQUET"
     )
-    session.join("orders", "customer", ["o_custkey"], ["c_custkey"], "sales")
+    # every fitted step below reads the joined table again
+    session.join("orders", "customer", ["o_custkey"], ["c_custkey"], "sales").settle()
     price, balance = "orders.o_totalprice", "customer.c_acctbal"
     return (
         session.step(scale.remove_outliers, price, 1.5, describe=f"REMOVE OUTLIERS WITH RANGE 1.5 IN {price}")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rinseframe.plans.lineage import new_path
 from rinseframe.sources.sqltypes import spark_type
 
 # Parts of the statements, with possessive repeats so that no text is too long.
@@ -15,8 +16,9 @@ QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
 TUPLE = rf"(?s)\((?:[^()']++|{QUOTED}|\([^()']*+\))*+\)"
 VALUE = rf"(?s)\s*+((?:[^,()']++|{QUOTED}|\([^()']*+\))++)(?:,|$)"
 NAME = r"[\"'`]?(\w[\w$]*)[\"'`]?"
-CREATE = rf"(?is)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:{NAME}\.)?{NAME}\s*\((.*)\)"
-INSERT = rf"(?is)INSERT\s+INTO\s+(?:{NAME}\.)?{NAME}\s*(?:\(([^()]*)\))?\s*VALUES\s*(.*)$"
+START = r"(?is)^(?:\s++|--[^\n]*+\n|/\*.*?\*/)*+"
+CREATE = rf"{START}CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:{NAME}\.)?{NAME}\s*\("
+INSERT = rf"{START}INSERT\s+INTO\s+(?:{NAME}\.)?{NAME}\s*(?:\(([^()]*)\))?\s*VALUES"
 # Words opening a line of CREATE TABLE that declares no column.
 NOT_COLUMNS = {"primary", "key", "unique", "constraint", "index", "foreign", "check", "fulltext", "spatial", "exclude"}
 
@@ -29,13 +31,17 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     piece is summed first inside each file block, then over the blocks.
     """
     # a quote in a comment line ("-- ..."), or behind a backslash, opens no text
-    quotes = F.regexp_replace(F.regexp_replace("value", r"(?m)^--(?:\s.*)?$", ""), r"(?s)\\.|[^']", "")
+    uncommented = F.when(F.col("value").contains("--"), F.regexp_replace("value", r"(?m)^--(?:\s.*)?$", "")).otherwise(
+        F.col("value")
+    )
+    plain = F.regexp_replace(uncommented, r"(?s)\\.", "")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit("'"), F.lit("")))
     pieces = spark.read.option("lineSep", ";").text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
-        (F.length(quotes) % 2).alias("odd"),
+        (quotes % 2).alias("odd"),
     )
     if pieces.where("odd = 1").isEmpty():
         return pieces.select(F.col("value").alias("statement"))
@@ -65,9 +71,14 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_columns(declarations: str) -> list[tuple[str, str]]:
-    """(name, declared type) of the columns between the parentheses of CREATE TABLE."""
-    columns = []
-    for line in re.split(r",(?![^(]*\))", re.sub(r"(?m)--.*$", "", declarations)):
+    """(name, declared type) of the columns in the rest of CREATE TABLE after its parenthesis."""
+    columns, depth, closed = [], 1, len(declarations)
+    for position, character in enumerate(declarations):
+        depth += (character == "(") - (character == ")")
+        if depth == 0:
+            closed = position
+            break
+    for line in re.split(r",(?![^(]*\))", re.sub(r"(?m)--.*$", "", declarations[:closed])):
         match = re.match(r"\s*([\"'`]?)(\w[\w$]*)\1\s+(.+)", line, re.S)
         if not match or (not match.group(1) and match.group(2).lower() in NOT_COLUMNS):
             continue
@@ -102,21 +113,37 @@ def _cell(text: Column, dtype: T.DataType) -> Column:
 
 
 def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Table name to table, for every table the dump creates."""
+    """Table name to table, for every table the dump creates.
+
+    The tuples of all INSERT statements are written once, one folder per table.
+    """
     statements = read_statements(spark, path)
     created = statements.where(F.col("statement").rlike(CREATE)).select(
-        F.regexp_extract("statement", CREATE, 2).alias("name"), F.regexp_extract("statement", CREATE, 3).alias("body")
+        F.regexp_extract("statement", CREATE, 2).alias("name"),
+        F.regexp_replace("statement", CREATE, "").alias("body"),
     )
     # one row per table of the dump
     declared = {r["name"]: parse_columns(r["body"]) for r in created.collect()}
-    inserts = statements.where(F.col("statement").rlike(INSERT)).select(
-        F.regexp_extract("statement", INSERT, 2).alias("name"),
-        F.regexp_extract_all(F.regexp_extract("statement", INSERT, 3), F.lit(r"(\w[\w$]*)"), F.lit(1)).alias("listed"),
-        F.explode(
-            F.regexp_extract_all(F.regexp_extract("statement", INSERT, 4), F.lit(TUPLE), F.lit(0))
-        ).alias("tuple"),
+    head = F.regexp_extract("statement", INSERT, 0)
+    body = F.substr("statement", F.length("head") + 1)
+    listed = F.regexp_extract_all(F.regexp_extract("head", INSERT, 3), F.lit(r"(\w[\w$]*)"), F.lit(1))
+    inserts = (
+        statements.select("statement", head.alias("head"))
+        .where(F.col("head") != "")
+        .select(
+            F.regexp_extract("head", INSERT, 2).alias("name"),
+            listed.alias("listed"),
+            F.explode(F.regexp_extract_all(body, F.lit(TUPLE), F.lit(0))).alias("tuple"),
+        )
+        .where(F.col("name").isin(list(declared)))
     )
-    return {name: _table(inserts.where(F.col("name") == name), columns) for name, columns in declared.items()}
+    if not declared:
+        return {}
+    tuples = new_path(spark, "dump")
+    inserts.write.partitionBy("name").parquet(tuples)
+    schema = "listed array<string>, tuple string, name string"
+    stored = spark.read.schema(schema).parquet(tuples)
+    return {name: _table(stored.where(F.col("name") == name), columns) for name, columns in declared.items()}
 
 
 def _table(inserts: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
