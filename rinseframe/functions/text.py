@@ -16,9 +16,8 @@ def number_text(x: Column) -> Column:
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     mantissa = F.regexp_replace(F.regexp_extract(text, "^([^E]+)E", 1), r"\.0$", "")
     exponent = F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
-    power = F.concat(
-        F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0")
-    )
+    sign = F.when(exponent < 0, "e-").otherwise("e+")
+    power = F.concat(sign, F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
     magnitude = F.abs(x)
     return (
         F.when(~text.contains("E"), text)

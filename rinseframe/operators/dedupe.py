@@ -33,6 +33,8 @@ MAX_VARIANTS = 5000
 MAX_VARIANT_LENGTH = 256
 # Variants of all strings together below which no other keys are considered.
 FEW_VARIANTS = 1_000_000
+# Replacement maps given as dict are sent to every task up to this many bytes.
+MAP_BYTES = 32 * 1024 * 1024
 # Pieces cut per piece needed, and the least length of one.
 SPARE_PIECES = 4
 MIN_PIECE = 3
@@ -358,7 +360,7 @@ def resolve_chain_table(mapping: DataFrame) -> DataFrame:
     into = unfinished.join(on_cycle, F.col("old") == F.col("_cycle"), "left_anti").limit(1).collect()
     if into:
         raise ValueError(f"replacement of {into[0]['old']!r} runs into a cycle")
-    return jumped.join(on_cycle, F.col("old") == F.col("_cycle"), "left_anti")
+    return cut_lineage(jumped.join(on_cycle, F.col("old") == F.col("_cycle"), "left_anti"))
 
 
 def replace_duplicates(
@@ -367,7 +369,7 @@ def replace_duplicates(
     """Replace strings by a map, given as dict or as (old, new) table with unique ``old``.
 
     With ``chain`` replacements are followed to their end (a to b, b to c gives a to c).
-    Spark broadcasts the map where its size allows and shuffles it otherwise.
+    A map of known small size goes to every task whole, a larger one is shuffled.
     """
     if not is_string(df, column):
         return df
@@ -376,6 +378,8 @@ def replace_duplicates(
         if not pairs:
             return df
         table = df.sparkSession.createDataFrame(list(pairs.items()), "old string, new string")
+        if sum(len(old.encode()) + len(new.encode()) + 64 for old, new in pairs.items()) <= MAP_BYTES:
+            table = F.broadcast(table)
     else:
         repeated = F.raise_error(F.concat(F.lit("several replacements for "), F.col("old")))
         table = (
@@ -383,8 +387,8 @@ def replace_duplicates(
             .agg(F.count(F.lit(1)).alias("n"), F.min("new").alias("new"))
             .select("old", F.when(F.col("n") > 1, repeated.cast("string")).otherwise(F.col("new")).alias("new"))
         )
-        if chain:
-            table = resolve_chain_table(table)
+        # written first, so that Spark plans the join knowing the size of the map
+        table = resolve_chain_table(table) if chain else cut_lineage(table)
     table = table.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
     joined = df.join(table, col(column) == F.col("_old"), "left")
     return replace_columns(joined, {column: F.coalesce(F.col("_new"), col(column))}).drop("_old", "_new")
