@@ -55,7 +55,7 @@ def bin_ranges(df: DataFrame, column: str, boundaries: list[float], id_column: s
     bounds = fit(df, [column], ["min", "max"])[column]
     low, high = bounds["min"], bounds["max"]
     if low is None or inner[0] < low or inner[-1] > high:
-        return df
+        return df if id_column is None else df.withColumn(id_column, F.lit(None).cast("int"))
     edges = [low - (high - low) / 1000, *inner, high]
     return apply_bins(df, column, edges, id_column=id_column)
 

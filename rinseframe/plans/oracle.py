@@ -189,12 +189,12 @@ ORACLE: dict[str, str] = {
       from orders join edges a on o_totalprice > a.e or (a.i = 0 and o_totalprice = a.e)
                   join edges b on b.i = a.i + 1 and o_totalprice <= b.e""",
     "bin_ranges": f"""with ranges as (
-        select min(p_retailprice) - (max(p_retailprice) - min(p_retailprice)) / 1000 as e from part
-        union all select 920.0::double union all select 950 union all select 980
-        union all select max(p_retailprice) from part),
+        select min(l_quantity) - (max(l_quantity) - min(l_quantity)) / 1000 as e from lineitem
+        union all select 10.0::double union all select 25.5 union all select 40
+        union all select max(l_quantity) from lineitem),
       edges as (select row_number() over (order by e) - 1 as i, e from ranges)
-      select p_partkey, p_name, p_brand, p_type, p_size, {LABEL} as p_retailprice, b.i::int as bin
-      from part join edges a on p_retailprice > a.e join edges b on b.i = a.i + 1 and p_retailprice <= b.e""",
+      select lineitem.* replace ({LABEL} as l_quantity), b.i::int as bin
+      from lineitem join edges a on l_quantity > a.e join edges b on b.i = a.i + 1 and l_quantity <= b.e""",
     "one_hot_prefixed": """select o_orderkey, o_custkey, (o_orderstatus = 'F')::int as "o_orderstatus_F",
       (o_orderstatus = 'O')::int as "o_orderstatus_O", (o_orderstatus = 'P')::int as "o_orderstatus_P",
       o_totalprice, o_orderdate, o_orderpriority from orders""",

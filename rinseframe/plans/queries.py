@@ -292,7 +292,7 @@ def bin_equifreq(spark, sf):
 
 @query
 def bin_ranges(spark, sf):
-    return bins.bin_ranges(read(spark, sf, "part"), "p_retailprice", [980, 920, 950], id_column="bin")
+    return bins.bin_ranges(read(spark, sf, "lineitem"), "l_quantity", [40, 10, 25.5], id_column="bin")
 
 
 @query
@@ -490,7 +490,7 @@ def similar_pairs_urls(spark, sf):
 @query
 def similar_pairs_texts(spark, sf):
     """Whole documents; checked against brute force on a small fixture only."""
-    return dedupe.similar_pairs(read(spark, sf, "documents"), "text", 3, order_col="doc_id")
+    return dedupe.similar_pairs(read(spark, sf, "documents"), "text", 8, order_col="doc_id")
 
 
 @query
