@@ -36,7 +36,7 @@ FEW_VARIANTS = 1_000_000
 # Replacement maps given as dict are sent to every task up to this many bytes.
 MAP_BYTES = 32 * 1024 * 1024
 # Pieces cut per piece needed, and the least length of one.
-SPARE_PIECES = 4
+SPARE_PIECES = 3
 MIN_PIECE = 3
 
 
@@ -159,12 +159,12 @@ def _piece_hash(length: Column, i: Column, text: Column) -> Column:
 def _kept_pieces(texts: DataFrame, k: int) -> DataFrame:
     """(id, len, cost, keys): the k+1 least shared pieces, cost being how many strings share them."""
 
-    def piece(i: Column) -> Column:
-        start, end = (_piece_start(F.col("len"), _pieces(F.col("len"), k), j) for j in (i, i + 1))
-        return _piece_hash(F.col("len"), i, F.substr(F.col("v"), start + 1, end - start))
-
-    hashes = F.transform(F.sequence(F.lit(0), _pieces(F.col("len"), k) - 1), piece)
-    own = texts.select("id", "len", F.explode(hashes).alias("h"))
+    start, end = (_piece_start(F.col("len"), F.col("pieces"), j) for j in (F.col("i"), F.col("i") + 1))
+    own = (
+        texts.select("id", "v", "len", _pieces(F.col("len"), k).alias("pieces"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("i"))
+        .select("id", "len", _piece_hash(F.col("len"), F.col("i"), F.substr("v", start + 1, end - start)).alias("h"))
+    )
     shared = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "h"))), 1, k + 1)
     return (
@@ -180,52 +180,44 @@ def _kept_pieces(texts: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _probe_hashes(k: int, direct: int) -> Column:
-    """Hashes under which pieces of shorter (or equally long) strings may occur in a string."""
-
-    def in_string_of(length: Column, shorter_by: Column) -> Column:
-        pieces = _pieces(length, k)
-        # shifts s with |s| + |shorter_by - s| <= k
-        first = -F.floor((F.lit(k) - shorter_by) / 2).cast("int")
-        last = F.floor((F.lit(k) + shorter_by) / 2).cast("int")
-
-        def window(i: Column) -> Column:
-            """The text a piece may lie in, taken from the string once for all shifts."""
-            start, end = _piece_start(length, pieces, i), _piece_start(length, pieces, i + 1)
-            origin = F.greatest(start + first, F.lit(0))
-            return F.struct(
-                i.alias("i"),
-                start.alias("start"),
-                end.alias("end"),
-                origin.alias("origin"),
-                F.substr(F.col("v"), origin + 1, end + last - origin).alias("text"),
-            )
-
-        def hashes(w: Column) -> Column:
-            def at(shift: Column) -> Column:
-                fits = (w["start"] + shift >= 0) & (w["end"] + shift <= F.col("len"))
-                text = F.substr(w["text"], w["start"] + shift - w["origin"] + 1, w["end"] - w["start"])
-                return F.when(fits, _piece_hash(length, w["i"], text))
-
-            return F.transform(F.sequence(first, last), at)
-
-        return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), pieces - 1), window), hashes))
-
-    longest_gap = F.least(F.lit(k), F.col("len") - direct - 1)
-    by_gap = F.transform(F.sequence(F.lit(0), longest_gap), lambda d: in_string_of(F.col("len") - d, d))
-    return F.array_compact(F.array_distinct(F.flatten(by_gap)))
+def _look_ups(texts: DataFrame, k: int, direct: int) -> DataFrame:
+    """(j, j_len, h2): keys under which pieces of shorter or equally long strings may occur in string j."""
+    gap, length = F.col("gap"), F.col("len") - F.col("gap")
+    start, end = (_piece_start(F.col("length"), F.col("pieces"), j) for j in (F.col("i"), F.col("i") + 1))
+    # shifts s with |s| + |gap - s| <= k
+    first, last = -F.floor((F.lit(k) - gap) / 2).cast("int"), F.floor((F.lit(k) + gap) / 2).cast("int")
+    origin = F.greatest(F.col("start") + first, F.lit(0))
+    at = F.col("start") + F.col("shift")
+    size = F.col("end") - F.col("start")
+    gaps = F.sequence(F.lit(0), F.least(F.lit(k), F.col("len") - direct - 1))
+    return (
+        texts.select("id", "v", "len", F.explode(gaps).alias("gap"))
+        .select("id", "v", "len", "gap", length.alias("length"), _pieces(length, k).alias("pieces"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("i"))
+        .select("id", "v", "len", "gap", "length", "i", start.alias("start"), end.alias("end"))
+        # the text a piece may lie in is taken from the string once for all shifts
+        .select(
+            "id", "len", "gap", "length", "i", "start", "end", origin.alias("origin"),
+            F.substr("v", origin + 1, F.col("end") + last - origin).alias("text"),
+        )
+        .select("*", F.explode(F.sequence(first, last)).alias("shift"))
+        .where((at >= 0) & (at + size <= F.col("len")))
+        .select(
+            F.col("id").alias("j"),
+            F.col("len").alias("j_len"),
+            _piece_hash(F.col("length"), F.col("i"), F.substr("text", at - F.col("origin") + 1, size)).alias("h2"),
+        )
+    )
 
 
 def _piece_pairs(kept: DataFrame, texts: DataFrame, k: int, direct: int) -> DataFrame:
     """Pairs found through the strings of ``kept``, all longer than ``direct``."""
     index = kept.select(F.col("id").alias("i"), F.col("len").alias("i_len"), F.explode("keys").alias("h"))
-    probes = F.explode(_probe_hashes(k, direct)).alias("h2")
-    looked_up = texts.select(F.col("id").alias("j"), F.col("len").alias("j_len"), probes)
     same = (F.col("h") == F.col("h2")) & (F.col("i_len") <= F.col("j_len")) & (F.col("i") != F.col("j"))
     left = texts.select(_string().alias("l"), F.col("id").alias("i"))
     right = texts.select(_string().alias("r"), F.col("id").alias("j"))
     return (
-        index.join(looked_up, same)
+        index.join(_look_ups(texts, k, direct), same)
         .select("i", "j")
         .distinct()
         .join(left, "i")
@@ -254,7 +246,7 @@ def _pairs(df: DataFrame, column: str, k: int, order_col: str | None) -> DataFra
 
 def _found_pairs(values: DataFrame, k: int) -> DataFrame:
     limit = _variant_limit(k)
-    texts = values.select("v", "n", "f", F.md5("v").alias("id"), F.length("v").alias("len"))
+    texts = values.select("v", "n", "f", F.unhex(F.md5("v")).alias("id"), F.length("v").alias("len"))
     if limit < k:
         long_texts = texts.where(F.col("len") > k)
         return _tiny_pairs(values, k).unionByName(_piece_pairs(_kept_pieces(long_texts, k), long_texts, k, k))

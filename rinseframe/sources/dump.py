@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinseframe.plans.lineage import new_path
+from rinseframe.plans.lineage import cut_lineage, new_path
 from rinseframe.sources.sqltypes import spark_type
 
 # Parts of the statements, with possessive repeats so that no text is too long.
@@ -115,9 +115,10 @@ def _cell(text: Column, dtype: T.DataType) -> Column:
 def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Table name to table, for every table the dump creates.
 
-    The tuples of all INSERT statements are written once, one folder per table.
+    Statements are found once and kept; the tuples of all INSERT statements are then
+    written once, one folder per table.
     """
-    statements = read_statements(spark, path)
+    statements = cut_lineage(read_statements(spark, path))
     created = statements.where(F.col("statement").rlike(CREATE)).select(
         F.regexp_extract("statement", CREATE, 2).alias("name"),
         F.regexp_replace("statement", CREATE, "").alias("body"),
