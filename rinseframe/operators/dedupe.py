@@ -310,7 +310,10 @@ def find_duplicates(
 
 
 def candidate_lists(duplicates: DataFrame) -> DataFrame:
-    """(value, candidates): the ranked candidates of each string as one array."""
+    """(value, candidates): the ranked candidates of each string as one array.
+
+    A string's array must fit a row; ``find_duplicates`` gives the same as rows.
+    """
     entries = F.array_sort(F.collect_list(F.struct("rank", "candidate")))
     return duplicates.groupBy("value").agg(F.transform(entries, lambda e: e["candidate"]).alias("candidates"))
 

@@ -62,25 +62,20 @@ def full_join_unconditional(left: DataFrame, right: DataFrame) -> DataFrame:
     proven small size is broadcast; otherwise the left rows are dealt into blocks
     and the right rows copied to every block, which spreads the pairs evenly.
     """
-    for side in (right, left):
-        if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            small, big = side, left if side is right else right
-            pairs = big.join(F.broadcast(small), F.lit(True), "inner").select(
-                *[col(n) for n in left.columns + right.columns]
-            )
-            break
-    else:
-        block = F.pmod(F.xxhash64(*[col(n) for n in left.columns]), F.lit(GRID_BLOCKS)).alias("_left_block")
-        dealt = left.select("*", block)
-        copied = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID_BLOCKS - 1)).cast("array<bigint>")).alias("_right_block"))
-        pairs = dealt.join(copied, F.col("_left_block") == F.col("_right_block"), "inner").drop(
-            "_left_block", "_right_block"
-        )
     if right.isEmpty():
         return left.select("*", *_null_row(right))
     if left.isEmpty():
         return right.select(*_null_row(left), "*")
-    return pairs
+    columns = [col(n) for n in left.columns + right.columns]
+    for small, big in ((right, left), (left, right)):
+        if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            return big.join(F.broadcast(small), F.lit(True), "inner").select(*columns)
+    dealt = F.pmod(F.xxhash64(*[col(n) for n in left.columns]), F.lit(GRID_BLOCKS)).alias("_left_block")
+    every = F.sequence(F.lit(0), F.lit(GRID_BLOCKS - 1)).cast("array<bigint>")
+    blocks = right.select("*", F.explode(every).alias("_right_block"))
+    return (
+        left.select("*", dealt).join(blocks, F.col("_left_block") == F.col("_right_block"), "inner").select(*columns)
+    )
 
 
 def join_tables(tables: dict[str, DataFrame], *matches: list[str | None]) -> DataFrame:

@@ -535,7 +535,8 @@ def replace_map_table(spark, sf):
     """Every near-duplicate replaced by its best candidate."""
     part = read(spark, sf, "part")
     best = dedupe.find_duplicates(part, "p_name", 3, order_col="p_partkey").where("rank = 1")
-    return dedupe.replace_duplicates(part, "p_name", best.select(F.col("value").alias("old"), F.col("candidate").alias("new")))
+    mapping = best.select(F.col("value").alias("old"), F.col("candidate").alias("new"))
+    return dedupe.replace_duplicates(part, "p_name", mapping)
 
 
 @query
