@@ -315,7 +315,7 @@ ORACLE: dict[str, str] = {
       qualify version < max(version) over (partition by data_id) or count(*) over (partition by data_id) = 1""",
     "drop_snapshot": f"""with {LOG} select data_id, version, description from log
       qualify version < max(version) over (partition by data_id)""",
-    "pipeline": f"""with {SALES},
+    "cleaning_pipeline": f"""with {SALES},
       found as (select quantile_cont("customer.c_acctbal", [0, 0.25, 0.5, 0.75, 1.0]) as q from scaled),
       edges as (select i, q[i + 1] as e from found, range(0, 5) as r(i))
       select "orders.o_orderkey", "orders.o_custkey",

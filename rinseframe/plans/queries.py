@@ -626,7 +626,7 @@ def cleaned_orders(spark: SparkSession, sf: str) -> versions.Session:
 
 
 @query
-def pipeline(spark, sf):
+def cleaning_pipeline(spark, sf):
     return cleaned_orders(spark, sf).table("sales")
 
 
