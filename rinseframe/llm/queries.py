@@ -1,7 +1,7 @@
 """One query per training-data operator over its whole table, with production parameters.
 
 Each thin query applies its operator and derives the columns asked for from what the
-operator returns; ``ORACLE`` holds SQL for those that SQL can express.
+operator returns; ``oracle.ORACLE`` holds SQL for those that SQL can express.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinseframe.llm import packing, sharding
+from rinseframe.llm import extraction, near, packing, pieces, preferences, quality, sharding, substrings, url_filter, vectors
+from rinseframe.llm.frames import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 
 SHARDS = 8
 SEQUENCE_TOKENS = 1024
@@ -26,6 +26,14 @@ BYTE_BPE = {
     "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"),
     "pattern": public_tokenizers.PATTERN,
 }
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 
 
 def query(function: Query) -> Query:
@@ -59,3 +67,74 @@ def op2_best_fit_packing(spark, sf):
     """Every document's tokens into sequences of at most 1024."""
     documents = read(spark, sf, "documents").select("doc_id", "text")
     return packed_pieces(documents, F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_substring_dedup(spark, sf):
+    """Passages of 13 words that a document of smaller id has, taken out of whole documents."""
+    documents = read(spark, sf, "documents").select("doc_id", "text")
+    found = substrings.drop_repeats(documents, length=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_tensored_minhash(spark, sf):
+    """Components of documents whose 3-word shingle sets are similar by 0.85 or more."""
+    documents = read(spark, sf, "documents").select("doc_id", "text")
+    found = near.near_duplicates(documents, k=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op10_metric_range_join(spark, sf):
+    """Components of vectors at a cosine of 0.95 or more, and each vector's links."""
+    found = vectors.similar_groups(read(spark, sf, "embeddings").select("vec_id", "embedding"), cosine=0.95)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+@query
+def op4_preference_format(spark, sf):
+    """Neighbouring conversations as chosen and rejected: shared prompt, completions, masks."""
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    found = preferences.preference_examples(turns, preferences.neighbours(turns))
+
+    def spans(name: str):
+        listed = F.transform(name, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(listed, ",").alias(name)
+
+    return found.withColumns({name: spans(name) for name in ("chosen_mask", "rejected_mask")})
+
+
+@query
+def op5_line_block_extraction(spark, sf):
+    """The main text of every page."""
+    pages = read(spark, sf, "pages").select("page_id", "url", "html")
+    return extraction.extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_piece_merge_rounds(spark, sf):
+    """Ids of every text, and what they decode to."""
+    documents = read(spark, sf, "documents").select("doc_id", "text")
+    found = pieces.encoded(documents, "text", PIECE_MODEL, "ids", "decoded")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op7_adaptive_quality(spark, sf):
+    """Counts of every document, and whether it lies inside the limits of its language and source."""
+    documents = read(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    counts = Scratch(spark).stored(quality.counted(documents).drop("text"), "counts")
+    return quality.judged(counts).drop("lang", "source")
+
+
+@query
+def op8_bloom_url_rules(spark, sf):
+    """Host, path, rule and verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, verdict string")
+    return url_filter.judge_urls(read(spark, sf, "pages").select("page_id", "url"), rules).drop("url")
