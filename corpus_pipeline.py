@@ -1,7 +1,8 @@
 """Documents to packed training sequences, stage by stage.
 
 Every stage takes the table its predecessor kept, written as Parquet and read again, and
-returns the rows it keeps.
+returns the rows it keeps, with the columns of ``documents``; the last one returns the
+pieces of the kept documents with their places in the sequences.
 """
 
 from __future__ import annotations
@@ -11,18 +12,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinseframe.llm import queries
+from rinseframe.llm import near, quality, queries, substrings
 from rinseframe.plans.lineage import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept document's tokens placed in sequences of at most 1024."""
-    return queries.packed_pieces(docs, F.crc32("ids").alias("ids_crc32"))
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents inside the limits of their language and source; the others go."""
+    return quality.quality_filter(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("best-fit packing", packed)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of every group linked by 5-word shingles at 0.8 or more."""
+    return near.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 13-word passages that a document of smaller id has; n_chars follows the text."""
+    found = substrings.drop_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every kept document's token ids placed in sequences of at most 1024."""
+    return queries.packed_pieces(docs, "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("best-fit packing", packing),
+]
 
 #: tokenization has no SQL; the tests hold run() against plain Python instead
 ORACLE_SQL = None
