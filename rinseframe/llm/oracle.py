@@ -6,7 +6,7 @@ extraction; the tests hold those against plain Python.
 
 from __future__ import annotations
 
-from rinseframe.llm.quality import MEASURES, TWO_SIDED, Rules
+from rinseframe.llm.quality import MEASURES, NARROWEST, TWO_SIDED, Rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
@@ -91,8 +91,8 @@ def quality_sql(rules: Rules) -> str:
     stacked = " union all ".join(f"select lang, source, '{m}' as measure, {e} as v from base where not base_failed" for m, e in values.items())
 
     def fence(by: str, name: str) -> str:
-        most = [f"max(high + {rules.reach} * greatest(high - low, {rules.narrowest})) filter (measure = '{m}') as {m}_most" for m in MEASURES]
-        least = [f"max(low - {rules.reach} * greatest(high - low, {rules.narrowest})) filter (measure = '{m}') as {m}_least" for m in TWO_SIDED]
+        most = [f"max(high + {rules.reach} * greatest(high - low, {NARROWEST[m]})) filter (measure = '{m}') as {m}_most" for m in MEASURES]
+        least = [f"max(low - {rules.reach} * greatest(high - low, {NARROWEST[m]})) filter (measure = '{m}') as {m}_least" for m in TWO_SIDED]
         return f"""{name}_run as (select {by}, measure, bucket, sum(n) over (partition by {by}, measure order by bucket) as upto,
           sum(n) over (partition by {by}, measure) as total from (select {by}, measure, bucket, sum(n) as n from sketch group by {by}, measure, bucket)),
 {name}_quart as (select {by}, measure, max(total) as total, min(bucket) filter (4 * upto >= total) as low,

@@ -28,24 +28,26 @@ from rinseframe.llm.frames import Scratch, all_equal, without
 WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: measures in thousandths; those with a lower limit as well
+#: measures in thousandths, and the least spread that counts as one: half a character per
+#: word, a symbol or a repeated line in twenty words, a repeated word in ten
 MEASURES = {
     "m_length": "1000L * word_chars div greatest(n_words, 1)",
     "m_symbols": "1000L * n_symbols div greatest(n_words, 1)",
     "m_dup_lines": "1000L * n_dup_lines div greatest(n_words, 1)",
     "m_repeats": "1000L * n_repeat_words div greatest(n_words, 1)",
 }
+NARROWEST = {"m_length": 500, "m_symbols": 50, "m_dup_lines": 50, "m_repeats": 100}
+#: measures with a lower limit as well
 TWO_SIDED = ("m_length",)
 
 
 @dataclass(frozen=True)
 class Rules:
-    """``reach`` spreads beyond the quartiles, each spread taken as ``narrowest`` thousandths at least."""
+    """``reach`` spreads beyond the quartiles; groups of fewer than ``least`` documents have no limits of their own."""
 
     least_words: int = 50
     most_repeats_percent: int = 50
     reach: int = 4
-    narrowest: int = 50
     least: int = 100
 
 
@@ -120,9 +122,9 @@ def fences(sketch: DataFrame, by: list[str], rules: Rules) -> DataFrame:
         F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("low"),
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("high"),
     )
-    spread = rules.reach * F.greatest(F.col("high") - F.col("low"), F.lit(rules.narrowest))
     limits = []
     for m in MEASURES:
+        spread = rules.reach * F.greatest(F.col("high") - F.col("low"), F.lit(NARROWEST[m]))
         here = F.col("measure") == m
         limits.append(F.max(F.when(here, F.col("high") + spread)).alias(f"{m}_most"))
         if m in TWO_SIDED:
