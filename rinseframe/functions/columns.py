@@ -6,6 +6,9 @@ an unknown column name is an error. NULL and NaN both mean "empty".
 
 from __future__ import annotations
 
+import datetime
+import decimal
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -80,18 +83,24 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return result
 
 
+def common_type(dtype: T.DataType, values: Iterable) -> T.DataType:
+    """The type of a column that also takes these values: numbers among numbers become double, all else text."""
+    others = [v for v in values if v is not None and not literal_fits(dtype, v)]
+    if not others:
+        return dtype
+    numbers = all(isinstance(v, (int, float, decimal.Decimal)) and not isinstance(v, bool) for v in others)
+    return T.DoubleType() if numbers and isinstance(dtype, T.NumericType) else T.StringType()
+
+
 def literal_fits(dtype: T.DataType, value) -> bool:
     """Whether a Python value can equal, or be stored in, a column of this type."""
-    import datetime
-    import decimal
-
     if isinstance(value, bool):
         return isinstance(dtype, T.BooleanType)
     if isinstance(value, int):
         return isinstance(dtype, T.NumericType)
     if isinstance(value, (float, decimal.Decimal)):
         return isinstance(dtype, (T.FractionalType, T.DecimalType)) or (
-            isinstance(dtype, T.IntegralType) and value == int(value)
+            isinstance(dtype, T.IntegralType) and math.isfinite(value) and value == int(value)
         )
     if isinstance(value, str):
         return isinstance(dtype, T.StringType)

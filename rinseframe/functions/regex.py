@@ -5,6 +5,11 @@ from __future__ import annotations
 import re
 
 
+def java_group(name: str, pattern: str) -> str:
+    """A group name Java allows, for the named group of a Python pattern."""
+    return f"named{re.compile(pattern).groupindex[name]}"
+
+
 def java_pattern(pattern: str) -> str:
     """Rewrite a Python pattern for ``regexp_replace``; invalid patterns raise.
 
@@ -12,8 +17,9 @@ def java_pattern(pattern: str) -> str:
     and the Unicode meaning of ``\\w \\d \\s \\b``.
     """
     re.compile(pattern)
-    named = pattern.replace("(?P<", "(?<")
-    named = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", named)
+    named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{java_group(m.group(1), pattern)}>", pattern)
+    named = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{java_group(m.group(1), pattern)}>", named)
+    named = re.sub(r"(?<!\\)((?:\\\\)*)\{,(\d+)\}", r"\1{0,\2}", named)
     named = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", named)
 
     def inside_class(match: re.Match) -> str:
@@ -35,7 +41,7 @@ def java_replacement(replacement: str, pattern: str) -> str:
         if not name.isdigit():
             if name not in compiled.groupindex:
                 raise ValueError(f"unknown group {name!r}")
-            return "${" + name + "}"
+            return "${" + java_group(name, pattern) + "}"
         if int(name) > compiled.groups:
             raise ValueError(f"invalid group reference {name}")
         return "$" + str(int(name))

@@ -36,6 +36,9 @@ def _rare_number_text(x: Column) -> Column:
 def cell_text(df: DataFrame, name: str) -> Column:
     """The column as text; empty cells stay empty."""
     dtype = data_type(df, name)
+    if isinstance(dtype, T.FloatType):
+        # through its own shortest decimal, so 0.1 stays 0.1
+        return number_text(empty_as_null(df, name).cast("string").cast("double"))
     if isinstance(dtype, T.DoubleType):
         return number_text(empty_as_null(df, name))
     if isinstance(dtype, T.BooleanType):

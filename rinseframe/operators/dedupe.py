@@ -3,16 +3,20 @@
 Pairs within edit distance k are found by equi-joins on blocking keys that miss
 none of them; a bounded Levenshtein check on the joined rows then removes the
 false ones. There is no cross join and no cap on candidates. A pair is found
-through its shorter string (by text among equal lengths), in one of two ways:
+through its shorter string (by text among equal lengths), in one of three ways:
 
 * Pieces: cut the string into more than k pieces. k edits leave at least one of any
   k+1 pieces whole, and it occurs in the longer string shifted by at most k. Kept
   as keys are the k+1 pieces that fewest strings share.
+* Three pieces: k edits leave at least three of any k+3 pieces whole. Strings whose
+  pieces are shared by many others (a template with a running number) are cut finer, so
+  that their own part falls into pieces of its own; kept are the k+3 pieces that fewest
+  share, and a key is three of them together, shifted by no more than k edits can.
 * Deletion variants: both strings have a common text left after deleting at most k
   characters from each. How many strings share a variant is bounded by the
   alphabet, not by the table, but a string has many of them. They serve strings
   too short for pieces, and strings whose pieces are all shared by so many others
-  (a template with a running number) that variants are fewer than candidates.
+  that variants are fewer than candidates.
 
 For a large k, where even short strings have too many variants, strings of up to k
 characters are paired directly: all pairs of them belong to the result.
@@ -38,6 +42,10 @@ MAP_BYTES = 32 * 1024 * 1024
 # Pieces cut per piece needed, and the least length of one.
 SPARE_PIECES = 3
 MIN_PIECE = 3
+# Strings that share a string's rarest pieces, from which on three finer pieces are its keys.
+CROWDED = 10
+FINE_PIECE = 2
+TOGETHER = 3
 
 
 def _variant_count(length: int, k: int) -> int:
@@ -53,8 +61,7 @@ def _variant_limit(k: int) -> int:
 
 def _direct_limit(k: int) -> int:
     """Longest string that has no more variants than a string may have look-ups for pieces."""
-    look_ups = SPARE_PIECES * (k + 1) * (k + 1) ** 2
-    fitting = [length for length in range(k, _variant_limit(k) + 1) if _variant_count(length, k) <= look_ups]
+    fitting = [length for length in range(k, _variant_limit(k) + 1) if _variant_count(length, k) <= _look_up_count(k)]
     return max(fitting, default=k)
 
 
@@ -141,8 +148,10 @@ def _tiny_pairs(values: DataFrame, k: int) -> DataFrame:
     return both.unionByName(mixed)
 
 
-def _pieces(length: Column, k: int) -> Column:
-    """Number of pieces a string of this length is cut into, at least k+1."""
+def _pieces(length: Column, k: int, fine: bool = False) -> Column:
+    """Number of pieces a string of this length is cut into, at least k+1, or k+3 finer ones."""
+    if fine:
+        return F.greatest(F.lit(k + TOGETHER), F.floor(length / F.lit(FINE_PIECE)).cast("int"))
     wanted = F.floor(length / F.lit(MIN_PIECE)).cast("int")
     return F.greatest(F.lit(k + 1), F.least(F.lit(SPARE_PIECES * (k + 1)), wanted))
 
@@ -156,17 +165,18 @@ def _piece_hash(length: Column, i: Column, text: Column) -> Column:
     return F.xxhash64(length, i, text)
 
 
-def _kept_pieces(texts: DataFrame, k: int) -> DataFrame:
-    """(id, len, cost, keys): the k+1 least shared pieces, cost being how many strings share them."""
+def _kept_pieces(texts: DataFrame, k: int, fine: bool = False) -> DataFrame:
+    """(id, len, cost, keys): the k+1 (fine: k+3) least shared pieces, cost being how many strings share them."""
 
     start, end = (_piece_start(F.col("len"), F.col("pieces"), j) for j in (F.col("i"), F.col("i") + 1))
     own = (
-        texts.select("id", "v", "len", _pieces(F.col("len"), k).alias("pieces"))
+        texts.select("id", "v", "len", _pieces(F.col("len"), k, fine).alias("pieces"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("i"))
-        .select("id", "len", _piece_hash(F.col("len"), F.col("i"), F.substr("v", start + 1, end - start)).alias("h"))
+        .select("id", "len", "i", _piece_hash(F.col("len"), F.col("i"), F.substr("v", start + 1, end - start)).alias("h"))
     )
     shared = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "h"))), 1, k + 1)
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "h", "i"))), 1, k + (TOGETHER if fine else 1))
+    in_order = F.array_sort(F.transform("kept", lambda p: F.struct(p["i"].alias("i"), p["h"].alias("h"))))
     return (
         own.join(shared, "h")
         .groupBy("id", "len")
@@ -175,13 +185,13 @@ def _kept_pieces(texts: DataFrame, k: int) -> DataFrame:
             "id",
             "len",
             F.aggregate("kept", F.lit(0).cast("bigint"), lambda total, p: total + p["n"]).alias("cost"),
-            F.transform("kept", lambda p: p["h"]).alias("keys"),
+            F.transform(in_order, lambda p: p["h"]).alias("keys"),
         )
     )
 
 
-def _look_ups(texts: DataFrame, k: int, direct: int) -> DataFrame:
-    """(j, j_len, h2): keys under which pieces of shorter or equally long strings may occur in string j."""
+def _look_ups(texts: DataFrame, k: int, direct: int, fine: bool = False) -> DataFrame:
+    """(j, j_len, length, piece, shift, h2): keys under which pieces of shorter or equally long strings may occur in string j."""
     gap, length = F.col("gap"), F.col("len") - F.col("gap")
     start, end = (_piece_start(F.col("length"), F.col("pieces"), j) for j in (F.col("i"), F.col("i") + 1))
     # shifts s with |s| + |gap - s| <= k
@@ -192,7 +202,7 @@ def _look_ups(texts: DataFrame, k: int, direct: int) -> DataFrame:
     gaps = F.sequence(F.lit(0), F.least(F.lit(k), F.col("len") - direct - 1))
     return (
         texts.select("id", "v", "len", F.explode(gaps).alias("gap"))
-        .select("id", "v", "len", "gap", length.alias("length"), _pieces(length, k).alias("pieces"))
+        .select("id", "v", "len", "gap", length.alias("length"), _pieces(length, k, fine).alias("pieces"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("i"))
         .select("id", "v", "len", "gap", "length", "i", start.alias("start"), end.alias("end"))
         # the text a piece may lie in is taken from the string once for all shifts
@@ -205,22 +215,79 @@ def _look_ups(texts: DataFrame, k: int, direct: int) -> DataFrame:
         .select(
             F.col("id").alias("j"),
             F.col("len").alias("j_len"),
+            "length",
+            F.col("i").alias("piece"),
+            "shift",
             _piece_hash(F.col("length"), F.col("i"), F.substr("text", at - F.col("origin") + 1, size)).alias("h2"),
         )
     )
 
 
-def _piece_pairs(kept: DataFrame, texts: DataFrame, k: int, direct: int) -> DataFrame:
-    """Pairs found through the strings of ``kept``, all longer than ``direct``."""
-    index = kept.select(F.col("id").alias("i"), F.col("len").alias("i_len"), F.explode("keys").alias("h"))
+def _meet(index: DataFrame, look_ups: DataFrame) -> DataFrame:
+    """(i, j): strings whose key (h) is among the look-ups (h2) of a string that is not shorter."""
     same = (F.col("h") == F.col("h2")) & (F.col("i_len") <= F.col("j_len")) & (F.col("i") != F.col("j"))
+    return index.join(look_ups, same).select("i", "j").distinct()
+
+
+def _piece_candidates(kept: DataFrame, texts: DataFrame, k: int, direct: int) -> DataFrame:
+    """Candidates for the strings of ``kept``, all longer than ``direct``."""
+    index = kept.select(F.col("id").alias("i"), F.col("len").alias("i_len"), F.explode("keys").alias("h"))
+    return _meet(index, _look_ups(texts, k, direct).select("j", "j_len", "h2"))
+
+
+def _three_together(pieces: Column, gap: Column | None = None, k: int = 0) -> Column:
+    """Keys of three (piece, shift, h) entries each, in order of pieces.
+
+    With a gap, only of shifts that k edits can make: each change of the shift takes as
+    many edits, and behind the last piece it has to be the gap.
+    """
+
+    def later(p: Column, spent: Column | None, last: bool) -> Column:
+        def possible(q: Column) -> Column:
+            after = q["piece"] > p["piece"]
+            if spent is None:
+                return after
+            turn = spent + F.abs(q["shift"] - p["shift"]) + (F.abs(gap - q["shift"]) if last else F.lit(0))
+            return after & (turn <= k)
+
+        return F.filter(pieces, possible)
+
+    def from_first(p: Column) -> Column:
+        spent = None if gap is None else F.abs(p["shift"])
+
+        def from_second(q: Column) -> Column:
+            more = None if gap is None else spent + F.abs(q["shift"] - p["shift"])
+            return F.transform(later(q, more, True), lambda r: F.xxhash64(p["h"], q["h"], r["h"]))
+
+        return F.flatten(F.transform(later(p, spent, False), from_second))
+
+    return F.array_distinct(F.flatten(F.transform(pieces, from_first)))
+
+
+def _three_piece_candidates(crowded: DataFrame, texts: DataFrame, k: int, direct: int) -> DataFrame:
+    """Candidates for crowded strings, by three of their k+3 rarest fine pieces at a time.
+
+    Look-ups are put together only where each piece is some crowded string's kept one.
+    """
+    kept = cut_lineage(_kept_pieces(crowded, k, fine=True))
+    listed = F.transform("keys", lambda h, at: F.struct(at.alias("piece"), F.lit(0).alias("shift"), h.alias("h")))
+    index = kept.select("id", "len", listed.alias("pieces")).select(
+        F.col("id").alias("i"), F.col("len").alias("i_len"), F.explode(_three_together(F.col("pieces"))).alias("h")
+    )
+    singles = kept.select(F.col("len").alias("length"), F.explode("keys").alias("h2")).distinct()
+    hits = _look_ups(texts, k, direct, fine=True).join(singles, ["length", "h2"], "left_semi")
+    entry = F.struct("piece", "shift", F.col("h2").alias("h"))
+    found = hits.groupBy("j", "j_len", "length").agg(F.collect_set(entry).alias("pieces"))
+    keys = _three_together(F.col("pieces"), F.col("j_len") - F.col("length"), k)
+    return _meet(index, found.select("j", "j_len", F.explode(keys).alias("h2")))
+
+
+def _joined_pairs(candidates: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The candidates that are within the distance, as strings."""
     left = texts.select(_string().alias("l"), F.col("id").alias("i"))
     right = texts.select(_string().alias("r"), F.col("id").alias("j"))
     return (
-        index.join(_look_ups(texts, k, direct), same)
-        .select("i", "j")
-        .distinct()
-        .join(left, "i")
+        candidates.join(left, "i")
         .join(right, "j")
         .where(_close("l", "r", k))
         .select("l", "r")
@@ -241,7 +308,24 @@ def _pairs(df: DataFrame, column: str, k: int, order_col: str | None) -> DataFra
     return found.select(
         F.when(swap, F.col("r")).otherwise(F.col("l")).alias("a"),
         F.when(swap, F.col("l")).otherwise(F.col("r")).alias("b"),
-    ).withColumn("distance", F.levenshtein("a.v", "b.v"))
+    ).withColumn("distance", F.levenshtein("a.v", "b.v", max(k, 0)))
+
+
+def _look_up_count(k: int) -> int:
+    """Look-ups a string may have for coarse pieces."""
+    return SPARE_PIECES * (k + 1) ** 3
+
+
+def _long_candidates(kept: DataFrame, texts: DataFrame, k: int, direct: int) -> DataFrame:
+    """Candidates by single pieces, or by three pieces together where single ones are too common."""
+    enough = F.col("len") >= FINE_PIECE * (k + TOGETHER)
+    crowded = (F.col("cost") > CROWDED * (k + 1)) & enough
+    few = _piece_candidates(kept.where(~crowded), texts, k, direct)
+    many = kept.where(crowded).select("id")
+    if many.isEmpty():
+        return few
+    many = texts.join(many, "id", "left_semi")
+    return few.unionByName(_three_piece_candidates(many, texts, k, direct)).distinct()
 
 
 def _found_pairs(values: DataFrame, k: int) -> DataFrame:
@@ -249,7 +333,8 @@ def _found_pairs(values: DataFrame, k: int) -> DataFrame:
     texts = values.select("v", "n", "f", F.unhex(F.md5("v")).alias("id"), F.length("v").alias("len"))
     if limit < k:
         long_texts = texts.where(F.col("len") > k)
-        return _tiny_pairs(values, k).unionByName(_piece_pairs(_kept_pieces(long_texts, k), long_texts, k, k))
+        kept = cut_lineage(_kept_pieces(long_texts, k))
+        return _tiny_pairs(values, k).unionByName(_joined_pairs(_long_candidates(kept, long_texts, k, k), long_texts, k))
     # strings by length, all that variants cannot serve as one: at most ``limit`` + k + 2 rows
     counted = texts.groupBy(F.least("len", F.lit(limit + k + 1)).alias("len")).agg(F.count(F.lit(1)).alias("n"))
     by_length = {row["len"]: row["n"] for row in counted.collect()}
@@ -262,12 +347,15 @@ def _found_pairs(values: DataFrame, k: int) -> DataFrame:
     if any(length > direct for length in by_length):
         long_texts = texts.where(F.col("len") > direct)
         variants = F.lit([_variant_count(length, k) for length in range(limit + 1)])
-        dear = (F.col("len") <= limit) & (F.col("cost") > F.get(variants, F.col("len")))
+        count = F.get(variants, F.col("len"))
+        # a string of moderately many variants is better served by them than by three pieces together
+        served = (count <= _look_up_count(k)) | (F.col("len") < FINE_PIECE * (k + TOGETHER))
+        dear = (F.col("len") <= limit) & (F.col("cost") > count) & served
         kept = cut_lineage(_kept_pieces(long_texts, k).withColumn("by_variants", F.coalesce(dear, F.lit(False))))
-        found = _piece_pairs(kept.where("not by_variants"), long_texts, k, direct)
-        crowded = kept.where("by_variants").select("id", "len")
-        lengths |= {row["len"] for row in crowded.select("len").distinct().collect()}
-        shorter = shorter.unionByName(long_texts.join(crowded.select("id"), "id", "left_semi").select(*texts.columns))
+        found = _joined_pairs(_long_candidates(kept.where("not by_variants"), long_texts, k, direct), long_texts, k)
+        varied = kept.where("by_variants").select("id", "len")
+        lengths |= {row["len"] for row in varied.select("len").distinct().collect()}
+        shorter = shorter.unionByName(long_texts.join(varied.select("id"), "id", "left_semi").select(*texts.columns))
     if lengths:
         by_variants = _variant_pairs(shorter, values, sorted(lengths), k)
         found = by_variants if found is None else found.unionByName(by_variants)
@@ -337,6 +425,8 @@ def resolve_chain_table(mapping: DataFrame) -> DataFrame:
     """``resolve_chain`` for a (old, new) table of any size, by doubling the steps taken."""
     mapping = cut_lineage(mapping.select("old", "new"))
     total = mapping.count()
+    if total == 0:
+        return mapping
     steps, jumped = 1, mapping
     while steps <= total:
         ahead = mapping if steps == 1 else jumped

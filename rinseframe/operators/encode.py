@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinseframe.functions.columns import col, is_string
+from rinseframe.functions.columns import col, is_string, require
 
 
-def fit_categories(df: DataFrame, column: str, max_categories: int = 1000) -> list[str]:
-    """Sorted distinct values; more than ``max_categories`` are an error, never cut off."""
+def fit_categories(df: DataFrame, column: str, max_categories: int | None = None) -> list[str]:
+    """Sorted distinct values. A limit can be asked for; more categories are then an error, never cut off."""
     distinct = df.where(col(column).isNotNull()).select(col(column).alias("v")).distinct()
-    found = [row["v"] for row in distinct.limit(max_categories + 1).collect()]
-    if len(found) > max_categories:
+    found = [row["v"] for row in (distinct if max_categories is None else distinct.limit(max_categories + 1)).collect()]
+    if max_categories is not None and len(found) > max_categories:
         raise ValueError(f"column {column!r} has more than {max_categories} categories")
     return sorted(found)
 
@@ -36,8 +36,23 @@ def apply_one_hot(df: DataFrame, column: str, categories: list[str], use_old_nam
 
 
 def one_hot_encode(
-    df: DataFrame, column: str, use_old_name: bool = True, max_categories: int = 1000
+    df: DataFrame,
+    column: str,
+    use_old_name: bool = True,
+    max_categories: int | None = None,
+    categories: list[str] | None = None,
 ) -> DataFrame:
+    """Encode by the column's own categories, or by given ones without a pass over the rows.
+
+    The result has a column for each category; where these are too many, ``one_hot_long`` is the form to use.
+    """
     if not is_string(df, column):
         return df
-    return apply_one_hot(df, column, fit_categories(df, column, max_categories), use_old_name)
+    found = fit_categories(df, column, max_categories) if categories is None else categories
+    return apply_one_hot(df, column, found, use_old_name)
+
+
+def one_hot_long(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """(keys, category) for every cell that holds a category: the ones of the encoding, one to a row."""
+    require(df, column, *keys)
+    return df.where(col(column).isNotNull()).select(*[col(k).alias(k) for k in keys], col(column).alias("category"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinseframe.functions.columns import all_of, col, require
 from rinseframe.plans.lineage import cut_lineage
 
-# A table of at most this many rows is sent whole to every task of an unconditional join.
-BROADCAST_ROWS = 10_000
+# Bytes of a table, as JSON text, that may be sent whole to every task of an unconditional join.
+BROADCAST_BYTES = 8 << 20
 # Blocks a larger table is dealt into for an unconditional join.
 GRID_BLOCKS = 1024
 
@@ -18,41 +18,59 @@ def _null_row(df: DataFrame) -> list:
     return [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
 
 
+def _complete(names: list[str]) -> Column:
+    return all_of(col(n).isNotNull() for n in names)
+
+
 def _keys(df: DataFrame, names: list[str]) -> DataFrame:
     """Distinct non-null key tuples under neutral names, reduced before the shuffle."""
-    complete = df.where(all_of(col(n).isNotNull() for n in names))
-    return complete.select(*[col(n).alias(f"_k{i}") for i, n in enumerate(names)]).distinct()
+    return df.where(_complete(names)).select(*[col(n).alias(f"_k{i}") for i, n in enumerate(names)]).distinct()
+
 
+def _among(df: DataFrame, names: list[str], keys: DataFrame, how: str) -> DataFrame:
+    """Rows whose key does (left_semi) or does not (left_anti) occur in ``keys``."""
+    return df.join(keys, all_of(col(n) == F.col(f"_k{i}") for i, n in enumerate(names)), how)
 
-def _without_partner(df: DataFrame, names: list[str], keys: DataFrame) -> DataFrame:
-    """Rows whose key does not occur in ``keys``; rows with an empty key skip the shuffle."""
-    complete = all_of(col(n).isNotNull() for n in names)
-    same = all_of(col(n) == F.col(f"_k{i}") for i, n in enumerate(names))
-    return df.where(complete).join(keys, same, "left_anti").unionByName(df.where(~complete))
 
+def hot_keys(df: DataFrame, names: list[str], least_rows: int) -> DataFrame:
+    """Keys with at least so many rows, for the ``hot`` argument of ``full_join``."""
+    counted = df.where(_complete(names)).groupBy(*[col(n).alias(f"_k{i}") for i, n in enumerate(names)])
+    return counted.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_rows).drop("_n")
 
-def full_join(
-    left: DataFrame,
-    right: DataFrame,
-    pairs: list[tuple[str, str]],
-    left_source: DataFrame | None = None,
-) -> DataFrame:
+
+def full_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], hot: DataFrame | None = None) -> DataFrame:
     """FULL OUTER join on equal column pairs; both sides keep their key columns.
 
-    Computed as matches plus the rows without partner on either side. A native
-    full outer join sends every row of one key, and every empty key, to a single
-    task; the inner and anti joins used here can be split when a key is hot and
-    can broadcast a small side, and empty keys never reach a shuffle.
-    ``left_source`` may name a smaller table that holds all left keys.
+    Rows with an empty key have no partner: they skip the join, which would send all of
+    them to one task. Spark cannot split a key in a full outer join either, so rows of the
+    keys in ``hot`` (see ``hot_keys``) are joined apart, as matches and rows without
+    partner, where it can.
     """
     left_names, right_names = [a for a, _ in pairs], [b for _, b in pairs]
-    matched = left.join(right, all_of(col(a) == col(b) for a, b in pairs), "inner")
-    left_only = _without_partner(left, left_names, _keys(right, right_names))
-    source = left if left_source is None else left_source
-    right_only = _without_partner(right, right_names, _keys(source, left_names))
-    return matched.union(left_only.select("*", *_null_row(right))).union(
-        right_only.select(*_null_row(left), "*")
-    )
+    same = all_of(col(a) == col(b) for a, b in pairs)
+    whole_left, whole_right = left.where(_complete(left_names)), right.where(_complete(right_names))
+    parts = [
+        left.where(~_complete(left_names)).select("*", *_null_row(right)),
+        right.where(~_complete(right_names)).select(*_null_row(left), "*"),
+    ]
+    if hot is not None:
+        hot = cut_lineage(hot)
+        hot_left, hot_right = (_among(d, n, hot, "left_semi") for d, n in ((whole_left, left_names), (whole_right, right_names)))
+        parts += [
+            hot_left.join(hot_right, same, "inner"),
+            _among(hot_left, left_names, _keys(hot_right, right_names), "left_anti").select("*", *_null_row(right)),
+            _among(hot_right, right_names, _keys(hot_left, left_names), "left_anti").select(*_null_row(left), "*"),
+        ]
+        whole_left, whole_right = (_among(d, n, hot, "left_anti") for d, n in ((whole_left, left_names), (whole_right, right_names)))
+    result = whole_left.join(whole_right, same, "full")
+    for part in parts:
+        result = result.union(part)
+    return result
+
+
+def _bytes(df: DataFrame) -> int:
+    """Size of a table as JSON text, in one pass with partial sums."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
 
 
 def full_join_unconditional(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -68,7 +86,7 @@ def full_join_unconditional(left: DataFrame, right: DataFrame) -> DataFrame:
         return right.select(*_null_row(left), "*")
     columns = [col(n) for n in left.columns + right.columns]
     for small, big in ((right, left), (left, right)):
-        if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        if _bytes(small) <= BROADCAST_BYTES:
             return big.join(F.broadcast(small), F.lit(True), "inner").select(*columns)
     dealt = F.pmod(F.xxhash64(*[col(n) for n in left.columns]), F.lit(GRID_BLOCKS)).alias("_left_block")
     every = F.sequence(F.lit(0), F.lit(GRID_BLOCKS - 1)).cast("array<bigint>")
@@ -78,12 +96,12 @@ def full_join_unconditional(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def join_tables(tables: dict[str, DataFrame], *matches: list[str | None]) -> DataFrame:
+def join_tables(tables: dict[str, DataFrame], *matches: list[str | None], cross: bool = False) -> DataFrame:
     """Full outer join of a chain of tables, each with the next one.
 
     Every match lists one column per table, or None to leave a table out of that
-    match. Neighbours without a common match are joined unconditionally. Result
-    columns are named ``table.column``.
+    match. Neighbours without a common match are an error, unless ``cross`` asks for
+    every pair of their rows. Result columns are named ``table.column``.
     """
     names = list(tables)
     for match in matches:
@@ -102,13 +120,11 @@ def join_tables(tables: dict[str, DataFrame], *matches: list[str | None]) -> Dat
         pairs = [
             (f"{here}.{m[i]}", f"{there}.{m[i + 1]}") for m in matches if m[i] is not None and m[i + 1] is not None
         ]
+        if not pairs and not cross:
+            raise ValueError(f"no match joins {here!r} and {there!r}; cross=True asks for every pair of their rows")
         if i > 0:  # the intermediate result is read by several branches: compute it once
             result = cut_lineage(result)
-        if pairs:
-            # every row of the neighbour is still in the chain, so its own keys suffice
-            result = full_join(result, labelled[there], pairs, left_source=labelled[here])
-        else:
-            result = full_join_unconditional(result, labelled[there])
+        result = full_join(result, labelled[there], pairs) if pairs else full_join_unconditional(result, labelled[there])
     return result
 
 

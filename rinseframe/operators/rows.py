@@ -13,6 +13,8 @@ from rinseframe.plans.lineage import cut_lineage
 
 # Pages ending beyond this row are located by counting partitions instead of by top-k.
 TOP_K_ROWS = 100_000
+# Rows an envelope, which goes through the driver, may hold.
+ENVELOPE_ROWS = 10_000
 
 
 class Cell(str):
@@ -65,9 +67,29 @@ def delete_rows(df: DataFrame, *comparisons: tuple, connective: str = "AND", neg
         second = comparison(df, *comparisons[1])
         second = ~second if negate_last else second
         predicate = (predicate & second) if connective == "AND" else (predicate | second)
+    kept = [_kept(df, *c) for c in comparisons]
+    if kept[0] is not None and (len(kept) == 1 or (connective == "OR" and not negate_last and kept[1] is not None)):
+        return df.where(kept[0] if len(kept) == 1 else kept[0] & kept[1])
     return df.where(~F.coalesce(predicate, F.lit(False)))
 
 
+def _kept(df: DataFrame, left, op: str, right) -> Column | None:
+    """What one comparison of a column with a literal leaves, in a form that reaches the file scan.
+
+    None for comparisons without such a form. Floating-point columns are among them: they
+    may hold NaN, which the statistics of a file need not cover.
+    """
+    if not isinstance(left, Cell) and isinstance(right, Cell):
+        left, op, right = right, {"<": ">", ">": "<"}.get(op, op), left
+    if not isinstance(left, Cell) or isinstance(right, Cell) or op not in ("=", "<", ">"):
+        return None
+    if not (is_string(df, left) or isinstance(data_type(df, left), T.IntegralType)):
+        return None
+    value = F.lit(right)
+    opposite = {"=": col(left) != value, "<": col(left) >= value, ">": col(left) <= value}[op]
+    return opposite | col(left).isNull()
+
+
 def delete_where(df: DataFrame, predicate: str) -> DataFrame:
     """``delete_rows`` for text like ``price > 10 AND NOT name CONTAINS 'x'``."""
     if "--" in predicate:
@@ -173,12 +195,22 @@ def page(df: DataFrame, start: int = 0, length: int = 10, order: list[dict] = ()
     )
 
 
+def _page_request(df: DataFrame, request: dict) -> DataFrame:
+    order = request.get("order")
+    return page(df, request.get("start", 0), request.get("length", 10), order if isinstance(order, list) else [])
+
+
 def page_envelope(df: DataFrame, request: dict) -> dict | None:
-    """The answer to a paging request: draw, total row count and the rows of the page."""
+    """The answer to a paging request: draw, total row count and the rows of the page.
+
+    It is made on the driver, so pages of more than ``ENVELOPE_ROWS`` rows are an error.
+    """
     if "draw" not in request:
         return None
-    order = request.get("order")
-    rows = page(df, request.get("start", 0), request.get("length", 10), order if isinstance(order, list) else [])
+    length = request.get("length", 10)
+    if type(length) is int and length > ENVELOPE_ROWS:
+        raise ValueError(f"a page of {length} rows is too long, at most {ENVELOPE_ROWS} are given out at once")
+    rows = _page_request(df, request)
     total = df.count()
     return {
         "draw": int(request["draw"]),
@@ -186,3 +218,14 @@ def page_envelope(df: DataFrame, request: dict) -> dict | None:
         "recordsFiltered": total,
         "data": [list(r) for r in rows.collect()],
     }
+
+
+def page_table(df: DataFrame, request: dict) -> DataFrame:
+    """The same answer as a table: the page's rows, each with draw and totals."""
+    total = df.count()
+    return _page_request(df, request).select(
+        F.lit(int(request["draw"])).alias("draw"),
+        F.lit(total).cast("long").alias("records_total"),
+        F.lit(total).cast("long").alias("records_filtered"),
+        *[col(n) for n in df.columns],
+    )

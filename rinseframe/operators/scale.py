@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinseframe.functions.columns import all_of, as_double, is_numeric, numeric_columns, replace_columns
+from rinseframe.functions.columns import all_of, as_double, col, is_numeric, numeric_columns, replace_columns
 from rinseframe.operators.stats import fit
 
 
@@ -38,11 +40,17 @@ def apply_remove_outliers(
 
     Empty cells and an undefined deviation (fewer than two values) drop the row.
     """
-    kept = [
-        F.abs(as_double(df, name) - F.lit(s["mean"]).cast("double"))
-        <= F.lit(None if s["std"] is None else s["std"] * outside_range).cast("double")
-        for name, s in params.items()
-    ]
+    kept = []
+    for name, s in params.items():
+        if s["std"] is None:
+            kept.append(F.lit(False))
+            continue
+        reach = s["std"] * outside_range
+        kept.append(F.abs(as_double(df, name) - F.lit(s["mean"]).cast("double")) <= F.lit(reach).cast("double"))
+        if math.isfinite(reach) and math.isfinite(s["mean"]):
+            # a little wider than the rule, on the column as it is, so that a scan can skip what is far outside
+            wide = abs(reach) + 1e-9 * (abs(s["mean"]) + abs(reach))
+            kept.append(col(name).between(s["mean"] - wide, s["mean"] + wide))
     return df.where(all_of(kept))
 
 

@@ -41,10 +41,18 @@ def fit(df: DataFrame, names: list[str], stats: list[str]) -> dict[str, dict[str
 
 
 def column_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One row per numeric column: count, min, max, mean and sample deviation."""
+    """One row per numeric column: count, min, max, mean and sample deviation.
+
+    One aggregate over all columns, whose single row is then laid out by column.
+    """
     names = numeric_columns(df) if names is None else names
-    values = unpivot(df, names)
-    return values.groupBy("column").agg(*[agg(F.col("x")).alias(stat) for stat, agg in AGGREGATES.items()])
+    require(df, *names)
+    schema = "column string, count long, min double, max double, mean double, std double"
+    if not names:
+        return df.sparkSession.createDataFrame([], schema)
+    whole = df.agg(*[agg(as_double(df, n)).alias(f"{i}_{stat}") for i, n in enumerate(names) for stat, agg in AGGREGATES.items()])
+    rows = [F.struct(F.lit(n).alias("column"), *[F.col(f"{i}_{stat}").alias(stat) for stat in AGGREGATES]) for i, n in enumerate(names)]
+    return whole.select(F.inline(F.array(*rows)))
 
 
 def unpivot(df: DataFrame, names: list[str]) -> DataFrame:
@@ -97,12 +105,13 @@ def quantiles(
         sketch = dict(zip(points, row[f"{i}_q"]))
         ranks[name] = {r for p in probabilities for r in _neighbour_ranks(totals[name], p)}
         spans[name] = _merge([(sketch[max(0.0, p - margin)], sketch[min(1.0, p + margin)]) for p in probabilities])
-        rows = totals[name]
-        while rows * 4 * margin * len(spans[name]) > SPAN_ROWS:
-            spans[name], inside = _narrow(df, name, spans[name], sorted(ranks[name]), accuracy)
-            if inside > rows / 2:
-                break
-            rows = inside
+    rows = {n: totals[n] * 4 * margin * len(spans[n]) for n in spans}
+    while wide := [n for n in spans if rows[n] > SPAN_ROWS]:
+        narrowed, inside = _narrow(df, {n: spans[n] for n in wide}, ranks, accuracy)
+        spans |= narrowed
+        for n in wide:  # stop where a round no longer helps: one value has most of the rows
+            expected = inside[n] * 4 * margin * len(spans[n])
+            rows[n] = expected if expected < rows[n] / 2 else 0
     exact = _values_at(df, ranks, spans) if ranks else {}
     found: dict[str, list[float | None]] = {}
     for name in names:
@@ -159,28 +168,31 @@ def _span_counts(df: DataFrame, spans: dict[str, list[tuple[float, float]]]) ->
 
 
 def _narrow(
-    df: DataFrame, name: str, spans: list[tuple[float, float]], ranks: list[int], accuracy: int
-) -> tuple[list[tuple[float, float]], int]:
-    """Bracket the ranks again by a sketch of the rows inside each span.
+    df: DataFrame, spans: dict[str, list[tuple[float, float]]], ranks: dict[str, set[int]], accuracy: int
+) -> tuple[dict[str, list[tuple[float, float]]], dict[str, int]]:
+    """Bracket the ranks again by a sketch of the rows inside each span, for all columns in two passes.
 
-    Also returns the largest number of rows a given span held.
+    Also returns the largest number of rows a given span of each column held.
     """
-    x = as_double(df, name)
-    requests, largest = {}, 0
-    for j, (below, rows) in enumerate(_span_counts(df, {name: spans})[name]):
-        shares = [(r - below) / rows for r in ranks if below <= r < below + rows]
-        if shares and spans[j][0] < spans[j][1]:
-            requests[j] = [max(0.0, min(shares) - 2.0 / accuracy), min(1.0, max(shares) + 2.0 / accuracy)]
-            largest = max(largest, rows)
+    requests, largest = {}, dict.fromkeys(spans, 0)
+    for i, (name, counts) in enumerate(_span_counts(df, spans).items()):
+        for j, (below, rows) in enumerate(counts):
+            shares = [(r - below) / rows for r in ranks[name] if below <= r < below + rows]
+            if shares and spans[name][j][0] < spans[name][j][1]:
+                low, high = max(0.0, min(shares) - 2.0 / accuracy), min(1.0, max(shares) + 2.0 / accuracy)
+                x = as_double(df, name)
+                inside = F.when(_inside(x, [spans[name][j]]), x)
+                requests[name, j] = F.approx_percentile(inside, [low, high], accuracy).alias(f"{i}_{j}")
+                largest[name] = max(largest[name], rows)
     if not requests:
-        return spans, 0
-    sketch = df.agg(
-        *[
-            F.approx_percentile(F.when(_inside(x, [spans[j]]), x), p, accuracy).alias(f"q{j}")
-            for j, p in requests.items()
-        ]
-    ).first()
-    return [tuple(sketch[f"q{j}"]) if j in requests else span for j, span in enumerate(spans)], largest
+        return spans, largest
+    sketch = df.agg(*requests.values()).first()
+    positions = {name: i for i, name in enumerate(spans)}
+    narrowed = {
+        name: [tuple(sketch[f"{positions[name]}_{j}"]) if (name, j) in requests else span for j, span in enumerate(spans[name])]
+        for name in spans
+    }
+    return narrowed, largest
 
 
 def _values_at(

@@ -76,7 +76,8 @@ def _to_datetime(df: DataFrame, name: str, formats: list[str], errors: str) -> C
     if is_numeric(df, name):  # nanoseconds since the epoch, kept to the microsecond
         micros = F.floor(as_double(df, name) / 1000).cast("bigint")
         if isinstance(data_type(df, name), T.IntegralType):
-            micros = F.expr(f"`{name}` div 1000")
+            whole = col(name).cast("bigint")
+            micros = F.call_function("div", whole, F.lit(1000))
         epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
         return epoch + F.make_dt_interval(secs=(micros / F.lit(1_000_000).cast("decimal(18,6)")).cast("decimal(18,6)"))
     if not is_string(df, name):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rinseframe.functions.columns import (
     as_double,
     col,
+    common_type,
     data_type,
     empty_as_null,
     is_numeric,
@@ -18,6 +20,7 @@ from rinseframe.functions.columns import (
     require,
 )
 from rinseframe.functions.regex import java_pattern, java_replacement
+from rinseframe.functions.text import cell_text
 from rinseframe.operators.stats import fit, quantiles
 
 
@@ -38,18 +41,19 @@ def _replaced(df: DataFrame, name: str, mapping: dict) -> Column | None:
     fitting = {k: v for k, v in mapping.items() if literal_fits(dtype, k)}
     if not fitting:
         return None
-    # a replacement of another type turns the whole column into text
-    as_text = any(v is not None and not literal_fits(dtype, v) for v in fitting.values())
-    target = "string" if as_text else dtype
+    target = common_type(dtype, fitting.values())
+    as_text = target != dtype and target == T.StringType()
     result = F
     for old, new in fitting.items():
         result = result.when(col(name) == F.lit(old), F.lit(str(new) if as_text and new is not None else new).cast(target))
-    return result.otherwise(col(name).cast(target))
+    return result.otherwise(cell_text(df, name) if as_text else col(name).cast(target))
 
 
 def find_replace(df: DataFrame, column: str, to_replace, value=None) -> DataFrame:
     """Replace whole cells equal to ``to_replace``; text never equals a number.
 
+    A fraction among whole numbers makes the column double, any other mix makes it text.
+
     ``to_replace`` may be one value, a list, or a dict of simultaneous replacements.
     """
     require(df, column)
@@ -106,13 +110,13 @@ def fill_all_median(df: DataFrame) -> DataFrame:
 
 
 def fill_value(df: DataFrame, column: str, value) -> DataFrame:
-    """Fill empty cells with a value; one of another type turns the column into text."""
+    """Fill empty cells with a value; a fraction makes whole numbers double, another type makes the column text."""
     dtype = data_type(df, column)
-    cells = empty_as_null(df, column)
-    if literal_fits(dtype, value):
-        filled = F.coalesce(cells, F.lit(value).cast(dtype))
+    target = common_type(dtype, [value])
+    if target == T.StringType() and dtype != target:
+        filled = F.coalesce(cell_text(df, column), F.lit(str(value)))
     else:
-        filled = F.coalesce(cells.cast("string"), F.lit(str(value)))
+        filled = F.coalesce(empty_as_null(df, column).cast(target), F.lit(value).cast(target))
     return replace_columns(df, {column: filled})
 
 

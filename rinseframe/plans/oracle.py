@@ -6,7 +6,8 @@ GAPS = """gaps as (
   select o_orderkey, o_orderstatus,
          case when o_orderstatus <> 'P' then o_totalprice end as o_totalprice,
          case when o_orderstatus <> 'P' then o_custkey end as o_custkey,
-         case when o_orderpriority <> '4-NOT SPECIFIED' then o_orderpriority end as o_orderpriority
+         case when o_orderpriority <> '4-NOT SPECIFIED' then o_orderpriority end as o_orderpriority,
+         o_orderdate
   from orders)"""
 
 
@@ -15,7 +16,7 @@ def columns(alias: str, table: str, names: str) -> str:
 
 
 ORDERS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"
-GAP_ORDERS = "o_orderkey o_orderstatus o_totalprice o_custkey o_orderpriority"
+GAP_ORDERS = "o_orderkey o_orderstatus o_totalprice o_custkey o_orderpriority o_orderdate"
 CUSTOMER = "c_custkey c_name c_nationkey c_acctbal c_mktsegment"
 NATION = "n_nationkey n_name n_regionkey"
 REGION = "r_regionkey r_name"
@@ -113,13 +114,18 @@ ORACLE: dict[str, str] = {
     "scan": "select * from orders",
     "scan_renamed": "select s_suppkey as id, s_name, s_nationkey, s_acctbal as balance from supplier",
     "scan_csv": "select c_custkey, c_name, c_nationkey::bigint as c_nationkey, c_acctbal, c_mktsegment from customer",
-    "scan_csv_empty": f"with {GAPS} select * from gaps",
-    "scan_csv_texts": "select doc_id, text, lang from documents",
+    "scan_csv_empty": f"with {GAPS} select * replace (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate) from gaps",
+    "scan_csv_texts": "select * from documents",
+    "csv_round_trip": """select * replace ('  ' || text || ' ' || chr(9) as text, chr(10) || ' ' || lang as lang,
+      source || ' ' || chr(10) as source) from documents""",
     "write_csv": "select concat_ws('|', "
     + ", ".join(c if c != "l_shipdate" else f"strftime({c}, '%Y-%m-%d %H:%M:%S')" for c in LINEITEM.split())
     + ") as line from lineitem",
     "scan_zip": "select p_partkey, p_name, p_brand, p_type, p_size::bigint as p_size, p_retailprice from part",
     "scan_sql_dump": "select page_id, url, html from pages",
+    "scan_sql_dump_comments": """select 'supplier' as kind, s_suppkey as id, s_name || '; it''s -- /* #' as name, s_acctbal as balance
+      from supplier union all select 'part', p_partkey, p_name, null from part""",
+    "load_path_sql": "select p_partkey, p_name from part",
     "load_path": "select p_partkey, p_name, p_brand, p_type, p_size::bigint as p_size, p_retailprice from part",
     "ctas": "select l_orderkey, l_linenumber, l_quantity from lineitem",
     "copy_table": "select * from part",
@@ -143,8 +149,13 @@ ORACLE: dict[str, str] = {
       from lineitem""",
     "find_replace_regex": r"""select c_custkey, regexp_replace(c_name, 'Customer#0*([0-9]+)', 'C<\1>', 'g') as c_name,
       c_nationkey, c_acctbal, c_mktsegment from customer""",
-    "find_replace_regex_texts": """select doc_id, regexp_replace(text, '[0-9]+([.,][0-9]+)?', '#', 'g') as text
+    "find_replace_regex_texts": """select * replace (regexp_replace(text, '[0-9]+([.,][0-9]+)?', '#', 'g') as text)
       from documents""",
+    "find_replace_regex_named": r"""select * replace (
+      regexp_replace(c_name, '([A-Z][a-z]+)#0{0,9}([0-9]*)', '\2 \1', 'g') as c_name) from customer""",
+    "find_replace_fraction": """select * replace (
+      (case p_size when 1 then 1.5 when 2 then 2.25 when 50 then 0 else p_size end)::double as p_size) from part""",
+    "fill_value_fraction": f"with {GAPS} select * replace (coalesce(o_custkey::double, 0.5::double) as o_custkey) from gaps",
     "find_replace_all": """select * replace (
       case l_returnflag when 'F' then 'final' when 'O' then 'open' else l_returnflag end as l_returnflag,
       case l_linestatus when 'F' then 'final' when 'O' then 'open' else l_linestatus end as l_linestatus)
@@ -159,12 +170,12 @@ ORACLE: dict[str, str] = {
       coalesce(o_custkey::varchar, 'unknown') as o_custkey) from gaps""",
     "fill_all_mean": f"""with {GAPS} select o_orderkey::double as o_orderkey, o_orderstatus,
       round(coalesce(o_totalprice, (select avg(o_totalprice) from gaps)), 4) as o_totalprice,
-      round(coalesce(o_custkey::double, (select avg(o_custkey) from gaps)), 4) as o_custkey, o_orderpriority
-      from gaps""",
+      round(coalesce(o_custkey::double, (select avg(o_custkey) from gaps)), 4) as o_custkey, o_orderpriority,
+      o_orderdate from gaps""",
     "fill_all_median": f"""with {GAPS} select o_orderkey::double as o_orderkey, o_orderstatus,
       coalesce(o_totalprice, (select median(o_totalprice) from gaps)) as o_totalprice,
-      coalesce(o_custkey::double, (select median(o_custkey) from gaps)) as o_custkey, o_orderpriority
-      from gaps""",
+      coalesce(o_custkey::double, (select median(o_custkey) from gaps)) as o_custkey, o_orderpriority,
+      o_orderdate from gaps""",
     # ---- scaling, outliers
     "normalize": f"select * replace ({normalized('l_extendedprice')}) from lineitem",
     "normalize_all": f"""select {normalized('p_partkey')}, p_name, p_brand, p_type,
@@ -202,13 +213,13 @@ ORACLE: dict[str, str] = {
       coalesce(o_orderpriority = '1-URGENT', false)::int as "1-URGENT",
       coalesce(o_orderpriority = '2-HIGH', false)::int as "2-HIGH",
       coalesce(o_orderpriority = '3-MEDIUM', false)::int as "3-MEDIUM",
-      coalesce(o_orderpriority = '5-LOW', false)::int as "5-LOW" from gaps""",
+      coalesce(o_orderpriority = '5-LOW', false)::int as "5-LOW", o_orderdate from gaps""",
     # ---- types, dates
     "to_string": "select * replace (l_extendedprice::varchar as l_extendedprice) from lineitem",
     "to_int": "select * replace (round_even(l_extendedprice, 0)::bigint as l_extendedprice) from lineitem",
     "to_float": f"with {GAPS} select * from gaps",
-    "to_datetime": "select event_id, date_trunc('second', ts)::timestamp as ts from events",
-    "to_datetime_from_number": "select event_id, ts from events",
+    "to_datetime": "select * replace (date_trunc('second', ts)::timestamp as ts) from events",
+    "to_datetime_from_number": "select * from events",
     "extract_year": "select * replace (year(ts)::int as ts) from events",
     "extract_month": "select * replace (month(ts)::int as ts) from events",
     "extract_week": "select * replace (week(ts)::int as ts) from events",
@@ -313,6 +324,7 @@ ORACLE: dict[str, str] = {
       select * from numbered where position <= 5""",
     "undo": f"""with {LOG} select data_id, version, description from log
       qualify version < max(version) over (partition by data_id) or count(*) over (partition by data_id) = 1""",
+    "versions_ordered": f"with {LOG} select * from log order by data_id, version",
     "drop_snapshot": f"""with {LOG} select data_id, version, description from log
       qualify version < max(version) over (partition by data_id)""",
     "cleaning_pipeline": f"""with {SALES},
@@ -330,4 +342,9 @@ ORACLE: dict[str, str] = {
                   join edges b on b.i = a.i + 1 and "customer.c_acctbal" <= b.e""",
     "pipeline_undone": f"with {SALES} select * from scaled",
     "pipeline_saved": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders",
+    "session_undone": "select o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority from orders",
+    "page_envelope": f"""with {GAPS} select 7 as draw, (select count(*) from gaps) as records_total,
+      (select count(*) from gaps) as records_filtered, * from gaps {SORTED_GAPS} limit 15 offset 20""",
+    "stream_events": """select * replace (case event_type when 'click' then 'CLICK' else event_type end as event_type,
+      dayname(ts) as ts) from events where not user_id < 10""",
 }

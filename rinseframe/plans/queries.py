@@ -19,6 +19,7 @@ from rinseframe.operators.rows import Cell
 from rinseframe.plans import versions
 from rinseframe.plans.lineage import new_path
 from rinseframe.sources import csv, dump, tables, zip as zips
+from rinseframe.streaming.rowwise import clean_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +41,7 @@ def orders_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("o_totalprice"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("o_custkey"),
         F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("o_orderpriority"),
+        "o_orderdate",
     )
 
 
@@ -79,7 +81,16 @@ def scan_csv_empty(spark, sf):
 def scan_csv_texts(spark, sf):
     """Whole texts with quotes, separators and line breaks."""
     path = new_path(spark, "scan_csv_texts")
-    csv.write_csv(read(spark, sf, "documents").select("doc_id", "text", "lang"), path)
+    csv.write_csv(read(spark, sf, "documents"), path)
+    return csv.read_csv(spark, path)
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Cells that begin and end in blanks, tabs and line breaks."""
+    path = new_path(spark, "csv_round_trip")
+    padded = {"text": F.concat(F.lit("  "), "text", F.lit(" \t")), "lang": F.concat(F.lit("\n "), "lang"), "source": F.concat("source", F.lit(" \n"))}
+    csv.write_csv(read(spark, sf, "documents").withColumns(padded), path)
     return csv.read_csv(spark, path)
 
 
@@ -120,6 +131,52 @@ def scan_sql_dump(spark, sf):
     return dump.read_dump(spark, path)["pages"]
 
 
+def commented_dump(spark: SparkSession, sf: str, path: str) -> None:
+    """Two tables as a dump with apostrophes in every kind of comment and semicolons in texts."""
+
+    def quoted(c):
+        return F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+    created = [
+        "/* it's; a dump */ CREATE TABLE suppliers (s_suppkey bigint, -- supplier's id; unique",
+        "  s_name text, # don't index",
+        "  s_acctbal double precision);",
+        'CREATE TABLE "parts" (p_partkey bigint, /* what\'s this */ p_name text);',
+    ]
+    comment = F.when(F.col("n") % 3 == 0, "/* it's; */ ").when(F.col("n") % 3 == 1, "# don't; \n").otherwise("-- isn't\n")
+    suppliers = read(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("n"),
+        F.concat(
+            F.lit("INSERT INTO suppliers (s_name, s_suppkey, s_acctbal) VALUES ("),
+            F.concat_ws(", ", quoted(F.concat("s_name", F.lit("; it's -- /* #"))), F.col("s_suppkey").cast("string"), F.col("s_acctbal").cast("string")),
+            F.lit("); -- supplier's row"),
+        ).alias("s"),
+    )
+    parts = read(spark, sf, "part").select(
+        F.col("p_partkey").alias("n"),
+        F.concat(F.lit('INSERT INTO "parts" VALUES ('), F.col("p_partkey").cast("string"), F.lit(" /* ; ' */, "), quoted(F.col("p_name")), F.lit(");")).alias("s"),
+    )
+    rows_ = suppliers.unionByName(parts).select(F.concat(comment, "s").alias("s"))
+    spark.createDataFrame([("\n".join(created),)], "s string").unionByName(rows_).write.text(path)
+
+
+@query
+def scan_sql_dump_comments(spark, sf):
+    path = new_path(spark, "scan_sql_dump_comments")
+    commented_dump(spark, sf, path)
+    found = dump.read_dump(spark, path)
+    supplier = found["suppliers"].selectExpr("'supplier' AS kind", "s_suppkey AS id", "s_name AS name", "s_acctbal AS balance")
+    return supplier.unionByName(found["parts"].selectExpr("'part' AS kind", "p_partkey AS id", "p_name AS name", "CAST(NULL AS double) AS balance"))
+
+
+@query
+def load_path_sql(spark, sf):
+    """A dump found by its extension."""
+    path = new_path(spark, "load") + ".sql"
+    commented_dump(spark, sf, path)
+    return tables.load_path(spark, path)["parts"]
+
+
 @query
 def load_path(spark, sf):
     path = new_path(spark, "load") + ".csv"
@@ -208,8 +265,25 @@ def find_replace_regex(spark, sf):
 
 @query
 def find_replace_regex_texts(spark, sf):
-    texts = read(spark, sf, "documents").select("doc_id", "text")
-    return values.find_replace_regex(texts, "text", r"[0-9]+([.,][0-9]+)?", "#")
+    return values.find_replace_regex(read(spark, sf, "documents"), "text", r"[0-9]+([.,][0-9]+)?", "#")
+
+
+@query
+def find_replace_regex_named(spark, sf):
+    """Named groups and an open repeat count in Python's spelling."""
+    pattern = r"(?P<first_part>[A-Z][a-z]+)#0{,9}(?P<second_part>[0-9]*)"
+    return values.find_replace_regex(read(spark, sf, "customer"), "c_name", pattern, r"\g<second_part> \g<first_part>")
+
+
+@query
+def find_replace_fraction(spark, sf):
+    """Fractions among whole numbers."""
+    return values.find_replace(read(spark, sf, "part"), "p_size", {1: 1.5, 2: 2.25, 50: 0})
+
+
+@query
+def fill_value_fraction(spark, sf):
+    return values.fill_value(orders_with_gaps(spark, sf), "o_custkey", 0.5)
 
 
 @query
@@ -326,15 +400,15 @@ def to_float(spark, sf):
 
 @query
 def to_datetime(spark, sf):
-    text = read(spark, sf, "events").select("event_id", F.date_format("ts", "M/d/yyyy H:mm:ss").alias("ts"))
+    text = read(spark, sf, "events").withColumn("ts", F.date_format("ts", "M/d/yyyy H:mm:ss"))
     return types.change_type(text, "ts", "datetime")
 
 
 @query
 def to_datetime_from_number(spark, sf):
     """Nanoseconds since the epoch."""
-    nanos = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts")
-    return types.change_type(read(spark, sf, "events").select("event_id", nanos), "ts", "datetime")
+    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return types.change_type(read(spark, sf, "events").withColumn("ts", nanos), "ts", "datetime")
 
 
 def _extract(part: str) -> Query:
@@ -432,12 +506,12 @@ def join_chain_partial(spark, sf):
         "nation": read(spark, sf, "nation"),
         "supplier": read(spark, sf, "supplier"),
     }
-    return joins.join_tables(three, ["r_regionkey", "n_regionkey", None])
+    return joins.join_tables(three, ["r_regionkey", "n_regionkey", None], cross=True)
 
 
 @query
 def join_unconditional(spark, sf):
-    return joins.join_tables({"supplier": read(spark, sf, "supplier"), "region": read(spark, sf, "region")})
+    return joins.join_tables({"supplier": read(spark, sf, "supplier"), "region": read(spark, sf, "region")}, cross=True)
 
 
 @query
@@ -602,6 +676,11 @@ def undo(spark, sf):
     return versions.undo(_log(spark, sf))
 
 
+@query
+def versions_ordered(spark, sf):
+    return versions.in_order(_log(spark, sf))
+
+
 @query
 def drop_snapshot(spark, sf):
     log = _log(spark, sf)
@@ -643,3 +722,39 @@ def pipeline_saved(spark, sf):
     session.save(folder)
     session.step(rows.drop_column, "o_orderdate", describe="DELETE COLUMN o_orderdate").save(folder)
     return versions.Session.load(spark, folder).table("orders")
+
+
+@query
+def session_undone(spark, sf):
+    """Undo after saving, then another step, saved and loaded again."""
+    folder = new_path(spark, "session")
+    session = versions.Session({"orders": read(spark, sf, "orders"), "customer": read(spark, sf, "customer")}, "INIT FROM PARQUET")
+    session.save(folder)
+    session.step(rows.drop_column, "o_orderdate", describe="DELETE COLUMN o_orderdate").save(folder)
+    session.undo()
+    session.step(rows.drop_column, "o_orderstatus", describe="DELETE COLUMN o_orderstatus").save(folder)
+    return versions.Session.load(spark, folder).table("orders")
+
+
+# ---- paging envelope, streams
+
+
+@query
+def page_envelope(spark, sf):
+    request = {"draw": "7", "start": 20, "length": 15, "order": [{"column": 4, "dir": "desc"}, {"column": 2, "dir": "asc"}, {"column": 0, "dir": "asc"}]}
+    return rows.page_table(orders_with_gaps(spark, sf), request)
+
+
+@query
+def stream_events(spark, sf):
+    """Row-level steps on arriving files, all files that are there taken once."""
+    source, target, checkpoint = (new_path(spark, f"stream_{n}") for n in ("source", "target", "checkpoint"))
+    events = read(spark, sf, "events")
+    events.write.parquet(source)
+    steps = [
+        lambda df: values.find_replace(df, "event_type", "click", "CLICK"),
+        lambda df: rows.delete_rows(df, (Cell("user_id"), "<", 10)),
+        lambda df: types.extract_from_datetime(df, "ts", "weekday"),
+    ]
+    clean_stream(spark, source, events.schema, steps, target, checkpoint).awaitTermination()
+    return spark.read.parquet(target)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,31 +55,50 @@ def drop_snapshot(log: DataFrame, dropped: DataFrame) -> DataFrame:
     return log.join(dropped.select("data_id", "version").distinct(), ["data_id", "version"], "left_anti")
 
 
+def in_order(log: DataFrame) -> DataFrame:
+    """The log by dataset, then by version."""
+    return log.orderBy("data_id", "version")
+
+
+LOG = "at long, action string, snapshot string, version int, description string, tables array<struct<name:string,path:string>>"
+
+
+@dataclass
+class Version:
+    number: int
+    description: str
+    tables: dict[str, DataFrame]
+    #: folder -> (snapshot id, paths of the tables), for every folder it was saved in
+    saved: dict[str, tuple[str, dict[str, str]]] = field(default_factory=dict)
+
+
 class Session:
     """Tables of one dataset under cleaning.
 
     Every step makes a new version holding all tables; tables stay lazy until they
-    are written. ``save`` writes the newest version under a new path and appends it
-    to the log, so nothing is overwritten and a lost run leaves earlier versions whole.
+    are written. ``save`` writes the newest version's new tables under fresh paths and
+    appends a row to the folder's log; tables that a saved version already holds are
+    pointed to. Undoing a saved version, or dropping one, is a log row as well, so
+    nothing is overwritten and a lost run leaves earlier versions whole.
     """
 
     def __init__(self, tables: dict[str, DataFrame], description: str):
-        self._versions = [(1, description, dict(tables))]
+        self._versions = [Version(1, description, dict(tables))]
 
     @property
     def version(self) -> int:
-        return self._versions[-1][0]
+        return self._versions[-1].number
 
     @property
     def tables(self) -> dict[str, DataFrame]:
-        return dict(self._versions[-1][2])
+        return dict(self._versions[-1].tables)
 
     def table(self, name: str | None = None) -> DataFrame:
-        tables = self._versions[-1][2]
+        tables = self._versions[-1].tables
         return tables[name] if name is not None else tables[next(iter(tables))]
 
     def _add(self, description: str, tables: dict[str, DataFrame]) -> Session:
-        self._versions.append((self.version + 1, description, tables))
+        self._versions.append(Version(self.version + 1, description, tables))
         return self
 
     def step(
@@ -98,40 +120,75 @@ class Session:
         return self._add(f"RENAME {old} TO {new}", tables)
 
     def undo(self) -> Session:
+        """Go back one version; where the undone one was saved, the folder's log says so."""
         if len(self._versions) > 1:
-            self._versions.pop()
+            undone = self._versions.pop()
+            for folder, (snapshot, _) in undone.saved.items():
+                self._note(folder, "drop", snapshot, undone, [])
         return self
 
     def history(self, length: int = HISTORY_LENGTH) -> list[str]:
-        return [description for _, description, _ in self._versions[::-1][:length]]
+        return [v.description for v in self._versions[::-1][:length]]
 
     def settle(self) -> Session:
-        """Compute the newest version once, so that later steps start from its rows."""
-        number, description, tables = self._versions[-1]
-        self._versions[-1] = (number, description, {n: cut_lineage(df) for n, df in tables.items()})
+        """Compute what the newest version changed once, so that later steps start from its rows."""
+        newest = self._versions[-1]
+        before = [df for v in self._versions[:-1] for df in v.tables.values()]
+        for name, df in newest.tables.items():
+            if not any(df is old for old in before):
+                newest.tables[name] = cut_lineage(df)
         return self
 
-    def save(self, folder: str) -> None:
-        """Write the newest version: one Parquet table each, then its log row."""
-        number, description, tables = self._versions[-1]
-        spark = next(iter(tables.values())).sparkSession
-        for name, df in tables.items():
-            df.write.mode("errorifexists").parquet(f"{folder}/version={number}/{name}")
-        row = [(number, description, list(tables))]
-        log = spark.createDataFrame(row, "version int, description string, tables array<string>")
-        log.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    @staticmethod
+    def _note(folder: str, action: str, snapshot: str, version: Version, tables: list[tuple[str, str]]) -> None:
+        spark = next(iter(version.tables.values())).sparkSession
+        row = [(time.time_ns(), action, snapshot, version.number, version.description, tables)]
+        spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+
+    def save(self, folder: str) -> str:
+        """Write the newest version's tables that are not yet in the folder, then its log row."""
+        newest = self._versions[-1]
+        if folder in newest.saved:
+            raise ValueError(f"version {newest.number} is already saved in {folder!r}")
+        there = [
+            (df, v.saved[folder][1][name]) for v in self._versions if folder in v.saved for name, df in v.tables.items()
+        ]
+        snapshot, paths = uuid.uuid4().hex, {}
+        for position, (name, df) in enumerate(newest.tables.items()):
+            known = next((path for old, path in there if old is df), None)
+            paths[name] = known or f"{folder}/tables/{snapshot}/{position}"
+            if known is None:
+                df.write.mode("errorifexists").parquet(paths[name])
+        self._note(folder, "save", snapshot, newest, list(paths.items()))
+        newest.saved[folder] = (snapshot, paths)
+        return snapshot
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Session:
-        """The saved versions, oldest first."""
-        session = cls.__new__(cls)
-        log = spark.read.parquet(f"{folder}/log").orderBy("version").collect()
-        session._versions = [
-            (
-                row["version"],
-                row["description"],
-                {name: spark.read.parquet(f"{folder}/version={row['version']}/{name}") for name in row["tables"]},
-            )
-            for row in log
-        ]
+        """The saved versions, oldest first, without those undone or dropped."""
+        log = spark.read.parquet(f"{folder}/log").orderBy("at").collect()  # a row for each save and undo
+        dropped = {row["snapshot"] for row in log if row["action"] == "drop"}
+        session, frames = cls.__new__(cls), {}
+        session._versions = []
+        for row in log:
+            if row["action"] != "save" or row["snapshot"] in dropped:
+                continue
+            paths = {t["name"]: t["path"] for t in row["tables"]}
+            for path in paths.values():
+                if path not in frames:
+                    frames[path] = spark.read.parquet(path)
+            tables = {name: frames[path] for name, path in paths.items()}
+            session._versions.append(Version(row["version"], row["description"], tables, {folder: (row["snapshot"], paths)}))
+        if not session._versions:
+            raise ValueError(f"no version is left in {folder!r}")
         return session
+
+    def drop(self, number: int) -> Session:
+        """Take out one version that is not the only one, here and in the folders it was saved in."""
+        chosen = [v for v in self._versions if v.number == number]
+        if not chosen or len(self._versions) == 1:
+            raise ValueError(f"version {number} cannot be dropped")
+        self._versions.remove(chosen[0])
+        for folder, (snapshot, _) in chosen[0].saved.items():
+            self._note(folder, "drop", snapshot, chosen[0], [])
+        return self

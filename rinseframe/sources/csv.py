@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from rinseframe.functions.columns import col, replace_columns
 from rinseframe.functions.text import cell_text
+from rinseframe.sources.rejoin import read_pieces, rejoin
 
 # Cell texts read as empty.
 NA_TOKENS = [
@@ -36,7 +38,7 @@ NA_TOKENS = [
 
 # How numbers and truth values are written in a cell.
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
-NUMBER_TEXT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+NUMBER_TEXT = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 TRUTH_TEXT = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 
@@ -90,6 +92,55 @@ def has_quoted_line_breaks(spark: SparkSession, path: str, quote: str = '"') ->
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
+def read_records(spark: SparkSession, path: str, quote: str) -> DataFrame:
+    """(record, first): lines joined where a quote is open, in parallel; ``first`` marks each file's header."""
+
+    def step(line: str, state: int, wanted: bool) -> tuple[int, str]:
+        return (state + line.count(quote)) % 2, line
+
+    records = rejoin(read_pieces(spark, path, "\n"), step, 2, "\n")
+    return records.withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> '' OR first")
+
+
+def odd_column(names: list[str]) -> str:
+    """A column for the text of rows that have another number of cells than there are columns."""
+    odd = "odd_record"
+    while odd.lower() in [n.lower() for n in names]:
+        odd += "_"
+    return odd
+
+
+def without_surplus(parsed: DataFrame, names: list[str], sep: str, quote: str) -> DataFrame:
+    """The columns of parsed rows; a row with more cells than columns is an error."""
+    odd, q = odd_column(names), re.escape(quote)
+    unquoted = F.regexp_replace(col(odd), f"{q}(?:[^{q}]|{q}{q})*+{q}", "")
+    cells = 1 + (F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))) / len(sep)
+    surplus = F.raise_error(F.concat(F.lit("more cells than columns: "), col(odd))).cast("boolean")
+    fitting = F.when(col(odd).isNull() | (cells <= len(names)), F.lit(True)).otherwise(surplus)
+    return parsed.where(fitting).select(*[col(n) for n in names])
+
+
+def parse_records(records: DataFrame, names: list[str], options: dict[str, str]) -> DataFrame:
+    """The cells of whole CSV records as text columns."""
+    odd = odd_column(names)
+    ddl = ", ".join([f"c{i} string" for i in range(len(names))] + ["odd string"])
+    parsed = records.select(F.from_csv("record", ddl, {**options, "columnNameOfCorruptRecord": "odd"}).alias("r"))
+    return without_surplus(parsed.select("r.*").toDF(*names, odd), names, options["sep"], options["quote"])
+
+
+def typed(text: DataFrame, schema: T.StructType | str | None) -> DataFrame:
+    """Text columns with the types and names of a schema, or with inferred types."""
+    if schema is None:
+        return infer_types(text)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if len(wanted.fields) != len(text.columns):
+        raise ValueError(f"the schema has {len(wanted.fields)} columns, the file {len(text.columns)}")
+    return text.select(
+        *[F.trim(col(n)).cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType) else col(n).alias(f.name)
+          for n, f in zip(text.columns, wanted.fields)]
+    )
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -103,30 +154,29 @@ def read_csv(
 ) -> DataFrame:
     """A CSV file or folder with a header line.
 
-    Types are inferred from all rows unless ``schema`` is given. ``multi_line`` left
-    open is decided by looking for quoted line breaks, since files holding them
-    cannot be split; give both to read very large files in a single pass.
+    Types are inferred from all rows unless ``schema`` is given. ``multi_line`` left open is
+    decided by looking for quoted line breaks; give both to read very large files in a
+    single pass. Files with quoted line breaks are split among tasks like others, except in
+    encodings other than UTF-8. A row with fewer cells than the header is filled with empty
+    cells, one with more is an error.
     """
     if multi_line is None:
         multi_line = has_quoted_line_breaks(spark, path, quote)
-    reader = (
-        spark.read.option("header", header)
-        .option("sep", sep)
-        .option("quote", quote)
-        .option("escape", quote)
-        .option("multiLine", multi_line)
-        .option("encoding", encoding)
-    )
-    text = empty_tokens_to_null(reader.csv(path), na_tokens)
-    if schema is None:
-        return infer_types(text)
-    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if len(wanted.fields) != len(text.columns):
-        raise ValueError(f"the schema has {len(wanted.fields)} columns, the file {len(text.columns)}")
-    return text.select(
-        *[F.trim(col(n)).cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType) else col(n).alias(f.name)
-          for n, f in zip(text.columns, wanted.fields)]
-    )
+    options = {"sep": sep, "quote": quote, "escape": quote, "encoding": encoding}
+    plain = encoding.upper().replace("-", "") == "UTF8"
+    reader = spark.read.options(**options).option("header", header).option("multiLine", multi_line)
+    records = read_records(spark, path, quote) if multi_line and plain else None
+    names = reader.csv(path).columns
+    if not names:
+        raise ValueError(f"{path!r} holds no columns")
+    if records is not None:
+        parsed = parse_records(records.where("NOT first") if header else records, names, options)
+    else:
+        odd = odd_column(names)
+        strings = T.StructType([T.StructField(n, T.StringType()) for n in [*names, odd]])
+        parsed = reader.option("columnNameOfCorruptRecord", odd).schema(strings).csv(path)
+        parsed = without_surplus(parsed, names, sep, quote)
+    return typed(empty_tokens_to_null(parsed, na_tokens), schema)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", empty: str = "", single_file: bool = False) -> None:
@@ -143,5 +193,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", empty: str = "", single_
         .option("escape", '"')
         .option("nullValue", empty)
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

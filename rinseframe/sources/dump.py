@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rinseframe.plans.lineage import cut_lineage, new_path
+from rinseframe.plans.lineage import new_path
+from rinseframe.sources.rejoin import CODE, read_pieces, rejoin
 from rinseframe.sources.sqltypes import spark_type
 
 # Parts of the statements, with possessive repeats so that no text is too long.
@@ -16,58 +17,54 @@ QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
 TUPLE = rf"(?s)\((?:[^()']++|{QUOTED}|\([^()']*+\))*+\)"
 VALUE = rf"(?s)\s*+((?:[^,()']++|{QUOTED}|\([^()']*+\))++)(?:,|$)"
 NAME = r"[\"'`]?(\w[\w$]*)[\"'`]?"
-START = r"(?is)^(?:\s++|--[^\n]*+\n|/\*.*?\*/)*+"
+START = r"(?is)^\s*+"
 CREATE = rf"{START}CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:{NAME}\.)?{NAME}\s*\("
 INSERT = rf"{START}INSERT\s+INTO\s+(?:{NAME}\.)?{NAME}\s*(?:\(([^()]*)\))?\s*VALUES"
 # Words opening a line of CREATE TABLE that declares no column.
 NOT_COLUMNS = {"primary", "key", "unique", "constraint", "index", "foreign", "check", "fulltext", "spatial", "exclude"}
 
 
+# States a place of a dump can be in: code, or inside a quoted text, name or comment.
+TEXT, DOUBLE, BACKTICK, BLOCK, LINE = range(CODE + 1, CODE + 6)
+OPENS = {"'": TEXT, '"': DOUBLE, "`": BACKTICK, "/*": BLOCK, "--": LINE, "#": LINE}
+OPENING = re.compile(r"""'|"|`|/\*|--|#""")
+CLOSING = {
+    TEXT: re.compile(r"(?s)[^'\\]*+(?:\\.[^'\\]*+)*+'"),
+    DOUBLE: re.compile(r'(?s)[^"\\]*+(?:\\.[^"\\]*+)*+"'),
+    BACKTICK: re.compile(r"[^`]*+`"),
+    BLOCK: re.compile(r"(?s).*?\*/"),
+    LINE: re.compile(r"[^\n]*+\n"),
+}
+
+
+def read_through(piece: str, state: int, uncommented: bool) -> tuple[int, str]:
+    """The state after a piece of a dump, and the piece with blanks for its comments if asked for."""
+    at, kept = 0, []
+    while at < len(piece):
+        if state == CODE:
+            found = OPENING.search(piece, at)
+            end = found.end() if found else len(piece)
+            following = OPENS[found[0]] if found else CODE
+            if uncommented:
+                kept.append(piece[at : found.start() if following in (BLOCK, LINE) else end])
+        else:
+            found = CLOSING[state].match(piece, at)
+            end = found.end() if found else len(piece)
+            following = CODE if found else state
+            if uncommented:
+                kept.append(piece[at:end] if state not in (BLOCK, LINE) else " ")
+        at, state = end, following
+    return state, "".join(kept)
+
+
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """(statement): the file cut at semicolons outside single-quoted text.
+    """(statement): the file cut at semicolons outside quotes and comments, without its comments.
 
-    The file is split freely among tasks at every semicolon. Where quotes are open at
-    such a cut, the pieces are put together again: the number of quotes before a
-    piece is summed first inside each file block, then over the blocks.
+    A quote or block comment open at the end of a file is an error.
     """
-    # a quote in a comment line ("-- ..."), or behind a backslash, opens no text
-    uncommented = F.when(F.col("value").contains("--"), F.regexp_replace("value", r"(?m)^--(?:\s.*)?$", "")).otherwise(
-        F.col("value")
-    )
-    plain = F.regexp_replace(uncommented, r"(?s)\\.", "")
-    quotes = F.length(plain) - F.length(F.replace(plain, F.lit("'"), F.lit("")))
-    pieces = spark.read.option("lineSep", ";").text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        (quotes % 2).alias("odd"),
-    )
-    if pieces.where("odd = 1").isEmpty():
-        return pieces.select(F.col("value").alias("statement"))
-
-    before_block = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    in_block = Window.partitionBy("file", "block").orderBy("at")
-
-    def running(df: DataFrame, column: str, name: str) -> DataFrame:
-        """Sum of a column over all pieces up to and including this one."""
-        blocks = df.groupBy("file", "block").agg(F.sum(column).alias("_sum"))
-        blocks = blocks.select("file", "block", F.coalesce(F.sum("_sum").over(before_block), F.lit(0)).alias("_before"))
-        summed = F.col("_before") + F.sum(column).over(in_block)
-        return df.join(blocks, ["file", "block"]).withColumn(name, summed).drop("_before")
-
-    counted = running(pieces, "odd", "quotes")
-    counted = counted.withColumn("starts", 1 - (F.col("quotes") - F.col("odd")) % 2)
-    numbered = running(counted, "starts", "number")
-    whole = numbered.where("starts = 1 and quotes % 2 = 0").select(F.col("value").alias("statement"))
-    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
-    glued = (
-        numbered.where("not (starts = 1 and quotes % 2 = 0)")
-        .groupBy("file", "number")
-        .agg(F.array_join(F.transform(parts, lambda p: p["value"]), ";").alias("statement"))
-        .select("statement")
-    )
-    return whole.unionByName(glued)
+    pieces = read_pieces(spark, path, ";")
+    found = rejoin(pieces, read_through, CODE + 6, ";", may_end_in=(CODE, LINE), left_out=(BLOCK, LINE))
+    return found.select(F.col("record").alias("statement"))
 
 
 def parse_columns(declarations: str) -> list[tuple[str, str]]:
@@ -78,7 +75,7 @@ def parse_columns(declarations: str) -> list[tuple[str, str]]:
         if depth == 0:
             closed = position
             break
-    for line in re.split(r",(?![^(]*\))", re.sub(r"(?m)--.*$", "", declarations[:closed])):
+    for line in re.split(r",(?![^(]*\))", declarations[:closed]):
         match = re.match(r"\s*([\"'`]?)(\w[\w$]*)\1\s+(.+)", line, re.S)
         if not match or (not match.group(1) and match.group(2).lower() in NOT_COLUMNS):
             continue
@@ -115,10 +112,10 @@ def _cell(text: Column, dtype: T.DataType) -> Column:
 def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Table name to table, for every table the dump creates.
 
-    Statements are found once and kept; the tuples of all INSERT statements are then
+    Statements are cut once and kept; the tuples of all INSERT statements are then
     written once, one folder per table.
     """
-    statements = cut_lineage(read_statements(spark, path))
+    statements = read_statements(spark, path)
     created = statements.where(F.col("statement").rlike(CREATE)).select(
         F.regexp_extract("statement", CREATE, 2).alias("name"),
         F.regexp_replace("statement", CREATE, "").alias("body"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,8 @@ def load_path(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]
         return {table_name(path): read_csv(spark, path, **options)}
     if extension == "zip":
         return read_zip(spark, path, **options)
+    if extension in ("sql", "parquet") and options:
+        raise ValueError(f"a .{extension} file takes no options, given {sorted(options)}")
     if extension == "sql":
         return read_dump(spark, path)
     if extension == "parquet":
@@ -46,10 +50,33 @@ def copy_table(spark: SparkSession, source: str, target: str) -> tuple[DataFrame
     return copied, {name: name for name in copied.columns}
 
 
+def path_parts(path: str) -> list[str]:
+    """The folders of a path, without its file system."""
+    return [p for p in re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).split("/") if p not in ("", ".")]
+
+
+def reads_from(df: DataFrame, path: str) -> bool:
+    """Whether the rows come from files at or below a path, by the root paths of the plan's relations."""
+    target = path_parts(path)
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() != "HadoopFsRelation":
+            continue
+        roots = relation.location().rootPaths()
+        for k in range(roots.size()):
+            source = path_parts(roots.apply(k).toString())
+            if source[: len(target)] == target or target[: len(source)] == source:
+                return True
+    return False
+
+
 def replace_table(df: DataFrame, path: str) -> DataFrame:
     """Overwrite a stored table, refused where the new rows are read from that same path."""
-    target = path.rstrip("/")
-    if any(target in source for source in df.inputFiles()):
+    if reads_from(df, path):
         raise ValueError("a table cannot be overwritten by rows read from it; write to a new path")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -11,41 +11,41 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rinseframe.sources.csv import NA_TOKENS, empty_tokens_to_null, infer_types
+from rinseframe.plans.lineage import new_path
+from rinseframe.sources.csv import NA_TOKENS, empty_tokens_to_null, parse_records, typed
 
-RECORDS = "archive string, member string, no long, record string"
+RECORDS = "archive string, no long, record string, member string"
 BATCH = 10_000
 
 
-def unzip_records(archives: DataFrame, member: str | None = None, headers_only: bool = False) -> DataFrame:
+def unzip_records(archives: DataFrame, quote: str = '"', encoding: str = "utf-8-sig") -> DataFrame:
     """CSV records of the archives in a (path, content) table; archives are read in parallel.
 
     A zip has no split points, so one archive is the unit of work; its members are
     streamed out in batches. A record goes on over line breaks while a quote is open.
     """
-    columns, batch_rows = ["archive", "member", "no", "record"], BATCH
+    columns, batch_rows = ["archive", "no", "record", "member"], BATCH
 
-    def records(content: bytes) -> Iterator[tuple[str, int, str]]:
+    def records(content: bytes) -> Iterator[tuple[int, str, str]]:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             for info in archive.infolist():
                 name = os.path.basename(info.filename)
-                if info.is_dir() or (member is not None and name != member):
+                if info.is_dir():
                     continue
                 number, parts, quotes = 0, [], 0
-                with io.TextIOWrapper(archive.open(info), encoding="utf-8-sig", newline="") as lines:
+                with io.TextIOWrapper(archive.open(info), encoding=encoding, newline="") as lines:
                     for line in lines:
                         parts.append(line)
-                        quotes += line.count('"')
+                        quotes += line.count(quote)
                         if quotes % 2:
                             continue
                         record = "".join(parts).rstrip("\r\n")
                         parts = []
                         if record:
-                            yield name, number, record
+                            yield number, record, name
                             number += 1
-                            if headers_only:
-                                break
                     if quotes % 2:
                         raise ValueError(f"a quote is left open at the end of {name!r}")
 
@@ -54,8 +54,8 @@ def unzip_records(archives: DataFrame, member: str | None = None, headers_only:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 rows = []
-                for name, number, record in records(bytes(content)):
-                    rows.append((path, name, number, record))
+                for record in records(bytes(content)):
+                    rows.append((path, *record))
                     if len(rows) == batch_rows:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
@@ -65,25 +65,39 @@ def unzip_records(archives: DataFrame, member: str | None = None, headers_only:
 
 
 def read_archives(
-    archives: DataFrame, sep: str = ",", na_tokens: list[str] = NA_TOKENS
+    archives: DataFrame,
+    sep: str = ",",
+    na_tokens: list[str] = NA_TOKENS,
+    quote: str = '"',
+    header: bool = True,
+    schema: dict[str, T.StructType | str] | None = None,
+    encoding: str = "utf-8-sig",
 ) -> dict[str, DataFrame]:
-    """Member name to table. Members of one name in several archives form one table."""
-    headers = unzip_records(archives, headers_only=True).select("member", "record").distinct()
+    """Member name to table. Members of one name in several archives form one table.
+
+    Every archive is unzipped once, into a table with a folder for each member. Types are
+    inferred from all rows, but for members that ``schema`` names.
+    """
+    path = new_path(archives.sparkSession, "unzipped")
+    unzip_records(archives, quote, encoding).write.partitionBy("member").parquet(path)
+    stored = archives.sparkSession.read.schema(RECORDS).parquet(path)
     tables: dict[str, DataFrame] = {}
-    options = {"sep": sep, "quote": '"', "escape": '"'}
-    for row in headers.orderBy("member").collect():
+    options = {"sep": sep, "quote": quote, "escape": quote}
+    # a header for each member name
+    for row in stored.where("no = 0").select("member", "record").distinct().orderBy("member").collect():
+        cells = next(csv.reader([row["record"]], delimiter=sep, quotechar=quote))
+        names = cells if header else [f"_c{i}" for i in range(len(cells))]
         if row["member"] in tables:
-            raise ValueError(f"archives disagree about the header of {row['member']!r}")
-        names = next(csv.reader([row["record"]], delimiter=sep))
-        ddl = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
-        records = unzip_records(archives, member=row["member"]).where(F.col("no") > 0)
-        parsed = records.select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
-        text = empty_tokens_to_null(parsed, na_tokens)
-        tables[row["member"]] = infer_types(text)
+            if tables[row["member"]].columns != names or header:
+                raise ValueError(f"archives disagree about the header of {row['member']!r}")
+            continue
+        records = stored.where(F.col("member") == row["member"])
+        text = parse_records(records.where("no > 0") if header else records, names, options)
+        tables[row["member"]] = typed(empty_tokens_to_null(text, na_tokens), (schema or {}).get(row["member"]))
     return tables
 
 
-def read_zip(spark: SparkSession, path: str, sep: str = ",") -> dict[str, DataFrame]:
+def read_zip(spark: SparkSession, path: str, sep: str = ",", **options) -> dict[str, DataFrame]:
     """Tables of one archive, or of a folder of archives."""
     archives = spark.read.format("binaryFile").load(path).select("path", "content")
-    return read_archives(archives, sep)
+    return read_archives(archives, sep, **options)

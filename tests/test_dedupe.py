@@ -223,3 +223,44 @@ def test_repeated_key_in_table(spark):
 def test_replace_numbers_is_unchanged(spark):
     df = spark.createDataFrame([(1,)], "n int")
     assert dedupe.replace_duplicates(df, "n", {"1": "2"}) is df
+
+
+@pytest.mark.parametrize("k", [2, 3])
+@pytest.mark.parametrize("length", [40, 120])
+def test_candidates_of_templates_grow_with_the_table(spark, k, length):
+    """A template with random numbers: a few candidates for each string, however many strings there are."""
+    rng = random.Random(length + k)
+    head = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz/", k=length // 2 - 6))
+    tail = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz/", k=length - len(head) - 12))
+
+    def candidates(n):
+        texts = {head + "".join(rng.choices("0123456789", k=12)) + tail for _ in range(n)}
+        frame = spark.createDataFrame([(t, len(t), i) for i, t in enumerate(texts)], "v string, len int, id int")
+        frame = frame.selectExpr("v", "1L AS n", "v AS f", "unhex(md5(v)) AS id", "len")
+        kept = dedupe._kept_pieces(frame, k)
+        return dedupe._long_candidates(kept, frame, k, k).count()
+
+    for n in (1000, 6000):  # of each piece kept, and of each shift it may have
+        assert candidates(n) <= n * dedupe.CROWDED * (k + 1) ** 2
+
+
+def test_templates_lose_no_pair(spark):
+    rng = random.Random(8)
+    texts = set()
+    while len(texts) < 400:
+        number = "".join(rng.choices("01", k=12))
+        texts.add(f"https://www.example.org/shop/catalogue/item/{number}/details.html?language=en")
+        if rng.random() < 0.2:
+            texts.add(f"https://www.example.org/shop/cataloge/item/{number}/details.html?language=e")
+    for k in (1, 2):
+        frame = spark.createDataFrame([(t,) for t in texts], "s string")
+        found = {(r["a"], r["b"]): r["distance"] for r in dedupe.similar_pairs(frame, "s", k).collect()}
+        expected = {}
+        ordered = sorted(texts)
+        for i, a in enumerate(ordered):
+            for b in ordered[i + 1 :]:
+                d = distance(a, b, k)
+                if d <= k:
+                    expected[a, b] = d
+        assert found == expected
+

@@ -67,15 +67,15 @@ def test_chain_of_four_equals_native(spark):
     assert rows(joined) == rows(expected)
 
 
-@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
-def test_unconditional(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("broadcast_bytes", [10_000, 0])
+def test_unconditional(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", broadcast_bytes)
     monkeypatch.setattr(joins, "GRID_BLOCKS", 4)
     a = spark.createDataFrame([(i,) for i in range(5)], "x int")
     b = spark.createDataFrame([(i,) for i in range(3)], "y int")
-    assert rows(joins.join_tables({"a": a, "b": b})) == sorted(((i, j) for i in range(5) for j in range(3)), key=repr)
-    assert rows(joins.join_tables({"a": a, "b": b.limit(0)})) == [(i, None) for i in range(5)]
-    assert rows(joins.join_tables({"a": a.limit(0), "b": b})) == [(None, i) for i in range(3)]
+    assert rows(joins.join_tables({"a": a, "b": b}, cross=True)) == sorted(((i, j) for i in range(5) for j in range(3)), key=repr)
+    assert rows(joins.join_tables({"a": a, "b": b.limit(0)}, cross=True)) == [(i, None) for i in range(5)]
+    assert rows(joins.join_tables({"a": a.limit(0), "b": b}, cross=True)) == [(None, i) for i in range(3)]
 
 
 def test_bad_matches(spark):
@@ -95,10 +95,35 @@ def test_join_two_replaces_its_sources(spark):
     assert tables["j"].columns == ["a.x", "b.x"]
 
 
-def test_no_full_outer_exchange(spark):
+def test_one_full_outer_join_and_no_empty_keys_in_it(spark):
     sf = "/root/testdata/sf0.001"
+    orders, lineitem = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem"))
     plan = joins.join_tables(
-        {"o": spark.read.parquet(f"{sf}/orders.parquet"), "l": spark.read.parquet(f"{sf}/lineitem.parquet")},
-        ["o_orderkey", "l_orderkey"],
+        {"o": orders, "l": lineitem}, ["o_orderkey", "l_orderkey"], ["o_orderstatus", "l_linestatus"]
     )._jdf.queryExecution().executedPlan().toString()
-    assert "FullOuter" not in plan and "NestedLoop" not in plan
+    assert plan.count("FullOuter") == 1 and plan.count("FileScan") <= 4
+    assert "isnotnull(o_orderkey" in plan and "isnotnull(l_orderkey" in plan
+
+
+def test_pairs_of_all_rows_must_be_asked_for(spark):
+    a = spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(ValueError, match="cross=True"):
+        joins.join_tables({"a": a, "b": a}, [None, "x"])
+
+
+def test_hot_keys_are_joined_apart(spark):
+    a = spark.createDataFrame([(None if i % 7 == 0 else i % 3, i) for i in range(60)], "k int, i int")
+    b = spark.createDataFrame([(k, k * 10) for k in (0, 0, 1, 5)] + [(None, 1)], "k2 int, j int")
+    hot = joins.hot_keys(a, ["k"], 15)
+    assert 0 < hot.count() < 3 + 1
+    expected = rows(joins.full_join(a, b, [("k", "k2")]))
+    assert rows(joins.full_join(a, b, [("k", "k2")], hot)) == expected == rows(a.join(b, a["k"] == b["k2"], "full"))
+    only_right = joins.hot_keys(b, ["k2"], 2)
+    assert rows(joins.full_join(a, b, [("k", "k2")], only_right)) == expected
+
+
+def test_full_join_reads_each_side_twice(spark):
+    sf = "/root/testdata/sf0.001"
+    o, c = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "customer"))
+    plan = joins.full_join(o, c, [("o_custkey", "c_custkey")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4
