@@ -5,8 +5,9 @@ footers, sidebars, notices, adverts, forms and reader comments, known by element
 class, id and role names, keep their place but weigh nothing. The weights of three
 neighbouring lines are summed along the page: where the sum rises from nothing is a surge
 point, where it falls back to nothing a dive point, and the text between them is a region.
-On pages that mark their article (``article``, ``main``) only its lines have weight, all
-their text counts, and all regions are kept. On others, text inside links does not count,
+On pages that mark their article (``article``, ``main``, or a container named for content
+that holds most of the text) only its lines have weight, all their text counts, and all
+regions are kept. On others, text inside links does not count,
 and regions are kept that peak above ``PEAK`` characters and hold at least a quarter of the
 largest region's text.
 
@@ -75,39 +76,49 @@ NAMES = frozenset(
 ARTICLE_NAMES = frozenset("ad ads advert advertisement comment comments promo related reply replies sponsored teaser teasers widget".split())
 CONDITIONS = ("has-", "with-", "no-", "is-", "without-", "js-")
 WORD = re.compile(r"[a-z0-9]+")
+#: class and id names of containers for the main text
+CONTENT = re.compile(
+    r"(?:(?:main|article|post|entry|story|page|blog|news)[-_]?)?(?:content|body|text|article|post|entry|story|main)"
+)
 
 
-def beside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is something beside the article."""
+def role_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
+    """Whether an element is something beside the article, and what it marks (article, main, content or nothing)."""
+    marks = tag if tag in ("article", "main") else ""
     if tag in BESIDE or (tag == "header" and not in_article):
-        return True
+        return True, ""
     if not attributes or attributes.isspace() or tag in ("html", "body"):
-        return False
+        return False, marks
     values = {}
     for name, *given in ATTRIBUTE.findall(attributes):
         values.setdefault(name.lower(), next((v for v in given if v), "").lower())
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""):
-        return True
-    if tag == "main":
-        return False
-    if values.get("role", "") in ROLES:
-        return True
-    wanted = ARTICLE_NAMES if tag == "article" else NAMES
-    for name in f"{values.get('class', '')} {values.get('id', '')}".split():
-        if not name.startswith(CONDITIONS) and any(w in wanted for w in WORD.findall(name)):
-            return True
-    return False
+        return True, ""
+    role = values.get("role", "")
+    if role in ROLES:
+        return True, ""
+    if role in ("article", "main") or values.get("itemprop") == "articlebody":
+        marks = marks or ("main" if role == "main" else "article")
+    names = f"{values.get('class', '')} {values.get('id', '')}".split()
+    if tag != "main":
+        wanted = ARTICLE_NAMES if marks == "article" else NAMES
+        for name in names:
+            if not name.startswith(CONDITIONS) and any(w in wanted for w in WORD.findall(name)):
+                return True, ""
+    if not marks and tag in CONTAINERS and any(CONTENT.fullmatch(name) for name in names):
+        marks = "content"
+    return False, marks
 
 
 class Lines:
-    """The lines of a page: (text, characters outside links, inside an article, inside main, beside)."""
+    """The lines of a page: (text, characters outside links, inside an article, main, content, beside)."""
 
     def __init__(self, page: str):
-        self.found: list[tuple[str, int, bool, bool, bool]] = []
+        self.found: list[tuple[str, int, bool, bool, bool, bool]] = []
         self.parts: list[str] = []
         self.plain = 0
-        self.open: list[tuple[str, bool]] = []
-        self.depth = {"article": 0, "main": 0, "a": 0, "beside": 0}
+        self.open: list[tuple[str, bool, str]] = []
+        self.depth = {"article": 0, "main": 0, "content": 0, "": 0, "a": 0, "beside": 0}
         at = 0
         while at < len(page):
             token = TOKEN.match(page, at)
@@ -136,26 +147,27 @@ class Lines:
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text or self.depth["beside"]:
-            self.found.append((text, min(self.plain, len(text)), self.depth["article"] > 0, self.depth["main"] > 0, self.depth["beside"] > 0))
+            inside = [self.depth[k] > 0 for k in ("article", "main", "content", "beside")]
+            self.found.append((text, min(self.plain, len(text)), *inside))
         self.parts, self.plain = [], 0
 
-    def push(self, tag: str, apart: bool) -> None:
-        self.open.append((tag, apart))
-        if tag in self.depth:
-            self.depth[tag] += 1
+    def push(self, tag: str, apart: bool, marks: str) -> None:
+        self.open.append((tag, apart, marks))
+        self.depth["a"] += tag == "a"
+        self.depth[marks] += 1
         self.depth["beside"] += apart
 
     def pop(self) -> None:
-        tag, apart = self.open.pop()
-        if tag in self.depth:
-            self.depth[tag] -= 1
+        tag, apart, marks = self.open.pop()
+        self.depth["a"] -= tag == "a"
+        self.depth[marks] -= 1
         self.depth["beside"] -= apart
 
     def begin(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self.add(" ")
             return
-        apart = beside(tag, attributes, self.depth["article"] > 0)
+        apart, marks = role_of(tag, attributes, self.depth["article"] > 0)
         if tag in BLOCK or apart:
             self.flush()
             self.end_implied(tag)
@@ -163,7 +175,7 @@ class Lines:
             while self.open and self.open[-1][0] != "html":
                 self.pop()
         if tag not in VOID:
-            self.push(tag, apart)
+            self.push(tag, apart, marks)
 
     def end_implied(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -177,7 +189,7 @@ class Lines:
 
     def close(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
-            name, apart = self.open[i]
+            name, apart, _ = self.open[i]
             if name == tag:
                 if tag in BLOCK or apart:
                     self.flush()
@@ -208,12 +220,15 @@ def regions(weights: list[int]) -> list[tuple[int, int]]:
 
 def main_text(page: str | None) -> str:
     lines = Lines(page or "").found
-    marked = next((k for k in (2, 3) if any(line[0] and line[k] and not line[4] for line in lines)), None)
+    marked = next((k for k in (2, 3) if any(line[0] and line[k] and not line[5] for line in lines)), None)
+    if not marked:
+        plain = [sum(line[1] for line in lines if not line[5] and line[4] >= held) for held in (False, True)]
+        marked = 4 if 0 < plain[0] <= 2 * plain[1] else None
     if marked:
-        weights = [0 if line[4] or not line[marked] else len(line[0]) for line in lines]
+        weights = [0 if line[5] or not line[marked] else len(line[0]) for line in lines]
         kept = regions(weights)
     else:
-        weights = [0 if line[4] else line[1] for line in lines]
+        weights = [0 if line[5] else line[1] for line in lines]
         kept = [r for r in regions(weights) if max(sum(weights[i : i + WINDOW]) for i in range(*r)) >= PEAK]
         most = max((sum(weights[a:b]) for a, b in kept), default=0)
         kept = [(a, b) for a, b in kept if 4 * sum(weights[a:b]) >= most]

@@ -114,6 +114,13 @@ def test_extraction_without_marked_article():
     assert found.count("\n\n") == 5 and found.startswith("Short\n\nSome words") and "Entry" not in found
 
 
+@pytest.mark.parametrize("container", ["<main>{}</main>", "<div class='post-content'>{}</div>", "<div id=content>{}</div>", "<div role='main'>{}</div>"])
+def test_extraction_from_other_containers(container):
+    inside = ARTICLE.replace("<article>", "").replace("</article>", "")
+    extra = "<div class='menu'><a href='/'>Home</a></div>{}<div id='sidebar'><p>Beside</p></div><div class='comments'><p>Reader</p></div>"
+    assert extraction.main_text(page(extra.format(container.format(inside + "<div class='share'>Share</div>")))) == TEXT
+
+
 @pytest.mark.parametrize("odd", [None, "", "<", "<p", "no markup", "<article>", "<article>a<p", "&#xD800; &amp;&am", "<script>", "<!-- x", "</div></p></article>"])
 def test_extraction_of_odd_pages(odd):
     assert isinstance(extraction.main_text(odd), str)
