@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rinseframe.plans.lineage import new_path, shuffle_partitions
+from rinseframe.plans.lineage import new_path
 
 #: while a table is stored: shuffles end with the write, and Python gets batches of bounded size
 WHILE_STORING = {
@@ -93,19 +93,16 @@ def number(table: DataFrame, row: str, by: str, name: str) -> DataFrame:
 
     ``table`` comes from ``with_rows``. Each (group, writing partition) pair is numbered by
     itself, and the running sum of the pairs' counts gives where its numbers start, so a
-    group of any size is spread over all partitions.
+    group of any size is spread over all partitions. The join keeps the partitioning of the
+    numbering: whole rows are shuffled once. Rows without a group get no number.
     """
     part, base = fresh(table, "part"), fresh(table, "base")
     parted = table.withColumn(part, F.shiftright(row, 33))
-    counts = parted.groupBy(by, part).agg(F.count("*").alias(base))
+    counts = parted.where(F.col(by).isNotNull()).groupBy(by, part).agg(F.count("*").alias(base))
     before = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        F.col(by).alias(f"{by}_s"), F.col(part).alias(f"{part}_s"), F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base)
-    )
+    starts = counts.select(by, part, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
     local = F.row_number().over(Window.partitionBy(by, part).orderBy(row)) - 1
-    joined = parted.withColumn(name, local).join(
-        starts, all_equal([F.col(by), F.col(part)], [F.col(f"{by}_s"), F.col(f"{part}_s")])
-    )
+    joined = parted.withColumn(name, local).join(starts, [by, part], "left")
     kept = [F.col(f"`{c}`") for c in table.columns if c != row]
     return joined.select(*kept, (F.col(base) + F.col(name)).alias(name))
 
@@ -115,6 +112,3 @@ def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     df = without(df, name)
     row = fresh(df, "row")
     return number(with_rows(df, Scratch(df.sparkSession), row), row, by, name)
-
-
-__all__ = ["Scratch", "all_equal", "fresh", "number", "numbered", "settings", "shuffle_partitions", "with_rows", "without"]
