@@ -139,11 +139,15 @@ def limits_of(measured: DataFrame, lang_col: str, source_col: str, rules: Rules)
     wide = [f"{m}_most" for m in MEASURES] + [f"{m}_least" for m in TWO_SIDED]
     groups = fences(own, ["lang", "source"], rules)
     langs = fences(merged(own, ["lang"]), ["lang"], rules)
-    whole = fences(merged(own.withColumn("every", F.lit(1)), ["every"]), ["every"], rules)
-    g, la, w = groups.alias("g"), langs.alias("l"), whole.alias("w")
+    # one row: the limits of the corpus
+    whole = fences(merged(own.withColumn("every", F.lit(1)), ["every"]), ["every"], rules).first()
+    g, la = groups.alias("g"), langs.alias("l")
     level = F.when(F.col("g.documents") >= rules.least, F.lit(0)).when(F.col("l.documents") >= rules.least, F.lit(1)).otherwise(2)
-    both = g.join(la, F.col("g.lang").eqNullSafe(F.col("l.lang"))).withColumn("every", F.lit(1)).join(w, "every")
-    chosen = [F.when(level == 0, F.col(f"g.{c}")).when(level == 1, F.col(f"l.{c}")).otherwise(F.col(f"w.{c}")).alias(c) for c in wide]
+    both = g.join(la, F.col("g.lang").eqNullSafe(F.col("l.lang")))
+    chosen = [
+        F.when(level == 0, F.col(f"g.{c}")).when(level == 1, F.col(f"l.{c}")).otherwise(F.lit(whole and whole[c]).cast("long")).alias(c)
+        for c in wide
+    ]
     return both.select(F.col("g.lang").alias("limit_lang"), F.col("g.source").alias("limit_source"), *chosen)
 
 
