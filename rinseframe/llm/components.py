@@ -28,7 +28,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(current, large)
         current, before, state = following, state, after
         if before == after:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return scratch.renamed(current, current.select(F.col("u").alias("node"), F.col("v").alias("root")))
 
 
 def settled(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:

@@ -53,6 +53,12 @@ class Scratch:
         table._scratch = self  # keeps the id from being reused while the table is in use
         return table
 
+    def renamed(self, table: DataFrame, view: DataFrame) -> DataFrame:
+        """Let a view of a stored table stand for it."""
+        self.paths[id(view)] = self.paths.pop(id(table))
+        view._scratch = self
+        return view
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             path = self.paths.pop(id(table), None)

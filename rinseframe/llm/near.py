@@ -228,13 +228,13 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: S
     stars = scratch.stored(stars, "candidates")
     nearest = stars.groupBy("a").agg(F.min("b").alias("b"))
     links = scratch.stored(checked(nearest), "links")
-    roots = components(links, scratch)
+    first_roots = components(links, scratch)
 
-    other = labelled(labelled(stars, "a", roots, "root_a"), "b", roots, "root_b").where("root_a <> root_b")
+    other = labelled(labelled(stars, "a", first_roots, "root_a"), "b", first_roots, "root_b").where("root_a <> root_b")
     more = scratch.stored(checked(other.select("a", "b").join(nearest, ["a", "b"], "left_anti")), "links")
-    roots = components(links.union(more), scratch)
+    more_roots = components(links.union(more), scratch)
 
-    owned = labelled(members, "node", roots, "root")
+    owned = labelled(members, "node", more_roots, "root")
     split = owned.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     apart = scratch.stored(owned.join(split.select("key"), "key").join(bounds, "node"), "apart")
     x, y = apart.alias("x"), apart.alias("y")
@@ -243,7 +243,7 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: S
     rest = x.join(y, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     last = scratch.stored(confirmed(rest, sets, percent), "links")
     roots = components(links.union(more).union(last), scratch)
-    scratch.drop(members, used, sets, stars, apart, links, more, last)
+    scratch.drop(members, used, sets, stars, apart, links, more, last, first_roots, more_roots)
     return roots
 
 
