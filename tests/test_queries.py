@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import connect, difference
+from rinseframe.plans.queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,7 +16,7 @@ def database():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))  # those of the training data are in tests/llm
 def test_query(spark, database, name):
     result = queries()[name](spark, SF)
     if name not in oracle_sql():
@@ -26,6 +27,7 @@ def test_query(spark, database, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) <= set(queries())
 
 
 def test_entry(spark):
