@@ -94,9 +94,9 @@ def test_components_of_chains_and_stars(spark):
 
 
 def check_near(frame, texts, k=3, percent=85):
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in frame.collect()}
-    assert found == near_groups(texts, k, percent)
-    assert all(r.kept == (r.doc_id == r.component_id) for r in frame.collect())
+    rows = frame.collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == near_groups(texts, k, percent)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
 def test_near_duplicates_of_all_documents(spark):
