@@ -122,7 +122,7 @@ def token_pieces(
                     rows.append((i, piece, begin, stop - begin, blob[begin * 4 : stop * 4]))
                     piece, begin, stop = piece + 1, stop, stop + capacity
                 held += len(blob)
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield pieces_of(batch, rows)
                     rows, held = [], 0
             if rows:

@@ -9,12 +9,13 @@ token's string by the tokenizer file itself, so ids are those of the tokenizer f
 from __future__ import annotations
 
 import base64
+import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
-#: chunks remembered by a Python worker: about 60 MB
+#: chunks remembered by a Python worker: about 50 MB
 REMEMBERED = 250_000
 DOUBLE_SPACE = re.compile(r"\s\s")
 BEFORE_WORD = re.compile(r"(?= \S)")
@@ -24,10 +25,9 @@ USUAL = re.compile(r"[\t\n\r -~¡-¬®-ɏ]*", re.ASCII)
 
 class Encoder:
     def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path = tokenizer_path
+        with open(tokenizer_path, encoding="utf-8") as file:
+            self.special = [token["content"] for token in json.load(file)["added_tokens"]]
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -37,6 +37,13 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        """The tokenizer of the file, loaded where a chunk needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode_chunk(self, chunk: str) -> bytes:
         if self.fast and USUAL.fullmatch(chunk) and not any(s in chunk for s in self.special):
             ids = self.fast.encode_ordinary(chunk)
