@@ -53,7 +53,7 @@ def rejoin(
                         done.append((*here, ends, cuts))
                     here, ends, cuts = (file, block), list(range(states)), [False] * states
                 known: dict[int, int] = {}
-                for first in range(states):
+                for first in range(states) if block else (CODE,):  # a file begins outside everything
                     if ends[first] not in known:
                         known[ends[first]] = step(value, ends[first], False)[0]
                     ends[first] = known[ends[first]]
