@@ -2,14 +2,16 @@
 
 Markup is stripped so that every block element leaves one line. Lines of menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments, known by element or by
-class, id and role names, keep their place but weigh nothing. The weights of three
-neighbouring lines are summed along the page: where the sum rises from nothing is a surge
-point, where it falls back to nothing a dive point, and the text between them is a region.
-On pages that mark their article (``article``, ``main``, or a container named for content
-that holds most of the text) only its lines have weight, all their text counts, and all
-regions are kept. On others, text inside links does not count,
-and regions are kept that peak above ``PEAK`` characters and hold at least a quarter of the
-largest region's text.
+class, id and role names, are taken out and part nothing.
+On every page the weights of three neighbouring lines are summed: where the sum rises from
+nothing is a surge point, where it falls back to nothing a dive point, and the lines
+between them are a region. A line weighs its text outside links. Links count as text inside
+marks (``article``, ``main``, containers named for content), in lines as long as the page's
+typical line, and, where marks do not hold most of the text, in fewer neighbouring lines
+than a window, since these are no menu.
+
+Every region is kept but stubs: those that peak nearer to one character than to the page's
+typical line, on a logarithmic scale. Marks never drop what lies outside them.
 
 Defined results: a null or empty page has an empty text; an unclosed tag is text; what an
 unclosed script or comment hides stays hidden; repeated rows are extracted each; an empty
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from statistics import median_low
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from rinseframe.llm.frames import fresh, without
 
-WINDOW, PEAK = 3, 80
+WINDOW = 3
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -111,10 +114,13 @@ def role_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
 
 
 class Lines:
-    """The lines of a page: (text, characters outside links, inside an article, main, content, beside)."""
+    """The lines of a page that have text and are in no element beside the article.
+
+    Each is (text, characters outside links, in an article, main, content).
+    """
 
     def __init__(self, page: str):
-        self.found: list[tuple[str, int, bool, bool, bool, bool]] = []
+        self.found: list[tuple[str, int, bool, bool, bool]] = []
         self.parts: list[str] = []
         self.plain = 0
         self.open: list[tuple[str, bool, str]] = []
@@ -146,8 +152,8 @@ class Lines:
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if text or self.depth["beside"]:
-            inside = [self.depth[k] > 0 for k in ("article", "main", "content", "beside")]
+        if text and not self.depth["beside"]:
+            inside = [self.depth[k] > 0 for k in ("article", "main", "content")]
             self.found.append((text, min(self.plain, len(text)), *inside))
         self.parts, self.plain = [], 0
 
@@ -218,21 +224,32 @@ def regions(weights: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def weighed(lines: list[tuple]) -> tuple[list[int], int]:
+    """The weight of each line, and that of the typical one."""
+    # a container around an article, or a content container around or inside another mark, marks nothing more
+    main = not any(line[2] and line[3] for line in lines)
+    content = not any((line[2] or line[3]) and line[4] for line in lines)
+    marked = [line[2] or (main and line[3]) or (content and line[4]) for line in lines]
+    weights = [len(line[0]) if m else line[1] for line, m in zip(lines, marked)]
+    typical = median_low(sorted(w for w in weights if w) or [0])
+    loose = 2 * sum(w for w, m in zip(weights, marked) if m) <= sum(weights)
+    start = 0
+    while start < len(lines):
+        end = start
+        while end < len(lines) and not weights[end]:
+            end += 1
+        for i in range(start, end):
+            if len(lines[i][0]) >= typical or (loose and end - start < WINDOW):
+                weights[i] = len(lines[i][0])
+        start = end + 1
+    return weights, typical
+
+
 def main_text(page: str | None) -> str:
     lines = Lines(page or "").found
-    marked = next((k for k in (2, 3) if any(line[0] and line[k] and not line[5] for line in lines)), None)
-    if not marked:
-        plain = [sum(line[1] for line in lines if not line[5] and line[4] >= held) for held in (False, True)]
-        marked = 4 if 0 < plain[0] <= 2 * plain[1] else None
-    if marked:
-        weights = [0 if line[5] or not line[marked] else len(line[0]) for line in lines]
-        kept = regions(weights)
-    else:
-        weights = [0 if line[5] else line[1] for line in lines]
-        kept = [r for r in regions(weights) if max(sum(weights[i : i + WINDOW]) for i in range(*r)) >= PEAK]
-        most = max((sum(weights[a:b]) for a, b in kept), default=0)
-        kept = [(a, b) for a, b in kept if 4 * sum(weights[a:b]) >= most]
-    return "\n\n".join(lines[i][0] for a, b in kept for i in range(a, b) if weights[i])
+    weights, typical = weighed(lines)
+    kept = [(a, b) for a, b in regions(weights) if max(sum(weights[i : i + WINDOW]) for i in range(a, b)) ** 2 >= typical]
+    return "\n\n".join(line[0] for a, b in kept for line in lines[a:b])
 
 
 def extracted(df: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:

@@ -148,6 +148,22 @@ def test_extraction_keeps_columns(spark):
     assert extraction.extracted(frame.limit(0)).collect() == []
 
 
+LONG = "Some words of a long paragraph in the main part. " * 4
+
+
+def texts(*parts):
+    return "\n\n".join(" ".join(p.split()) for p in parts)
+
+
+def test_windows_decide_on_marked_pages():
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Entry number {i}</a>" for i in range(9)) + "</ul>"
+    body = f"<p>{LONG}1<p>{LONG}2"
+    found = extraction.main_text(page(f"<div><p>Intro outside the mark</div><article>{body}</article>{menu}<p>x</p><div><p>{LONG}3</div>"))
+    assert found == texts("Intro outside the mark", LONG + "1", LONG + "2", "x", LONG + "3")
+    # a stub that three lines of links part from the text is no region; one in the mark would be
+    assert extraction.main_text(page(f"<article>{body}</article>{menu}<p>x</p>{menu}")) == texts(LONG + "1", LONG + "2")
+
+
 # ---- quality
 
 
