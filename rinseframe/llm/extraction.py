@@ -2,7 +2,8 @@
 
 Markup is stripped so that every block element leaves one line. Lines of menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments, known by element or by
-class, id and role names, are taken out and part nothing.
+class, id and role names, are taken out and part nothing; a class or id name does not take
+out a wrapper that holds most of the page's text, unless the article is marked elsewhere.
 On every page the weights of three neighbouring lines are summed: where the sum rises from
 nothing is a surge point, where it falls back to nothing a dive point, and the lines
 between them are a region. A line weighs its text outside links. Links count as text inside
@@ -77,6 +78,8 @@ NAMES = frozenset(
     "teaser teasers toolbar widget widgets".split()
 )
 ARTICLE_NAMES = frozenset("ad ads advert advertisement comment comments promo related reply replies sponsored teaser teasers widget".split())
+#: reader comments can be longer than the article
+READERS = frozenset("comment comments commentlist disqus reply replies respond responses".split())
 CONDITIONS = ("has-", "with-", "no-", "is-", "without-", "js-")
 WORD = re.compile(r"[a-z0-9]+")
 #: class and id names of containers for the main text
@@ -85,46 +88,49 @@ CONTENT = re.compile(
 )
 
 
-def role_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element is something beside the article, and what it marks (article, main, content or nothing)."""
+def role_of(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, frozenset[str]]:
+    """Whether an element is beside the article, what it marks (article, main, content or nothing), and names that speak against it."""
+    nothing: frozenset[str] = frozenset()
     marks = tag if tag in ("article", "main") else ""
     if tag in BESIDE or (tag == "header" and not in_article):
-        return True, ""
+        return True, "", nothing
     if not attributes or attributes.isspace() or tag in ("html", "body"):
-        return False, marks
+        return False, marks, nothing
     values = {}
     for name, *given in ATTRIBUTE.findall(attributes):
         values.setdefault(name.lower(), next((v for v in given if v), "").lower())
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""):
-        return True, ""
+        return True, "", nothing
     role = values.get("role", "")
     if role in ROLES:
-        return True, ""
+        return True, "", nothing
     if role in ("article", "main") or values.get("itemprop") == "articlebody":
         marks = marks or ("main" if role == "main" else "article")
     names = f"{values.get('class', '')} {values.get('id', '')}".split()
+    against = nothing
     if tag != "main":
         wanted = ARTICLE_NAMES if marks == "article" else NAMES
-        for name in names:
-            if not name.startswith(CONDITIONS) and any(w in wanted for w in WORD.findall(name)):
-                return True, ""
-    if not marks and tag in CONTAINERS and any(CONTENT.fullmatch(name) for name in names):
+        against = frozenset(w for name in names if not name.startswith(CONDITIONS) for w in WORD.findall(name) if w in wanted)
+    if not marks and not against and tag in CONTAINERS and any(CONTENT.fullmatch(name) for name in names):
         marks = "content"
-    return False, marks
+    return False, marks, against
 
 
 class Lines:
     """The lines of a page that have text and are in no element beside the article.
 
-    Each is (text, characters outside links, in an article, main, content).
+    Each is (text, characters outside links, in an article, main, content, the open wrappers with a name against them).
     """
 
     def __init__(self, page: str):
-        self.found: list[tuple[str, int, bool, bool, bool]] = []
+        self.found: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = []
         self.parts: list[str] = []
         self.plain = 0
-        self.open: list[tuple[str, bool, str]] = []
+        self.open: list[tuple[str, bool, str, bool]] = []
         self.depth = {"article": 0, "main": 0, "content": 0, "": 0, "a": 0, "beside": 0}
+        #: the names of each wrapper that has some against it, and those of them that are open
+        self.against: list[frozenset[str]] = []
+        self.within: tuple[int, ...] = ()
         at = 0
         while at < len(page):
             token = TOKEN.match(page, at)
@@ -154,17 +160,22 @@ class Lines:
         text = " ".join("".join(self.parts).split())
         if text and not self.depth["beside"]:
             inside = [self.depth[k] > 0 for k in ("article", "main", "content")]
-            self.found.append((text, min(self.plain, len(text)), *inside))
+            self.found.append((text, min(self.plain, len(text)), *inside, self.within))
         self.parts, self.plain = [], 0
 
-    def push(self, tag: str, apart: bool, marks: str) -> None:
-        self.open.append((tag, apart, marks))
+    def push(self, tag: str, apart: bool, marks: str, against: frozenset[str]) -> None:
+        self.open.append((tag, apart, marks, bool(against)))
+        if against:
+            self.within += (len(self.against),)
+            self.against.append(against)
         self.depth["a"] += tag == "a"
         self.depth[marks] += 1
         self.depth["beside"] += apart
 
     def pop(self) -> None:
-        tag, apart, marks = self.open.pop()
+        tag, apart, marks, against = self.open.pop()
+        if against:
+            self.within = self.within[:-1]
         self.depth["a"] -= tag == "a"
         self.depth[marks] -= 1
         self.depth["beside"] -= apart
@@ -173,15 +184,15 @@ class Lines:
         if tag == "br":
             self.add(" ")
             return
-        apart, marks = role_of(tag, attributes, self.depth["article"] > 0)
-        if tag in BLOCK or apart:
+        apart, marks, against = role_of(tag, attributes, self.depth["article"] > 0)
+        if tag in BLOCK or apart or against:
             self.flush()
             self.end_implied(tag)
         if tag == "body":
             while self.open and self.open[-1][0] != "html":
                 self.pop()
         if tag not in VOID:
-            self.push(tag, apart, marks)
+            self.push(tag, apart, marks, against)
 
     def end_implied(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -195,12 +206,12 @@ class Lines:
 
     def close(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
-            name, apart, _ = self.open[i]
+            name, apart, _, against = self.open[i]
             if name == tag:
-                if tag in BLOCK or apart:
+                if tag in BLOCK or apart or against:
                     self.flush()
                 while len(self.open) > i:
-                    if self.open[-1][0] in BLOCK or self.open[-1][1]:
+                    if self.open[-1][0] in BLOCK or self.open[-1][1] or self.open[-1][3]:
                         self.flush()
                     self.pop()
                 return
@@ -224,6 +235,27 @@ def regions(weights: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def beside_by_name(page: Lines) -> set[int]:
+    """The wrappers that their names take out.
+
+    Not those with most of the page's text that hold an article or main element, or, on pages
+    where these have no text at all, that are not for readers' comments.
+    """
+    lines = page.found
+    total, held, holders = sum(line[1] for line in lines), [0] * len(page.against), set()
+    for line in lines:
+        for w in line[5]:
+            held[w] += line[1]
+        if line[2] or line[3]:
+            holders.update(line[5])
+    marked = any(line[2] or line[3] for line in lines)
+
+    def wraps(w: int) -> bool:
+        return 2 * held[w] > total and (w in holders or not (marked or page.against[w] & READERS))
+
+    return {w for w in range(len(page.against)) if not wraps(w)}
+
+
 def weighed(lines: list[tuple]) -> tuple[list[int], int]:
     """The weight of each line, and that of the typical one."""
     # a container around an article, or a content container around or inside another mark, marks nothing more
@@ -246,7 +278,9 @@ def weighed(lines: list[tuple]) -> tuple[list[int], int]:
 
 
 def main_text(page: str | None) -> str:
-    lines = Lines(page or "").found
+    read = Lines(page or "")
+    gone = beside_by_name(read)
+    lines = [line for line in read.found if not gone.intersection(line[5])]
     weights, typical = weighed(lines)
     kept = [(a, b) for a, b in regions(weights) if max(sum(weights[i : i + WINDOW]) for i in range(a, b)) ** 2 >= typical]
     return "\n\n".join(line[0] for a, b in kept for line in lines[a:b])

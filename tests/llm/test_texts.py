@@ -164,6 +164,33 @@ def test_windows_decide_on_marked_pages():
     assert extraction.main_text(page(f"<article>{body}</article>{menu}<p>x</p>{menu}")) == texts(LONG + "1", LONG + "2")
 
 
+@pytest.mark.parametrize(
+    "body, expected",
+    [
+        ("<p>One short article.</p>", ["One short article."]),
+        ("<p>A short lead.</p><div class=ad>Buy<p>now</div><div id=sidebar><p>Side<p>bar</div>" + f"<p>{LONG}</p>", ["A short lead.", LONG]),
+        (f"<p>{LONG}</p><div class=ad>a<p>b<p>c</div><p>A short ending.", [LONG, "A short ending."]),
+        (f"<p>{LONG}</p><p><a href=x>The whole paragraph is one link</a></p><p>{LONG}</p>", [LONG, "The whole paragraph is one link", LONG]),
+        (f"<p>{LONG}</p><p><a href=x>The last is one link</a></p>", [LONG, "The last is one link"]),
+        (f"<h1>Heading</h1><p>{LONG}</p><div class=content><p>{LONG}x</p></div>", ["Heading", LONG, LONG + "x"]),
+        (f"<div id=body><p>{LONG}a</div><p>{LONG}b", [LONG + "a", LONG + "b"]),
+        (f"<article><p>A card</article><div><p>{LONG}a<p>{LONG}b</div>", ["A card", LONG + "a", LONG + "b"]),
+        (f"<main><p>{LONG}a</main><article><p>{LONG}b</article><div class=post><p>{LONG}c</div>", [LONG + "a", LONG + "b", LONG + "c"]),
+        (f"<div class='sidebar-layout'><article><p>{LONG}</article></div>", [LONG]),
+        (f"<div class='widget page'><p>{LONG}a<p>{LONG}b</div>", [LONG + "a", LONG + "b"]),
+    ],
+)
+def test_extraction_drops_no_article_text(body, expected):
+    assert extraction.main_text(page(body)) == texts(*expected)
+
+
+def test_readers_and_adverts_longer_than_the_article():
+    long = f"<p>{LONG}<p>{LONG}"
+    for name in ("comments", "ad", "sidebar"):
+        assert extraction.main_text(page(f"<article><p>Short</article><div class={name}>{long}</div>")) == "Short"
+    assert extraction.main_text(page(f"<p>Short</p><div class=comments>{long}</div>")) == "Short"
+
+
 # ---- quality
 
 
