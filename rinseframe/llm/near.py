@@ -17,7 +17,9 @@ hashes, and is then confirmed on the full sets.
 Defined results: null or wordless texts have an empty set and link with nothing; a text of
 fewer words than a shingle is one shingle; rows with equal ids are judged by their own
 texts; rows with null ids link with nothing and are kept; an empty table stays empty; input
-columns named like an added column are replaced.
+columns named like an added column are replaced. ``one_of_each`` judges rows by a number of
+their own, so rows with equal ids are documents too; rows with null ids link with each other
+and, where their shingle sets are equal, with rows that have an id.
 """
 
 from __future__ import annotations
@@ -33,11 +35,13 @@ from pyspark.sql import functions as F
 
 from rinseframe.llm.components import components, labelled
 from rinseframe.llm.fingerprints import LOWER, U64, batch_words, mixed, windows
-from rinseframe.llm.frames import Scratch, all_equal, fresh, without
+from rinseframe.llm.frames import Scratch, all_equal, fresh, with_rows, without
 
 MINIMA = 3
 MISSED = 2e-5
 ODD_WORDS = 16
+#: added to the row numbers of rows without id, which stay below 1 << 62
+NAMELESS = 1 << 62
 #: elements hashed at once by all functions
 SLICE = 1 << 15
 SKETCH = "id long, text_hash long, n long, set_a long, set_b long, lefts array<long>, rights array<long>, odd array<long>"
@@ -247,19 +251,11 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: S
     return roots
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
-) -> DataFrame:
-    """Add ``n_shingles``, ``component_id`` and ``kept`` to each row.
+def labels(docs: DataFrame, k: int, percent: int, scratch: Scratch, apart: int | None = None) -> DataFrame:
+    """Store (id, text_hash, component_id, n) of the different (id, text_hash) of (id, text, text_hash) rows.
 
-    Two documents link where 100 * |A and B| >= percent * |A or B| over their sets of ``k``-word
-    shingles, A-Z lower-cased; a component is what links reach, named by its smallest id.
+    Classes that have ids from ``apart`` up only share no table key with others.
     """
-    df = without(df, "n_shingles", "component_id", "kept")
-    scratch = Scratch(df.sparkSession)
-    own_id = F.col(f"`{id_col}`").cast("long")
-    own_text = F.xxhash64(F.col(f"`{text_col}`"))
-    docs = df.select(own_id.alias("id"), F.col(f"`{text_col}`").alias("text"), own_text.alias("text_hash"))
     sketched = scratch.stored(sketches(docs, k, percent), "sketches")
     one = ["n", "set_a", "set_b"]
     classes = (
@@ -269,15 +265,35 @@ def near_duplicates(
         .sort("low_id")  # so that node numbers rise with the smallest id
         .withColumn("node", F.monotonically_increasing_id())
     )
+    if apart is not None:
+        for c in ("lefts", "rights"):
+            other = F.transform(c, lambda key: key.bitwiseXOR(F.lit(-1)))
+            classes = classes.withColumn(c, F.when(F.col("low_id") >= apart, other).otherwise(F.col(c)))
     classes = scratch.stored(classes, "classes")
     roots = linked(classes, docs.drop("text_hash"), k, percent, scratch)
 
     named = classes.select(F.col("node").alias("root"), F.col("low_id").alias("component_id"))
     of_class = labelled(classes.select("node", *one), "node", roots, "root").join(named, "root").select(*one, "component_id")
     rows = sketched.select("id", "text_hash", *one).dropDuplicates(["id", "text_hash"]).join(of_class, one, "left")
-    names = {c: fresh(df, f"found_{c}") for c in ("id", "text_hash", "component_id", "n")}
-    found = scratch.stored(rows.select(*[F.col(c).alias(n) for c, n in names.items()]), "labels")
+    found = scratch.stored(rows.select("id", "text_hash", "component_id", "n"), "labels")
     scratch.drop(sketched, classes, roots)
+    return found
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
+) -> DataFrame:
+    """Add ``n_shingles``, ``component_id`` and ``kept`` to each row.
+
+    Two documents link where 100 * |A and B| >= percent * |A or B| over their sets of ``k``-word
+    shingles, A-Z lower-cased; a component is what links reach, named by its smallest id.
+    """
+    df = without(df, "n_shingles", "component_id", "kept")
+    own_id = F.col(f"`{id_col}`").cast("long")
+    own_text = F.xxhash64(F.col(f"`{text_col}`"))
+    docs = df.select(own_id.alias("id"), F.col(f"`{text_col}`").alias("text"), own_text.alias("text_hash"))
+    names = {c: fresh(df, f"found_{c}") for c in ("id", "text_hash", "component_id", "n")}
+    found = labels(docs, k, percent, Scratch(df.sparkSession)).select(*[F.col(c).alias(n) for c, n in names.items()])
     component = F.when(own_id.isNotNull(), F.coalesce(F.col(names["component_id"]), own_id))
     return df.join(found, all_equal([own_id, own_text], [F.col(names["id"]), F.col(names["text_hash"])])).select(
         *[F.col(f"`{c}`") for c in df.columns],
@@ -288,6 +304,22 @@ def near_duplicates(
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose id is the smallest of their component, without the added columns."""
-    judged = near_duplicates(df, id_col, text_col, k, percent)
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    """One row of each component: that of the smallest id, rows without id last, then the first row.
+
+    The rows are stored under a number, which stands for their id, so equal ids and null ids
+    are rows of their own. A row without id that is similar to one with id, but has not the
+    same set, stays.
+    """
+    scratch = Scratch(df.sparkSession)
+    row = fresh(df, "row")
+    rows = with_rows(df, scratch, row)
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    own = F.col(row) + F.when(doc_id.isNull(), F.lit(NAMELESS)).otherwise(F.lit(0))
+    found = labels(rows.select(own.alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), k, percent, scratch, NAMELESS)
+    ids = rows.select(own.alias("id"), F.col(row).alias("row"), doc_id.alias("doc_id"))
+    component = F.coalesce("component_id", "id")
+    first = F.min(F.struct(F.isnull("doc_id").alias("without"), "doc_id", "row"))["row"]
+    best = found.select("id", component.alias("component_id")).join(ids, "id").groupBy("component_id").agg(first.alias("best"))
+    best = scratch.stored(best.select("best"), "best")
+    scratch.drop(found)
+    return rows.join(best, F.col(row) == F.col("best"), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -57,3 +57,24 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, None}
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_near_dedup_counts_rows(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    third = " ".join(f"u{i}" for i in range(80))
+    rows = [(7, text, "en", "a", 1), (3, text, "en", "b", 2), (3, text, "en", "c", 3), (3, text + " x", "en", "d", 4), (None, text, None, "e", 5)]
+    rows += [(None, other, None, "f", 6), (None, other, None, "g", 7), (None, other + " x", None, "h", 8), (None, third, None, None, 9)]
+    rows += [(9, third + " y", "fr", "i", 10), (None, third, None, None, 9)]
+    found = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCUMENTS).coalesce(1), SF)
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    # only similar rows with and without id stay both
+    assert sorted(r.n_chars for r in found.collect()) == [2, 6, 9, 10]
+    assert corpus_pipeline.near_dedup(spark, found.limit(0), SF).collect() == []
+
+
+def test_pipeline_packs_repeated_rows_once(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, None, None, None)] * 3 + [(None, text.replace("w", "v"), "en", "s", 1)] * 3
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, str(tmp_path)).where("piece = 0").collect()) == ["1", "None"]
