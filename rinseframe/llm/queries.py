@@ -6,14 +6,18 @@ operator returns; ``oracle.ORACLE`` holds SQL for those that SQL can express.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rinseframe.llm import extraction, near, packing, pieces, preferences, quality, sharding, substrings, url_filter, vectors
+from rinseframe.llm import alignment, extraction, near, packing, pieces, preferences, quality, sharding, substrings, token_files, url_filter, vectors, whitening
 from rinseframe.llm.frames import Scratch
+from rinseframe.plans.lineage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +31,8 @@ BYTE_BPE = {
     "pattern": public_tokenizers.PATTERN,
 }
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+COMPONENTS = 16
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -138,3 +144,48 @@ def op8_bloom_url_rules(spark, sf):
     """Host, path, rule and verdict of every page's URL."""
     rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, verdict string")
     return url_filter.judge_urls(read(spark, sf, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@query
+def op11_bit_packed_ids(spark, sf):
+    """Every document's ids written as bits in ascending order of ids, and read back from the files."""
+    documents = read(spark, sf, "documents").select("doc_id", "text")
+    ids = token_files.token_ids(documents, "text", WORD_BPE, END_ID)
+    path = new_path(spark, "token-files")
+    token_files.write_tokens(ids, path, "doc_id", token_files.vocabulary_of(WORD_BPE))
+    found = token_files.read_tokens(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@F.pandas_udf(T.StringType())
+def groups_sha256(a: pd.Series, b: pd.Series, a_sizes: pd.Series, b_sizes: pd.Series) -> pd.Series:
+    """Digest of the groups' decimal ids; empty without groups."""
+
+    def digest(a_ids, b_ids, sizes) -> str:
+        left, right, parts = [*map(str, a_ids.tolist())], [*map(str, b_ids.tolist())], []
+        i = j = 0
+        for n, m in sizes:
+            parts.append(f"{left[i]}|{right[j]}" if n == m == 1 else f"{','.join(left[i : i + n])}|{','.join(right[j : j + m])}")
+            i, j = i + n, j + m
+        return hashlib.sha256(";".join(parts).encode()).hexdigest() if parts else ""
+
+    return pd.Series([digest(x, y, zip(n.tolist(), m.tolist())) for x, y, n, m in zip(a, b, a_sizes, b_sizes)])
+
+
+@query
+def op12_diagonal_alignment(spark, sf):
+    """Groups and links of every document's tokens in two vocabularies, and how common the links are."""
+    documents = read(spark, sf, "documents").select("doc_id", "text")
+    found = alignment.aligned(documents, "text", model_path=PIECE_MODEL, **BYTE_BPE)
+    digest = groups_sha256("a_ids", "b_ids", "a_sizes", "b_sizes").alias("groups_sha256")
+    scored = alignment.scored(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pair_group", "pairs", "pair_links"))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op13_whitened_embeddings(spark, sf):
+    """Every vector on the 16 leading components of unit spread."""
+    rows = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    found = whitening.whitened(rows, "embedding", COMPONENTS)
+    columns = ["vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error"]
+    return found.select(*columns)
