@@ -3,7 +3,7 @@
 Pairs within edit distance k are found by equi-joins on blocking keys that miss
 none of them; a bounded Levenshtein check on the joined rows then removes the
 false ones. There is no cross join and no cap on candidates. A pair is found
-through its shorter string (by text among equal lengths), in one of three ways:
+through its shorter string (by text among equal lengths), in one of four ways:
 
 * Pieces: cut the string into more than k pieces. k edits leave at least one of any
   k+1 pieces whole, and it occurs in the longer string shifted by at most k. Kept
@@ -12,6 +12,12 @@ through its shorter string (by text among equal lengths), in one of three ways:
   pieces are shared by many others (a template with a running number) are cut finer, so
   that their own part falls into pieces of its own; kept are the k+3 pieces that fewest
   share, and a key is three of them together, shifted by no more than k edits can.
+* Templates: strings whose pieces are crowded and that are equal but for their digits, or
+  have both ends in common, are a group. What all of a group begin and end with is taken
+  out, which changes no distance within it, and the rests meet by variants in which each edit
+  is spelled: a place left open in both, or a character deleted from one. Two rests that
+  share a variant are within the distance, so candidates follow the result. Pieces are
+  then needed only between strings of different groups.
 * Deletion variants: both strings have a common text left after deleting at most k
   characters from each. How many strings share a variant is bounded by the
   alphabet, not by the table, but a string has many of them. They serve strings
@@ -46,6 +52,11 @@ MIN_PIECE = 3
 CROWDED = 10
 FINE_PIECE = 2
 TOGETHER = 3
+# Strings that make a template, the length of its ends where digits do not tell it, and variants a rest may have.
+TEMPLATE_STRINGS = 10
+TEMPLATE_ENDS = 16
+TEMPLATE_VARIANTS = 2000
+OPEN_PLACE = "\0"
 
 
 def _variant_count(length: int, k: int) -> int:
@@ -264,10 +275,11 @@ def _three_together(pieces: Column, gap: Column | None = None, k: int = 0) -> Co
     return F.array_distinct(F.flatten(F.transform(pieces, from_first)))
 
 
-def _three_piece_candidates(crowded: DataFrame, texts: DataFrame, k: int, direct: int) -> DataFrame:
+def _three_piece_candidates(crowded: DataFrame, texts: DataFrame, grouped: DataFrame, k: int, direct: int) -> DataFrame:
     """Candidates for crowded strings, by three of their k+3 rarest fine pieces at a time.
 
     Look-ups are put together only where each piece is some crowded string's kept one.
+    Two strings of the same template group do not meet.
     """
     kept = cut_lineage(_kept_pieces(crowded, k, fine=True))
     listed = F.transform("keys", lambda h, at: F.struct(at.alias("piece"), F.lit(0).alias("shift"), h.alias("h")))
@@ -279,7 +291,104 @@ def _three_piece_candidates(crowded: DataFrame, texts: DataFrame, k: int, direct
     entry = F.struct("piece", "shift", F.col("h2").alias("h"))
     found = hits.groupBy("j", "j_len", "length").agg(F.collect_set(entry).alias("pieces"))
     keys = _three_together(F.col("pieces"), F.col("j_len") - F.col("length"), k)
-    return _meet(index, found.select("j", "j_len", F.explode(keys).alias("h2")))
+    look_ups = found.select("j", "j_len", F.explode(keys).alias("h2"))
+    if grouped.isEmpty():
+        return _meet(index, look_ups)
+    return _meet_across(index, look_ups, grouped)
+
+
+def _meet_across(index: DataFrame, look_ups: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``_meet`` for strings of different groups: groups meet under a key first, then their strings.
+
+    A string without a group is one of its own.
+    """
+
+    def with_group(rows: DataFrame, own: str, group: str) -> DataFrame:
+        known = grouped.select(F.col("id").alias(own), F.col("g").alias("known"))
+        named = F.coalesce("known", F.xxhash64(own)).alias(group)
+        return cut_lineage(rows.join(known, own, "left").select(*rows.columns, named))
+
+    index, look_ups = with_group(index, "i", "i_group"), with_group(look_ups, "j", "j_group")
+    left, right = index.select("h", "i_group").distinct(), look_ups.select("h2", "j_group").distinct()
+    met = left.join(right, (F.col("h") == F.col("h2")) & (F.col("i_group") != F.col("j_group"))).select("h", "i_group", "j_group")
+    of_left = index.join(met, ["h", "i_group"])
+    same = (F.col("l.h") == F.col("r.h2")) & (F.col("l.j_group") == F.col("r.j_group")) & (F.col("l.i_len") <= F.col("r.j_len"))
+    return of_left.alias("l").join(look_ups.alias("r"), same).select("l.i", "r.j").distinct()
+
+
+def _mixed_variant_count(length: int, k: int) -> int:
+    return sum(comb(length, i) * comb(length - i, d) for i in range(k + 1) for d in range(k + 1 - i) if i <= length)
+
+
+def _common_start(a: Column, b: Column) -> Column:
+    """How many characters two strings begin with in common."""
+    size = F.least(F.length(a), F.length(b))
+    equal = F.zip_with(F.split(F.substr(a, F.lit(1), size), ""), F.split(F.substr(b, F.lit(1), size), ""), lambda x, y: x == y)
+    at = F.array_position(equal, False)
+    return F.when(at == 0, size).otherwise(at - 1).cast("int")
+
+
+def _templates(crowded: DataFrame, k: int) -> DataFrame:
+    """(id, g, len, rest): strings of a template group and what the group's common start and end leave of each."""
+    by_digits = F.xxhash64(F.regexp_replace("v", "[0-9]+", "0"))
+    by_ends = F.xxhash64(F.lit("ends"), F.substr("v", F.lit(1), F.lit(TEMPLATE_ENDS)), F.substr("v", F.lit(-TEMPLATE_ENDS), F.lit(TEMPLATE_ENDS)))
+    marked = crowded.select("id", "v", "len", by_digits.alias("digits"), by_ends.alias("ends"))
+    many = marked.groupBy("digits").agg(F.count(F.lit(1)).alias("alike"))
+    g = F.when(F.col("alike") >= TEMPLATE_STRINGS, F.col("digits")).otherwise(F.col("ends")).alias("g")
+    marked = cut_lineage(marked.join(many, "digits").select("id", "v", "len", g))
+    groups = marked.groupBy("g").agg(
+        F.count(F.lit(1)).alias("strings"),
+        F.min("v").alias("first"), F.max("v").alias("last"),
+        F.min(F.reverse("v")).alias("first_end"), F.max(F.reverse("v")).alias("last_end"),
+        F.min("len").alias("shortest"), F.max("len").alias("longest"),
+    )
+    start = _common_start(F.col("first"), F.col("last"))
+    groups = groups.where(F.col("strings") >= TEMPLATE_STRINGS).select("*", start.alias("start"))
+    end = F.least(_common_start(F.col("first_end"), F.col("last_end")), F.col("shortest") - F.col("start"))
+    groups = groups.select("g", "start", end.alias("end"), "longest")
+    most = max(length for length in range(64) if _mixed_variant_count(length, k) <= TEMPLATE_VARIANTS)
+    groups = groups.where(F.col("longest") - F.col("start") - F.col("end") <= most)
+    rest = F.substr("v", F.col("start") + 1, F.col("len") - F.col("start") - F.col("end"))
+    return marked.join(groups, "g").select("id", "g", "len", rest.alias("rest"))
+
+
+def _mixed_variants(rest: Column, k: int) -> Column:
+    """Distinct (text, open, deleted) with up to k places left open or characters deleted, from the end to the start."""
+
+    def state(text: Column, place: Column, opened: Column, deleted: Column) -> Column:
+        return F.struct(text.alias("text"), place.cast("int").alias("place"), opened.alias("open"), deleted.alias("deleted"))
+
+    def edited(s: Column) -> Column:
+        places = F.when(s["place"] > 1, F.sequence(F.lit(1), s["place"] - 1)).otherwise(F.array().cast("array<int>"))
+
+        def both(p: Column) -> Column:
+            before, after = F.substr(s["text"], F.lit(1), p - 1), F.substr(s["text"], p + 1)
+            return F.array(
+                state(F.concat(before, F.lit(OPEN_PLACE), after), p, s["open"] + 1, s["deleted"]),
+                state(F.concat(before, after), p, s["open"], s["deleted"] + 1),
+            )
+
+        return F.flatten(F.transform(places, both))
+
+    level = F.array(state(rest, F.length(rest) + 1, F.lit(0), F.lit(0)))
+    found = level
+    for _ in range(k):
+        level = F.flatten(F.transform(level, edited))
+        found = F.concat(found, level)
+    return F.array_distinct(F.transform(found, lambda s: F.struct(s["text"], s["open"], s["deleted"])))
+
+
+def _template_candidates(grouped: DataFrame, k: int) -> DataFrame:
+    """(i, j): strings of one group whose rests are within the distance, the shorter or smaller first."""
+    listed = grouped.select("id", "g", "len", "rest", F.explode(_mixed_variants(F.col("rest"), k)).alias("x"))
+    keyed = listed.select(
+        "id", "len", "rest", F.col("x.open").alias("open"), F.col("x.deleted").alias("deleted"),
+        F.xxhash64("g", "x.open", "x.text").alias("h"),
+    )
+    left, right = keyed.alias("l"), keyed.alias("r")
+    within = (F.col("l.h") == F.col("r.h")) & (F.col("l.open") + F.col("l.deleted") + F.col("r.deleted") <= k)
+    shorter = (F.col("l.len") < F.col("r.len")) | ((F.col("l.len") == F.col("r.len")) & (F.col("l.rest") < F.col("r.rest")))
+    return left.join(right, within & shorter).select(F.col("l.id").alias("i"), F.col("r.id").alias("j")).distinct()
 
 
 def _joined_pairs(candidates: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -317,15 +426,17 @@ def _look_up_count(k: int) -> int:
 
 
 def _long_candidates(kept: DataFrame, texts: DataFrame, k: int, direct: int) -> DataFrame:
-    """Candidates by single pieces, or by three pieces together where single ones are too common."""
+    """Candidates by single pieces, or by templates and three pieces together where single ones are too common."""
     enough = F.col("len") >= FINE_PIECE * (k + TOGETHER)
     crowded = (F.col("cost") > CROWDED * (k + 1)) & enough
     few = _piece_candidates(kept.where(~crowded), texts, k, direct)
     many = kept.where(crowded).select("id")
     if many.isEmpty():
         return few
-    many = texts.join(many, "id", "left_semi")
-    return few.unionByName(_three_piece_candidates(many, texts, k, direct)).distinct()
+    many = cut_lineage(texts.join(many, "id", "left_semi"))
+    grouped = cut_lineage(_templates(many, k))
+    alike = _template_candidates(grouped, k)
+    return few.unionByName(alike).unionByName(_three_piece_candidates(many, texts, grouped, k, direct)).distinct()
 
 
 def _found_pairs(values: DataFrame, k: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinseframe.functions.columns import as_double, col, numeric_columns, require
+from rinseframe.plans.lineage import cut_lineage, shuffle_partitions
 
 AGGREGATES = {
     "count": F.count,
@@ -86,7 +87,8 @@ def quantiles(
     A quantile sketch bounds each wanted value from both sides; the rows below and
     between the bounds are counted, and only values between them are counted one by
     one. Should the bounds still hold too many rows, the sketch is first run again
-    between them. What one task ranks is bounded by ``SPAN_ROWS``, whatever the table.
+    between them. What one task ranks is bounded by ``SPAN_ROWS``, whatever the table: where
+    bounds cannot be narrowed so far, the values are ranked over ranges.
     """
     if not names:
         return {}
@@ -195,6 +197,34 @@ def _narrow(
     return narrowed, largest
 
 
+def _placed(counted: DataFrame) -> DataFrame:
+    """(column, x, first, past): the places that each of the counted values takes in its column."""
+    past = F.sum("n").over(Window.partitionBy("column").orderBy("x"))
+    return counted.select("column", "x", (past - F.col("n")).alias("first"), past.alias("past"))
+
+
+def _placed_over_ranges(counted: DataFrame, places: set[tuple[str, int]]) -> DataFrame:
+    """``_placed`` of the ranges of values that hold one of the places.
+
+    Values are stored by ranges; the ranges' sums, a row for each, tell where each one's places
+    begin, and only those with a wanted place are ranked.
+    """
+    ranges = counted.repartitionByRange(shuffle_partitions(counted.sparkSession), "column", "x")
+    stored = cut_lineage(ranges.withColumn("range", F.spark_partition_id()))
+    begins: dict[str, int] = {}
+    held = []
+    for row in stored.groupBy("column", "range").agg(F.sum("n").alias("n")).orderBy("range").collect():
+        begin = begins.get(row["column"], 0)
+        begins[row["column"]] = begin + row["n"]
+        if any(name == row["column"] and begin <= place < begin + row["n"] for name, place in places):
+            held.append((row["column"], row["range"], begin))
+    chosen = stored.sparkSession.createDataFrame(held, "in_column string, in_range int, begin long")
+    same = (F.col("column") == F.col("in_column")) & (F.col("range") == F.col("in_range"))
+    past = F.col("begin") + F.sum("n").over(Window.partitionBy("column", "range").orderBy("x"))
+    found = stored.join(F.broadcast(chosen), same)  # at most a range for each place
+    return found.select("column", "x", (past - F.col("n")).alias("first"), past.alias("past"))
+
+
 def _values_at(
     df: DataFrame, ranks: dict[str, set[int]], spans: dict[str, list[tuple[float, float]]]
 ) -> dict[str, dict[int, float]]:
@@ -204,8 +234,10 @@ def _values_at(
     rank less the rows outside the spans before it.
     """
     wanted: dict[str, dict[int, int]] = {}
+    most = 0
     for name, counts in _span_counts(df, spans).items():
         wanted[name], seen = {}, 0
+        most = max(most, sum(rows for _, rows in counts))
         for below, rows in counts:
             wanted[name].update({r: r - below + seen for r in ranks[name] if below <= r < below + rows})
             seen += rows
@@ -220,12 +252,11 @@ def _values_at(
         .groupBy("column", "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    past = F.sum("n").over(Window.partitionBy("column").orderBy("x"))
-    placed = counted.select("column", "x", (past - F.col("n")).alias("first"), past.alias("past"))
+    places = {(name, place) for name, of_rank in wanted.items() for place in of_rank.values()}
+    placed = _placed(counted) if most <= SPAN_ROWS else _placed_over_ranges(counted, places)
     hits = [
         (F.col("column") == name) & (F.col("first") <= place) & (F.col("past") > place)
-        for name, places in wanted.items()
-        for place in set(places.values())
+        for name, place in sorted(places)
     ]
     values: dict[str, dict[int, float]] = {name: {} for name in ranks}
     for row in placed.where(reduce(lambda a, b: a | b, hits)).collect() if hits else []:

@@ -122,6 +122,20 @@ ORACLE: dict[str, str] = {
     + ", ".join(c if c != "l_shipdate" else f"strftime({c}, '%Y-%m-%d %H:%M:%S')" for c in LINEITEM.split())
     + ") as line from lineitem",
     "scan_zip": "select p_partkey, p_name, p_brand, p_type, p_size::bigint as p_size, p_retailprice from part",
+    "scan_zip_members": "select p_partkey, p_name, p_brand, p_type, p_size::bigint as p_size, p_retailprice from part",
+    "join_hot_key": """with l as (select case when l_linenumber = 1 then 0 else l_orderkey end as k, l_quantity from lineitem),
+      o as (select case when o_orderkey <= 40 then 0 when o_orderpriority < '3' then -1 else o_orderkey end as k, o_orderkey from orders)
+      select l.k as l_k, o.k as o_k, o_orderkey as o_o_orderkey, count(*) as n, sum(l_quantity) as quantity
+      from l full join o on l.k = o.k group by all""",
+    "one_hot_sparse": """with c as (select distinct 0 as k, p_brand as v from part union all select distinct 1, p_name from part),
+      d as (select k, v, row_number() over (order by k, v) - 1 as i from c where v is not null)
+      select p_partkey, (select count(*) from d)::int as size, concat_ws(',', b.i, n.i) as indices
+      from part left join d b on b.k = 0 and b.v = p_brand left join d n on n.k = 1 and n.v = p_name""",
+    "snapshots_left": """select 'o_orderkey' as first_column, count(*) as n from orders where not o_totalprice < 100000
+      union all select 'c_custkey', count(*) from customer""",
+    "csv_count": "select count(*) as n from customer",
+    "csv_stray_quotes": """select p_partkey, p_size || '"' as inches, p_name || ' of "5"' as name,
+      p_brand || ', 7"' || chr(10) || p_type as place from part""",
     "scan_sql_dump": "select page_id, url, html from pages",
     "scan_sql_dump_comments": """select 'supplier' as kind, s_suppkey as id, s_name || '; it''s -- /* #' as name, s_acctbal as balance
       from supplier union all select 'part', p_partkey, p_name, null from part""",

@@ -6,11 +6,14 @@ Cells are made empty by a rule of the data: the price of an order still pending
 
 from __future__ import annotations
 
+import functools
 import io
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +97,25 @@ def csv_round_trip(spark, sf):
     return csv.read_csv(spark, path)
 
 
+@query
+def csv_count(spark, sf):
+    """Rows of a CSV table of which no column is asked for."""
+    path = new_path(spark, "csv_count")
+    csv.write_csv(read(spark, sf, "customer"), path)
+    return csv.read_csv(spark, path).agg(F.count("*").alias("n"))
+
+
+@query
+def csv_stray_quotes(spark, sf):
+    """Quotes within cells: inch marks, text after a closing quote, and cells over two lines beside them."""
+    path = new_path(spark, "csv_stray_quotes")
+    quoted = F.concat(F.lit('"'), F.replace("p_name", F.lit('"'), F.lit('""')), F.lit('" of "5"'))
+    broken = F.concat(F.lit('"'), "p_brand", F.lit(', 7""\n'), "p_type", F.lit('"'))
+    cells = [F.col("p_partkey").cast("string"), F.concat(F.col("p_size").cast("string"), F.lit('"')), quoted, broken]
+    read(spark, sf, "part").select(F.concat_ws(",", *cells).alias("value")).write.text(path)
+    return csv.read_csv(spark, path, header=False, schema="p_partkey long, inches string, name string, place string")
+
+
 @query
 def write_csv(spark, sf):
     path = new_path(spark, "write_csv")
@@ -116,6 +138,27 @@ def scan_zip(spark, sf):
     return zips.read_archives(archives)["part.csv"]
 
 
+@query
+def scan_zip_members(spark, sf):
+    """Archives of five members each, in a shared folder; every member is read by a task of its own."""
+    path = new_path(spark, "scan_zip_members")
+    folder = path if "://" in path else f"file://{path}"
+
+    def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root)
+        for batch in batches:
+            name = f"{uuid.uuid4().hex}.zip"
+            with files.open_output_stream(f"{root}/{name}") as target, zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+                for i, rows in batch.groupby(batch["p_partkey"] % 5):
+                    archive.writestr(f"part{i}.csv", rows.to_csv(index=False))
+            yield pd.DataFrame({"name": [name]})
+
+    read(spark, sf, "part").mapInPandas(zipped, "name string").count()
+    members = zips.read_zip(spark, path)
+    return functools.reduce(DataFrame.unionByName, members.values())
+
+
 @query
 def scan_sql_dump(spark, sf):
     """Whole texts through INSERT statements, with quotes, semicolons and line breaks."""
@@ -476,6 +519,18 @@ def join_full_multikey(spark, sf):
     return joins.join_tables(two, ["o_orderkey", "l_orderkey"], ["o_orderstatus", "l_linestatus"])
 
 
+@query
+def join_hot_key(spark, sf):
+    """A key with a quarter of the left rows, another with two fifths of the right rows, found by the join itself."""
+    key = F.when(F.col("l_linenumber") == 1, F.lit(0)).otherwise(F.col("l_orderkey"))
+    lines = read(spark, sf, "lineitem").select(key.alias("k"), "l_linenumber", "l_quantity")
+    key = F.when(F.col("o_orderkey") <= 40, F.lit(0)).when(F.col("o_orderpriority") < "3", F.lit(-1)).otherwise(F.col("o_orderkey"))
+    orders = read(spark, sf, "orders").select(key.alias("k"), "o_orderkey")
+    joined = joins.join_tables({"l": lines, "o": orders}, ["k", "k"], hot_rows=100)
+    keys = [F.col(f"`{c}`").alias(c.replace(".", "_")) for c in ("l.k", "o.k", "o.o_orderkey")]
+    return joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("`l.l_quantity`").alias("quantity"))
+
+
 @query
 def join_chain(spark, sf):
     three = {
@@ -758,3 +813,27 @@ def stream_events(spark, sf):
     ]
     clean_stream(spark, source, events.schema, steps, target, checkpoint).awaitTermination()
     return spark.read.parquet(target)
+
+
+@query
+def one_hot_sparse(spark, sf):
+    """Two columns, one with a category for nearly every row, as sparse vectors."""
+    found = encode.one_hot_sparse(read(spark, sf, "part").select("p_partkey", "p_brand", "p_name"), ["p_brand", "p_name"])
+    indices = F.array_join(F.col("one_hot.indices").cast("array<string>"), ",").alias("indices")
+    return found.select("p_partkey", F.col("one_hot.size").alias("size"), indices)
+
+
+@query
+def snapshots_left(spark, sf):
+    """Rows of the stored tables that are left when two of three saved versions are gone."""
+    folder = new_path(spark, "snapshots_left")
+    named = {n: read(spark, sf, n) for n in ("orders", "customer")}
+    session = versions.Session(named, "INIT")
+    session.save(folder)
+    session.step(rows.delete_rows, "o_totalprice", "<", 100_000, table="orders", describe="DELETE ROWS").save(folder)
+    session.step(rows.drop_column, "c_acctbal", table="customer", describe="DROP COLUMN").save(folder)
+    session.undo().drop(1)
+    versions.collect_snapshots(spark, folder, 0)
+    left = [spark.read.parquet(path) for path in versions.stored_tables(spark, folder)]
+    counts = [t.agg(F.lit(t.columns[0]).alias("first_column"), F.count(F.lit(1)).alias("n")) for t in left]
+    return functools.reduce(DataFrame.unionByName, counts)

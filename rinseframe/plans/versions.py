@@ -63,6 +63,55 @@ def in_order(log: DataFrame) -> DataFrame:
 LOG = "at long, action string, snapshot string, version int, description string, tables array<struct<name:string,path:string>>"
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def stored_tables(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Paths of all tables below a folder of saved sessions, as the log writes them, with their time in milliseconds."""
+    files, place = _file_system(spark, f"{folder}/tables")
+    found = {}
+    for snapshot in files.listStatus(place) if files.exists(place) else []:
+        for table in files.listStatus(snapshot.getPath()):
+            name = f"{folder}/tables/{snapshot.getPath().getName()}/{table.getPath().getName()}"
+            found[name] = table.getModificationTime()
+    return found
+
+
+def collect_snapshots(spark: SparkSession, folder: str, retention: float) -> list[str]:
+    """Remove the tables that no version left in the log points to, and return their paths.
+
+    Tables written, or let go by the last version that had them, within ``retention`` seconds
+    stay: a save writes its tables before its log row, so the time must be longer than a save
+    takes, and longer than sessions that may still read what others drop. Files are listed
+    before the log is read, so a save that ends in between is seen.
+    """
+    there = stored_tables(spark, folder)
+    log = spark.read.parquet(f"{folder}/log").collect()  # a row for each save and undo
+    dropped = {row["snapshot"]: row["at"] for row in log if row["action"] == "drop"}
+    live, let_go = set(), {}
+    for row in log:
+        for table in row["tables"] if row["action"] == "save" else []:
+            if row["snapshot"] in dropped:
+                let_go[table["path"]] = max(let_go.get(table["path"], 0), dropped[row["snapshot"]])
+            else:
+                live.add(table["path"])
+    before = time.time_ns() - int(retention * 1e9)
+    gone = [p for p, at in there.items() if p not in live and at * 10**6 <= before and let_go.get(p, 0) <= before]
+    for path in gone:
+        files, place = _file_system(spark, path)
+        files.delete(place, True)
+        if not files.listStatus(place.getParent()):
+            files.delete(place.getParent(), False)
+    return sorted(gone)
+
+
 @dataclass
 class Version:
     number: int
@@ -156,6 +205,8 @@ class Session:
         snapshot, paths = uuid.uuid4().hex, {}
         for position, (name, df) in enumerate(newest.tables.items()):
             known = next((path for old, path in there if old is df), None)
+            if known is not None and not _exists(df.sparkSession, known):
+                raise FileNotFoundError(f"{known!r} was collected; load the session anew")
             paths[name] = known or f"{folder}/tables/{snapshot}/{position}"
             if known is None:
                 df.write.mode("errorifexists").parquet(paths[name])

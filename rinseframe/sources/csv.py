@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import os
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from rinseframe.functions.columns import col, replace_columns
 from rinseframe.functions.text import cell_text
-from rinseframe.sources.rejoin import read_pieces, rejoin
+from rinseframe.sources.rejoin import CODE, read_pieces, rejoin
 
 # Cell texts read as empty.
 NA_TOKENS = [
@@ -86,22 +88,87 @@ def infer_types(df: DataFrame) -> DataFrame:
     return replace_columns(df, exprs)
 
 
-def has_quoted_line_breaks(spark: SparkSession, path: str, quote: str = '"') -> bool:
-    """Whether some line holds an odd number of quote characters."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def cell_patterns(sep: str, quote: str) -> tuple[str, str]:
+    """A cell in quotes, and the characters of one without: a quote counts only at the start of a cell."""
+    q, other = re.escape(quote), f"[^{re.escape(sep)}]" if len(sep) == 1 else f"(?s:(?!{re.escape(sep)}).)"
+    return f"{q}(?:[^{q}]++|{q}{q})*+{q}", f"{other}*+"
 
 
-def read_records(spark: SparkSession, path: str, quote: str) -> DataFrame:
-    """(record, first): lines joined where a quote is open, in parallel; ``first`` marks each file's header."""
+def has_quoted_line_breaks(spark: SparkSession, path: str, quote: str = '"', sep: str = ",") -> bool:
+    """Whether some line ends inside a quoted cell, or has text between a closing quote and the next separator."""
+    quoted, plain = cell_patterns(sep, quote)
+    cell = f"(?:{quoted}|(?!{re.escape(quote)}){plain})"
+    whole = f"^{cell}(?:{re.escape(sep)}{cell})*+\\r?$"
+    return not spark.read.text(path).where(F.contains("value", F.lit(quote)) & ~F.col("value").rlike(whole)).isEmpty()
+
+
+QUOTED = CODE + 1
 
-    def step(line: str, state: int, wanted: bool) -> tuple[int, str]:
-        return (state + line.count(quote)) % 2, line
 
-    records = rejoin(read_pieces(spark, path, "\n"), step, 2, "\n")
+def record_step(sep: str, quote: str) -> Callable[[str, int, bool], tuple[int, str]]:
+    """What a line does to the state, CODE or QUOTED, and the line with cells in regular quotes.
+
+    A quote opens a cell at its start only; anywhere else in a cell without quotes it is
+    a character, and text after the closing quote belongs to the cell.
+    """
+    inside_after, twice = QUOTED, quote + quote
+
+    # nested, so that executors need nothing of this package
+    def step(line: str, state: int, wanted: bool) -> tuple[int, str]:
+        if quote not in line:
+            return state, line
+        kept, at, inside = [], 0, state == inside_after
+        end = len(line) - line.endswith("\r")
+        while True:
+            begin = at
+            if inside or line.startswith(quote, at):
+                close = line.find(quote, at if inside else at + 1)
+                while close >= 0 and line.startswith(quote, close + 1):
+                    close = line.find(quote, close + 2)
+                if close < 0:
+                    kept.append(line[begin:])
+                    return inside_after, "".join(kept)
+                inside = False
+                stop = line.find(sep, close + 1)
+                rest = line[close + 1 : end if stop < 0 else stop]
+                kept.append(line[begin:close] + rest.replace(quote, twice) + quote)
+            else:
+                stop = line.find(sep, at)
+                cell = line[at : end if stop < 0 else stop]
+                kept.append(quote + cell.replace(quote, twice) + quote if quote in cell else cell)
+            if stop < 0:
+                return 0, "".join(kept)
+            kept.append(sep)
+            at = stop + len(sep)
+
+    return step
+
+
+def read_records(spark: SparkSession, path: str, quote: str, sep: str = ",") -> DataFrame:
+    """(record, first): lines joined where a quote is open, in parallel; ``first`` marks each file's header."""
+    records = rejoin(read_pieces(spark, path, "\n"), record_step(sep, quote), QUOTED + 1, "\n")
     return records.withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> '' OR first")
 
 
+def header_names(cells: list[str]) -> list[str]:
+    """Column names: a repeated one gets the first free number after a dot, an empty one its place."""
+    names: list[str] = []
+    for i, cell in enumerate(cells):
+        name, number = cell or f"Unnamed: {i}", 0
+        base = name
+        while name in names or (number and name in cells):
+            number += 1
+            name = f"{base}.{number}"
+        names.append(name)
+    return names
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of some file of the path."""
+    row = spark.read.text(path).where("_metadata.file_block_start = 0").first()
+    return row and row["value"].removesuffix("\r")
+
+
 def odd_column(names: list[str]) -> str:
     """A column for the text of rows that have another number of cells than there are columns."""
     odd = "odd_record"
@@ -112,10 +179,14 @@ def odd_column(names: list[str]) -> str:
 
 def without_surplus(parsed: DataFrame, names: list[str], sep: str, quote: str) -> DataFrame:
     """The columns of parsed rows; a row with more cells than columns is an error."""
-    odd, q = odd_column(names), re.escape(quote)
-    unquoted = F.regexp_replace(col(odd), f"{q}(?:[^{q}]|{q}{q})*+{q}", "")
-    cells = 1 + (F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))) / len(sep)
-    surplus = F.raise_error(F.concat(F.lit("more cells than columns: "), col(odd))).cast("boolean")
+    odd = odd_column(names)
+    quoted, plain = cell_patterns(sep, quote)
+    # one mark for each cell
+    marks = F.regexp_replace(F.concat(F.lit(sep), col(odd)), f"{re.escape(sep)}(?:{quoted})?+{plain}", "x")
+    cells = F.length(marks)
+    # names the first cell, as a reader gives no rows where nothing but the odd text is asked for
+    surplus = F.concat(F.lit("more cells than columns after "), F.coalesce(col(names[0]), F.lit("")), F.lit(": "), col(odd))
+    surplus = F.raise_error(surplus).cast("boolean")
     fitting = F.when(col(odd).isNull() | (cells <= len(names)), F.lit(True)).otherwise(surplus)
     return parsed.where(fitting).select(*[col(n) for n in names])
 
@@ -155,18 +226,27 @@ def read_csv(
     """A CSV file or folder with a header line.
 
     Types are inferred from all rows unless ``schema`` is given. ``multi_line`` left open is
-    decided by looking for quoted line breaks; give both to read very large files in a
-    single pass. Files with quoted line breaks are split among tasks like others, except in
+    decided by looking for quoted line breaks and text after closing quotes; give both to read
+    very large files in a single pass. A quote inside a cell without quotes is a character. Files with quoted line breaks are split among tasks like others, except in
     encodings other than UTF-8. A row with fewer cells than the header is filled with empty
     cells, one with more is an error.
     """
     if multi_line is None:
-        multi_line = has_quoted_line_breaks(spark, path, quote)
+        multi_line = has_quoted_line_breaks(spark, path, quote, sep)
     options = {"sep": sep, "quote": quote, "escape": quote, "encoding": encoding}
     plain = encoding.upper().replace("-", "") == "UTF8"
     reader = spark.read.options(**options).option("header", header).option("multiLine", multi_line)
-    records = read_records(spark, path, quote) if multi_line and plain else None
-    names = reader.csv(path).columns
+    records = read_records(spark, path, quote, sep) if multi_line and plain else None
+    if not plain:
+        names = reader.csv(path).columns
+    else:
+        head = records.where("first").first() if records is not None else None
+        line = (head and head["record"]) if records is not None else first_line(spark, path)
+        cells = next(csv.reader([line], delimiter=sep, quotechar=quote, strict=False), [""]) if line and len(sep) == 1 else None
+        if cells is None:
+            names = reader.csv(path).columns
+        else:
+            names = header_names(cells) if header else [f"_c{i}" for i in range(len(cells))]
     if not names:
         raise ValueError(f"{path!r} holds no columns")
     if records is not None:

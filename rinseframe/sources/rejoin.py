@@ -2,8 +2,9 @@
 
 A file is split freely among tasks at every separator, also at those inside quotes. What
 a separator means depends on all text before it, so a first pass finds, for each state a
-file block may begin in, the state it ends in. Following these from block to block, a row
-each, gives every block's first state, and a second pass puts the pieces together.
+file block may begin in, the state it ends in. These tables of states are composed over runs
+of neighbouring blocks, the runs are followed from the start of the file, and within each
+run the blocks, which gives every block's first state. A second pass puts the pieces together.
 """
 
 from __future__ import annotations
@@ -16,8 +17,13 @@ from pyspark.sql import functions as F
 
 from rinseframe.plans.lineage import cut_lineage
 
+#: bytes of neighbouring blocks whose tables are composed in one task
+RUN_BYTES = 128 << 30
+#: rows of block states that are broadcast, about 200 bytes each; more are joined by a shuffle
+FEW_BLOCKS = 100_000
 #: outside everything: a separator met in this state ends a record
 CODE = 0
+INHERITED = -1
 #: (piece, state, whether the text is wanted) -> state after it, the text to keep
 Step = Callable[[str, int, bool], tuple[int, str]]
 
@@ -62,17 +68,40 @@ def rejoin(
             done.append((*here, ends, cuts))
         yield pd.DataFrame(done, columns=["file", "block", "ends", "cuts"])
 
-    def follow(blocks: pd.DataFrame) -> pd.DataFrame:
-        """Each block's first state, and the block in which the record open there began."""
-        rows, state, origin = [], CODE, None
-        for block in blocks.sort_values("block").itertuples():
-            rows.append((block.file, block.block, state, None if state == CODE else origin))
+    def walk(blocks: pd.DataFrame, state: int, origin: int) -> tuple[int, int, list[tuple[int, int]]]:
+        """Last state, block in which the record open then began, and both at the start of each block."""
+        before = []
+        for block in blocks.itertuples():
+            before.append((state, origin))
             if state == CODE or block.cuts[state]:
                 origin = block.block
             state = int(block.ends[state])
+        return state, origin, before
+
+    def compose(blocks: pd.DataFrame) -> pd.DataFrame:
+        """A run of blocks as one table; a record open since before the run has no origin yet."""
+        blocks = blocks.sort_values("block")
+        found = [walk(blocks, first, INHERITED)[:2] for first in range(states)]
+        one = [[end for end, _ in found], [origin for _, origin in found]]
+        return pd.DataFrame([(blocks["file"].iloc[0], blocks["run"].iloc[0], *one)], columns=["file", "run", "ends", "origins"])
+
+    def follow(runs: pd.DataFrame) -> pd.DataFrame:
+        """Each run's first state, and the block in which the record open there began."""
+        rows, state, origin = [], CODE, INHERITED
+        for run in runs.sort_values("run").itertuples():
+            rows.append((run.file, run.run, state, origin))
+            began = int(run.origins[state])
+            origin, state = origin if began == INHERITED else began, int(run.ends[state])
         if state not in may_end_in:
-            raise ValueError(f"a quote or comment is left open at the end of {blocks['file'].iloc[0]}")
-        return pd.DataFrame(rows, columns=["in_file", "in_block", "begins", "origin"]).astype({"origin": "Int64"})
+            raise ValueError(f"a quote or comment is left open at the end of {runs['file'].iloc[0]}")
+        return pd.DataFrame(rows, columns=["in_file", "in_run", "begins", "origin"])
+
+    def expand(blocks: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        """The blocks of a run that begin inside something."""
+        blocks = blocks.sort_values("block")
+        _, _, before = walk(blocks, int(first["begins"].iloc[0]), int(first["origin"].iloc[0]))
+        rows = [(b.file, b.block, state, origin) for b, (state, origin) in zip(blocks.itertuples(), before) if state != CODE]
+        return pd.DataFrame(rows, columns=["in_file", "in_block", "begins", "origin"])
 
     columns = ["file", "origin", "block", "first", "record"]
 
@@ -89,7 +118,7 @@ def rejoin(
                 if (file, block) != here:
                     if parts:
                         found.append(rest())
-                    here, state, parts, first = (file, block), int(begins), [], block == 0
+                    here, state, parts, first = (file, block), CODE if pd.isna(begins) else int(begins), [], block == 0
                     origin = None if pd.isna(came_from) else int(came_from)
                 state, kept = step(value, state, True)
                 parts.append(kept if state == CODE or state in left_out else kept + separator)
@@ -101,11 +130,20 @@ def rejoin(
             yield pd.DataFrame([rest()], columns=columns).astype({"origin": "Int64"})
 
     blocks = pieces.mapInPandas(transitions, "file string, block long, ends array<int>, cuts array<boolean>")
+    blocks = cut_lineage(blocks.withColumn("run", F.expr(f"block div {RUN_BYTES}")))
+    runs = blocks.groupBy("file", "run").applyInPandas(compose, "file string, run long, ends array<int>, origins array<long>")
+    firsts = runs.groupBy("file").applyInPandas(follow, "in_file string, in_run long, begins int, origin long")
     begins = cut_lineage(
-        blocks.groupBy("file").applyInPandas(follow, "in_file string, in_block long, begins int, origin long")
+        blocks.groupBy("file", "run")
+        .cogroup(firsts.groupBy("in_file", "in_run"))
+        .applyInPandas(expand, "in_file string, in_block long, begins int, origin long")
     )
-    # a row for each file block, about a millionth of the text; pieces keep their order only in a broadcast join
-    known = pieces.join(F.broadcast(begins), (F.col("file") == F.col("in_file")) & (F.col("block") == F.col("in_block")))
+    same = (F.col("file") == F.col("in_file")) & (F.col("block") == F.col("in_block"))
+    if begins.count() <= FEW_BLOCKS:
+        known = pieces.join(F.broadcast(begins), same, "left")
+    else:  # a shuffle loses the order of pieces
+        at = pieces.withColumn("at", F.monotonically_increasing_id())
+        known = at.join(begins, same, "left").sortWithinPartitions("file", "block", "at")
     known = known.select("file", "block", "begins", "origin", "value")
     put = cut_lineage(known.mapInPandas(put_together, "file string, origin long, block long, first boolean, record string"))
     parts = F.array_sort(F.collect_list(F.struct("block", "record")))

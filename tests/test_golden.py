@@ -6,11 +6,13 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rinseframe.functions.bins import equal_width_edges, interval_labels
 from rinseframe.functions.regex import java_pattern, java_replacement
 from rinseframe.operators import bins, encode, rows, scale, stats, types, values
 from rinseframe.operators.rows import Cell
+from rinseframe.plans import lineage
 
 
 def numbers(spark, *cells):
@@ -386,3 +388,49 @@ def test_quantiles_of_nothing_and_one(spark):
 def test_stats_skip_nan(spark):
     row = stats.column_stats(numbers(spark, math.nan, None, 1, 2)).first()
     assert (row["count"], row["min"], row["max"], row["mean"]) == (2, 1.0, 2.0, 1.5)
+
+
+# ---- sparse one-hot
+
+
+def test_one_hot_sparse(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (2, None, "y"), (3, "a", None), (4, "b", "x"), (5, None, None)], "i int, s string, t string")
+    found = encode.one_hot_sparse(df, ["s", "t"])
+    assert found.columns == ["i", "one_hot"]
+    assert sorted((r.i, r.one_hot.size, r.one_hot.indices, r.one_hot["values"]) for r in found.collect()) == [
+        (1, 4, [1, 2], [1.0, 1.0]), (2, 4, [3], [1.0]), (3, 4, [0], [1.0]), (4, 4, [1, 2], [1.0, 1.0]), (5, 4, [], [])
+    ]
+    known = encode.one_hot_dictionary(df.where("i < 3"), ["s"])
+    later = encode.one_hot_sparse(df, ["s"], known).orderBy("i").collect()
+    assert [r.one_hot.indices for r in later] == [[0], [], [], [0], []] and later[0].one_hot.size == 1
+    assert encode.one_hot_sparse(df.limit(0), ["s"]).collect() == []
+
+
+def test_one_hot_of_many_categories_is_not_gathered(spark, monkeypatch):
+    df = spark.range(300_000).selectExpr("id", "concat('c', id % 200000) AS c")
+    plain, gathered = type(df).collect, []
+    monkeypatch.setattr(type(df), "collect", lambda self: gathered.append(plain(self)) or gathered[-1])
+    found = encode.one_hot_sparse(df, ["c"])
+    assert all(len(found_rows) <= 1 for found_rows in gathered)
+    worst = found.agg(F.max("one_hot.size").alias("size"), F.count_distinct(F.col("one_hot.indices")[0]).alias("n"), F.max(F.size("one_hot.indices")).alias("most"))
+    assert tuple(worst.first()) == (200_000, 200_000, 1)
+
+
+def test_numbers_in_order(spark):
+    rows = [(chr(97 + i % 26), i) for i in range(500)]
+    found = lineage.numbered_in_order(spark.createDataFrame(rows, "s string, i int"), ["s", "i"], "n").orderBy("n").collect()
+    assert [(r.s, r.i) for r in found] == sorted(rows) and [r.n for r in found] == list(range(500))
+
+
+@pytest.mark.parametrize("values", ["id % 7", "id", "CASE WHEN id % 3 = 0 THEN 5 ELSE id END", "-(id * id) % 1001"])
+def test_quantiles_over_ranges(spark, monkeypatch, values):
+    """More values between the bounds than a task ranks, one of them with a third of all rows."""
+    df = spark.range(5000).selectExpr(f"CAST({values} AS double) AS x", "CAST(id % 11 AS double) AS y")
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    expected = {n: np.quantile(column(df, n), probabilities).tolist() for n in ("x", "y")}
+    plain = stats._placed_over_ranges
+    used = []
+    monkeypatch.setattr(stats, "SPAN_ROWS", 1)
+    monkeypatch.setattr(stats, "_placed_over_ranges", lambda *args: used.append(1) or plain(*args))
+    found = stats.quantiles(df, ["x", "y"], probabilities)
+    assert used and all(np.allclose(found[n], expected[n], rtol=0, atol=1e-9) for n in expected)

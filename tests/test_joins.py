@@ -1,6 +1,9 @@
 """Full outer joins: empty keys, hot keys, chains, unconditional joins."""
 
+from math import sqrt
+
 import pytest
+from pyspark.sql import functions as F
 
 from rinseframe.operators import joins
 
@@ -70,7 +73,7 @@ def test_chain_of_four_equals_native(spark):
 @pytest.mark.parametrize("broadcast_bytes", [10_000, 0])
 def test_unconditional(spark, monkeypatch, broadcast_bytes):
     monkeypatch.setattr(joins, "BROADCAST_BYTES", broadcast_bytes)
-    monkeypatch.setattr(joins, "GRID_BLOCKS", 4)
+    monkeypatch.setattr(joins, "CELL_PAIRS", 4)
     a = spark.createDataFrame([(i,) for i in range(5)], "x int")
     b = spark.createDataFrame([(i,) for i in range(3)], "y int")
     assert rows(joins.join_tables({"a": a, "b": b}, cross=True)) == sorted(((i, j) for i in range(5) for j in range(3)), key=repr)
@@ -127,3 +130,69 @@ def test_full_join_reads_each_side_twice(spark):
     o, c = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "customer"))
     plan = joins.full_join(o, c, [("o_custkey", "c_custkey")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 4
+
+
+# ---- hot keys found by sketches, and the grid
+
+
+@pytest.fixture
+def whole_partitions(spark):
+    """Shuffle partitions as they are, so that rows of each can be counted."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def third(spark, rows, name, seed):
+    """A table in which one key has a third of all rows, and some keys are missing."""
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 0, None).otherwise(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(rows)))
+    return spark.range(rows).select(key.alias("k"), F.lit(1).alias(name))
+
+
+def test_hot_key_is_split_without_being_named(spark, whole_partitions):
+    a, b = third(spark, 3000, "x", 1), third(spark, 1500, "y", 2)
+    joined = joins.join_tables({"a": a, "b": b}, ["k", "k"], hot_rows=100)
+    tasks = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect() if r["count"] > 2000]
+    assert len(tasks) >= 7 and max(tasks) <= 3 * sorted(tasks)[len(tasks) // 2]
+    plain = a.toDF("a.k", "a.x").join(b.toDF("b.k", "b.y"), F.col("`a.k`") == F.col("`b.k`"), "full")
+    both = [d.groupBy(*[f"`{c}`" for c in d.columns]).count() for d in (joined, plain)]
+    assert rows(both[0]) == rows(both[1])
+
+
+@pytest.mark.parametrize("kinds", [("int", "bigint"), ("double", "double"), ("string", "string"), ("int", "string")])
+def test_split_keys_equal_native(spark, kinds):
+    a = spark.createDataFrame([((0, 1, 2, i, None)[i % 5], i) for i in range(400)], "k int, i int").withColumn("k", F.col("k").cast(kinds[0]))
+    b = spark.createDataFrame([((0, 2, i, 900 + i)[i % 4], i) for i in range(200)], "k int, j int").withColumn("k", F.col("k").cast(kinds[1]))
+    if kinds[0] == "double":
+        a = a.withColumn("k", F.when(F.col("k") == 0, F.lit(-0.0)).when(F.col("k") == 2, F.lit(float("nan"))).otherwise(F.col("k")))
+        b = b.withColumn("k", F.when(F.col("k") == 2, F.lit(float("nan"))).otherwise(F.col("k")))
+    a2, b2 = a.toDF("a.k", "a.i"), b.toDF("b.k", "b.j")
+    expected = native(a2, b2, a2["`a.k`"] == b2["`b.k`"])
+    assert bool(joins.hot_cells(a2, b2, [("a.k", "b.k")], 10)) == (kinds != ("int", "string"))
+    assert repr(rows(joins.join_tables({"a": a, "b": b}, ["k", "k"], hot_rows=10))) == repr(rows(expected))
+    only_left = joins.join_tables({"a": a, "b": b.where("j < 0")}, ["k", "k"], hot_rows=10)
+    assert only_left.count() == 400
+
+
+def test_chain_with_hot_keys(spark):
+    a = spark.createDataFrame([(i % 3, i) for i in range(90)], "x int, i int")
+    b = spark.createDataFrame([(0, i % 2) for i in range(40)], "x int, y int")
+    c = spark.createDataFrame([(1, i) for i in range(30)], "y int, j int")
+    args = ({"a": a, "b": b, "c": c}, ["x", "x", None], [None, "y", "y"])
+    assert rows(joins.join_tables(*args, hot_rows=5)) == rows(joins.join_tables(*args))
+
+
+def test_grid_copies_grow_with_the_root_of_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    for n, m, cells in [(10, 10, 4), (1000, 10, 64), (10**6, 10**6, 1024), (3, 10**9, 100), (1, 5, 8)]:
+        r, c = joins.grid_sides(n, m, cells)
+        assert 1 <= r <= n and 1 <= c <= m and (r * c >= cells or (r == n) or (c == m))
+        assert n * c + m * r <= 2.5 * sqrt(cells * n * m) + n + m
+    a, b = spark.range(300).toDF("x"), spark.createDataFrame([(5,)] * 200, "y int")
+    joined = joins.full_join_unconditional(a, b)
+    exchanged = joined.groupBy("x", "y").count()
+    assert sorted(r["count"] for r in exchanged.collect()) == [200] * 300
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and plan.count("Generate explode") == 2

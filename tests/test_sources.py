@@ -3,14 +3,19 @@
 import datetime
 import decimal
 import os
+import random
 import zipfile
 
+import pandas
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rinseframe.operators import rows as table_rows
+from rinseframe.operators import stats
 from rinseframe.plans.lineage import new_path
-from rinseframe.sources import csv, dump, tables
+from rinseframe.sources import csv, dump, rejoin, tables
 from rinseframe.sources import zip as zips
 from rinseframe.sources.sqltypes import spark_type
 
@@ -185,3 +190,101 @@ def test_replace_refuses_its_own_source(spark):
     with pytest.raises(ValueError):
         tables.replace_table(spark.read.parquet(path), path)
     assert tables.replace_table(spark.range(2), path).count() == 2
+
+
+# ---- quotes that are characters
+
+
+def pandas_rows(path, columns, **options):
+    found = pandas.read_csv(path, dtype=str, **options)
+    assert list(found.columns) == columns
+    return sorted((tuple(None if pandas.isna(c) else c for c in row) for row in found.itertuples(index=False)), key=repr)
+
+
+STRAY = {
+    "inches": 'a,b\n5",x\n6",y\n7",z\n8,q\n',
+    "pipes": 'a,b\n5" pipe,x\n6" pipe,y\n7,z\n',
+    "after the end": 'a,b\n"ab"cd,x\n"a""b"" c"d"e,"y"\n',
+    "single": 'a,b\n5" one,x\n',
+    "both": 'a,b\n5",x\n"line\nbreak, 7""",6"\n8,"z"\n',
+    "carriage returns": 'a,b\r\n5",x\r\n"two\r\nlines",y\r\n"8"" ",z\r\n',
+    "blanks first": 'a,b\n "x",1\n  5" y," z "\n',
+}
+
+
+@pytest.mark.parametrize("name", STRAY)
+@pytest.mark.parametrize("block", [None, 64])
+def test_stray_quotes(spark, tmp_path, name, block):
+    path = write(tmp_path, "stray.csv", STRAY[name])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        found = csv.read_csv(spark, path, schema="a string, b string")
+        assert sorted(rows(found), key=repr) == pandas_rows(path, ["a", "b"])
+        assert found.count() == len(pandas_rows(path, ["a", "b"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+CELLS = ["", "a", '5"', 'a"b"c', '"x,y"', '"l1\nl2"', '"a""b"', '""""', '"ab"cd', '"ab"c"d"', '"q\n"z"', ' "b" ', '"', "t\tu"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_quotes(spark, tmp_path, monkeypatch, seed):
+    """Cells with quotes in every place, in blocks of 64 bytes and runs of few blocks, and in a zip."""
+    rng = random.Random(seed)
+    lines = [",".join(["k", *(rng.choice(CELLS[:-2] + CELLS[-1:]) for _ in range(3))]) for _ in range(120)]
+    path = write(tmp_path, "random.csv", "\n".join(["k,a,b,c", *lines]) + "\n")
+    schema, expected = "k string, a string, b string, c string", pandas_rows(path, ["k", "a", "b", "c"])
+    monkeypatch.setattr(rejoin, "RUN_BYTES", 300)
+    monkeypatch.setattr(rejoin, "FEW_BLOCKS", 0 if seed % 2 else 100_000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        found = csv.read_csv(spark, path, schema=schema)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(rows(found), key=repr) == expected
+    with zipfile.ZipFile(os.path.join(tmp_path, "random.zip"), "w") as archive:
+        archive.write(path, "random.csv")
+    zipped = zips.read_zip(spark, os.path.join(tmp_path, "random.zip"), schema={"random.csv": schema})["random.csv"]
+    assert sorted(rows(zipped), key=repr) == expected
+
+
+@pytest.mark.parametrize("text", ["a,b\n1,x\n2,y\n", 'a,b\n1,"x\ny"\n2,z\n'])
+@pytest.mark.parametrize("schema", [None, "a int, b string"])
+def test_counts_and_pages(spark, tmp_path, text, schema):
+    found = csv.read_csv(spark, write(tmp_path, "c.csv", text), schema=schema)
+    assert found.count() == 2 and stats.row_count(found).first()["n"] == 2
+    assert found.select("b").count() == 2 and found.where("a = 1").count() == 1
+    envelope = table_rows.page_envelope(found, {"draw": 1, "start": 0, "length": 10})
+    assert envelope["recordsTotal"] == 2 and len(envelope["data"]) == 2
+
+
+@pytest.mark.parametrize("head", ["a,a,b", "a,a.1,a", ",b,", 'x,x,x,"x"'])
+def test_header_names(spark, tmp_path, head):
+    path = write(tmp_path, "h.csv", head + "\n" + ",".join("1" for _ in head.split(",")) + "\n")
+    assert csv.read_csv(spark, path).columns == list(pandas.read_csv(path).columns)
+
+
+def test_surplus_beside_stray_quotes(spark, tmp_path):
+    with pytest.raises(Exception, match="more cells than columns"):
+        csv.read_csv(spark, write(tmp_path, "s.csv", 'a,b\n5",6",x\n')).count()
+
+
+def test_zip_members_are_tasks(spark, tmp_path):
+    path = os.path.join(tmp_path, "many.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for i in range(20):
+            archive.writestr(f"d/m{i}.csv", "a,b\n" + f"{i},x\n" * 10)
+        archive.mkdir("empty")
+    records = zips.member_records(",", '"', "utf-8-sig")
+    spark.dataSource.register(zips.member_source(zips.archive_paths(spark, path), records))
+    found = spark.read.format("zip_members").load()
+    per_task = found.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("member").alias("n")).collect()
+    assert len(per_task) == 20 and all(r.n == 1 for r in per_task)
+    tables_found = zips.read_zip(spark, path)
+    assert len(tables_found) == 20 and all(t.count() == 10 for t in tables_found.values())
+    with pytest.raises(FileNotFoundError):
+        zips.read_zip(spark, str(tmp_path / "none.zip"))

@@ -101,3 +101,49 @@ def test_stream_of_row_level_and_fitted_steps(spark):
     ]
     frame.where("i = 9").write.mode("append").parquet(source)
     assert len(run()) == 6
+
+
+# ---- collection of stored tables
+
+
+def test_collection_keeps_what_versions_need(spark, tmp_path):
+    folder = str(tmp_path / "saved")
+    a, b = spark.range(10).toDF("x"), spark.range(5).toDF("y")
+    session = versions.Session({"a": a, "b": b}, "INIT")
+    session.save(folder)
+    session.step(lambda df: df.where("x > 3"), describe="DELETE", table="a").save(folder)
+    session.step(lambda df: df.where("y > 3"), describe="DELETE", table="b").save(folder)
+    before = versions.stored_tables(spark, folder)
+    assert len(before) == 4 and versions.collect_snapshots(spark, folder, 0) == []
+    session.undo()
+    assert versions.collect_snapshots(spark, folder, 3600) == []  # let go just now
+    session.drop(1)
+    gone = versions.collect_snapshots(spark, folder, 0)
+    left = versions.stored_tables(spark, folder)
+    assert len(gone) == 2 and set(left) == set(before) - set(gone)
+    again = versions.Session.load(spark, folder)
+    assert (again.table("a").count(), again.table("b").count(), again.version) == (6, 5, 2)
+    assert versions.collect_snapshots(spark, folder, 0) == []
+
+
+def test_collection_beside_a_save(spark, tmp_path):
+    """Tables without a log row yet are as young as the save that writes them."""
+    folder = str(tmp_path / "saved")
+    session = versions.Session({"a": spark.range(3).toDF("x")}, "INIT")
+    session.save(folder)
+    spark.range(4).write.parquet(f"{folder}/tables/unfinished/0")
+    assert versions.collect_snapshots(spark, folder, 600) == []
+    assert [p.split("/")[-2] for p in versions.collect_snapshots(spark, folder, 0)] == ["unfinished"]
+
+
+def test_save_after_collection_of_its_table_is_an_error(spark, tmp_path):
+    folder = str(tmp_path / "saved")
+    session = versions.Session({"a": spark.range(3).toDF("x"), "b": spark.range(3).toDF("y")}, "INIT")
+    session.save(folder)
+    session.step(lambda df: df.where("x > 1"), describe="DELETE", table="a").save(folder)
+    session.step(lambda df: df.where("y > 1"), describe="DELETE", table="b")
+    other = versions.Session.load(spark, folder)
+    other.drop(2)
+    assert len(versions.collect_snapshots(spark, folder, 0)) == 1
+    with pytest.raises(FileNotFoundError, match="collected"):
+        session.save(folder)
