@@ -6,7 +6,7 @@ extraction; the tests hold those against plain Python.
 
 from __future__ import annotations
 
-from rinseframe.llm.quality import MEASURES, NARROWEST, TWO_SIDED, Rules
+from rinseframe.llm.quality import COUNT_OF, MEASURES, TWO_SIDED, Rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
@@ -91,19 +91,21 @@ def quality_sql(rules: Rules) -> str:
     stacked = " union all ".join(f"select lang, source, '{m}' as measure, {e} as v from base where not base_failed" for m, e in values.items())
 
     def fence(by: str, name: str) -> str:
-        most = [f"max(high + {rules.reach} * greatest(high - low, {NARROWEST[m]})) filter (measure = '{m}') as {m}_most" for m in MEASURES]
-        least = [f"max(low - {rules.reach} * greatest(high - low, {NARROWEST[m]})) filter (measure = '{m}') as {m}_least" for m in TWO_SIDED]
+        most = [f"max(high + {rules.reach} * greatest(high - middle, 1)) filter (measure = '{m}') as {m}_most" for m in MEASURES]
+        least = [f"max(low - {rules.reach} * greatest(middle - low, 1)) filter (measure = '{m}') as {m}_least" for m in TWO_SIDED]
+        tails = ", ".join(f"min(bucket) filter (10 * upto >= {tenths} * total) as {t}" for t, tenths in (("low", 1), ("middle", 5), ("high", 9)))
         return f"""{name}_run as (select {by}, measure, bucket, sum(n) over (partition by {by}, measure order by bucket) as upto,
           sum(n) over (partition by {by}, measure) as total from (select {by}, measure, bucket, sum(n) as n from sketch group by {by}, measure, bucket)),
-{name}_quart as (select {by}, measure, max(total) as total, min(bucket) filter (4 * upto >= total) as low,
-          min(bucket) filter (4 * upto >= 3 * total) as high from {name}_run group by {by}, measure),
-{name} as (select {by}, max(total) as documents, {", ".join(most + least)} from {name}_quart group by {by})"""
+{name}_tails as (select {by}, measure, max(total) as total, {tails} from {name}_run group by {by}, measure),
+{name} as (select {by}, max(total) as documents, {", ".join(most + least)} from {name}_tails group by {by})"""
 
     names = [f"{m}_most" for m in MEASURES] + [f"{m}_least" for m in TWO_SIDED]
     chosen = ", ".join(
         f"case when g.documents >= {rules.least} then g.{c} when l.documents >= {rules.least} then l.{c} else e.{c} end as {c}" for c in names
     )
-    inside = " and ".join([f"{e} <= {m}_most" for m, e in values.items()] + [f"{values[m]} >= {m}_least" for m in TWO_SIDED])
+    few = {m: f" or {COUNT_OF[m]} <= {rules.few[m]}" if m in COUNT_OF else "" for m in MEASURES}
+    in_bucket = {m: f"(({e}) >> greatest(length(bin({e})) - 7, 0)) << greatest(length(bin({e})) - 7, 0)" for m, e in values.items()}
+    inside = " and ".join([f"(({e}) <= {m}_most{few[m]})" for m, e in in_bucket.items()] + [f"({in_bucket[m]}) >= {m}_least" for m in TWO_SIDED])
     return f"""with {WORDS},
 g3 as (select doc_id, i, word, lead(word, 1) over x as w2, lead(word, 2) over x as w3 from t window x as (partition by doc_id order by i)),
 often as (select doc_id, i, count(*) over (partition by doc_id, word, w2, w3) as c from g3 where w3 is not null),
@@ -111,14 +113,14 @@ repeated as (select doc_id, count(*) as n from (select distinct doc_id, i + o as
 lines as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) as l from d),
 counts as (select d.doc_id, lang, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
   (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
-  coalesce(repeated.n, 0)::bigint as n_repeat_words
+  coalesce(repeated.n, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines
   from d join lines using (doc_id) left join repeated using (doc_id)),
 base as (select *, n_words < {rules.least_words} or 100 * n_repeat_words > {rules.most_repeats_percent} * n_words as base_failed from counts),
 sketch as (select lang, source, 0 as every, measure, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) as bucket, count(*) as n
   from ({stacked}) group by all),
 {fence("lang, source", "per_group")}, {fence("lang", "per_lang")}, {fence("every", "per_all")},
 limits as (select g.lang, g.source, {chosen} from per_group g join per_lang l on g.lang is not distinct from l.lang cross join per_all e)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
   not base_failed and coalesce({inside}, false) as kept
 from base left join limits on base.lang is not distinct from limits.lang and base.source is not distinct from limits.source"""
 

@@ -4,10 +4,13 @@ Each document gets a few counts. For every language and source the distribution
 measure is kept as a quantile sketch: counts in buckets whose width is within 1/64 of their
 value. Sketches of parts merge by adding counts, so one pass with partial aggregation makes
 all of them, and adding up the sources gives a language's sketch, adding up the languages
-that of the corpus. Limits are fences: the upper quartile plus ``reach`` times the spread
-between the quartiles (and below the lower quartile), so a group's usual documents stay, and
-whatever lies far outside its own group goes. Groups of fewer than ``least`` documents take
-the limits of their language, or else of the corpus.
+that of the corpus. Limits come from the tails of a group's own sketch: its 90th
+percentile plus ``reach`` times the distance from the median to it (below, the 10th percentile
+less ``reach`` times the distance down to it), so a group's usual documents stay, and
+whatever lies far outside its own group goes. A distance counts as one thousandth at least, which
+decides only where it is zero. A few symbols, repeated lines or repeated words (``few``) tell
+nothing about a document, as a short one exceeds any rate with them. Groups of fewer than
+``least`` documents take the limits of their language, or else of the corpus.
 
 Fixed base rules reject first, and only documents that pass them make up the sketches.
 
@@ -27,32 +30,44 @@ from rinseframe.llm.frames import Scratch, all_equal, without
 
 WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 SYMBOLS = "#*$%&|<>"
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: measures in thousandths, and the least spread that counts as one: half a character per
-#: word, a symbol or a repeated line in twenty words, a repeated word in ten
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+#: measures in thousandths, and the count each of them rates
 MEASURES = {
     "m_length": "1000L * word_chars div greatest(n_words, 1)",
     "m_symbols": "1000L * n_symbols div greatest(n_words, 1)",
-    "m_dup_lines": "1000L * n_dup_lines div greatest(n_words, 1)",
+    "m_dup_lines": "1000L * n_dup_lines div greatest(n_lines, 1)",
     "m_repeats": "1000L * n_repeat_words div greatest(n_words, 1)",
 }
-NARROWEST = {"m_length": 500, "m_symbols": 50, "m_dup_lines": 50, "m_repeats": 100}
+COUNT_OF = {"m_symbols": "n_symbols", "m_dup_lines": "n_dup_lines", "m_repeats": "n_repeat_words"}
 #: measures with a lower limit as well
 TWO_SIDED = ("m_length",)
 
 
 @dataclass(frozen=True)
 class Rules:
-    """``reach`` spreads beyond the quartiles; groups of fewer than ``least`` documents have no limits of their own."""
+    """``reach`` tail distances beyond the tails; groups of fewer than ``least`` documents have no limits of their own.
+
+    Up to ``few_symbols`` symbols, ``few_lines`` repeated lines and ``few_repeats`` repeated words pass in any document.
+    """
 
     least_words: int = 50
     most_repeats_percent: int = 50
     reach: int = 4
     least: int = 100
+    few_symbols: int = 5
+    few_lines: int = 3
+    few_repeats: int = 30
+
+    @property
+    def few(self) -> dict[str, int]:
+        return {"m_symbols": self.few_symbols, "m_dup_lines": self.few_lines, "m_repeats": self.few_repeats}
 
 
 def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the counts of each text. A repeated word stands in a 3-word window that the text has twice."""
+    """Add the counts of each text; lines without a word do not count.
+
+    A repeated word stands in a 3-word window that the text has twice.
+    """
     df = without(df, *COUNTS)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t\\n\\x0B\\f\\r]"))
@@ -80,6 +95,7 @@ def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
         (F.length("q_text") - F.length(F.translate("q_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap).cast("long").alias("n_repeat_words"),
+        F.size("q_lines").cast("long").alias("n_lines"),
     )
 
 
@@ -117,19 +133,22 @@ def fences(sketch: DataFrame, by: list[str], rules: Rules) -> DataFrame:
         F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
         F.sum("n").over(group).alias("total"),
     )
-    quartiles = running.groupBy(*by, "measure").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("low"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("high"),
+
+    def at(tenths: int) -> Column:
+        return F.min(F.when(10 * F.col("upto") >= tenths * F.col("total"), F.col("bucket")))
+
+    tails = running.groupBy(*by, "measure").agg(
+        F.max("total").alias("total"), at(1).alias("low"), at(5).alias("middle"), at(9).alias("high")
     )
     limits = []
     for m in MEASURES:
-        spread = rules.reach * F.greatest(F.col("high") - F.col("low"), F.lit(NARROWEST[m]))
         here = F.col("measure") == m
-        limits.append(F.max(F.when(here, F.col("high") + spread)).alias(f"{m}_most"))
+        above = F.col("high") + rules.reach * F.greatest(F.col("high") - F.col("middle"), F.lit(1))
+        limits.append(F.max(F.when(here, above)).alias(f"{m}_most"))
         if m in TWO_SIDED:
-            limits.append(F.max(F.when(here, F.col("low") - spread)).alias(f"{m}_least"))
-    return quartiles.groupBy(*by).agg(F.max("total").alias("documents"), *limits)
+            below = F.col("low") - rules.reach * F.greatest(F.col("middle") - F.col("low"), F.lit(1))
+            limits.append(F.max(F.when(here, below)).alias(f"{m}_least"))
+    return tails.groupBy(*by).agg(F.max("total").alias("documents"), *limits)
 
 
 def limits_of(measured: DataFrame, lang_col: str, source_col: str, rules: Rules) -> DataFrame:
@@ -160,9 +179,11 @@ def judged(df: DataFrame, lang_col: str = "lang", source_col: str = "source", ru
     limits = Scratch(df.sparkSession).stored(limits_of(df, lang_col, source_col, rules), "limits")
     inside = F.lit(True)
     for m, expression in MEASURES.items():
-        inside = inside & (F.expr(expression) <= F.col(f"{m}_most"))
+        value = bucket(F.expr(expression))  # the limits are made of buckets, too
+        usual = value <= F.col(f"{m}_most")
+        inside = inside & (usual | (F.col(COUNT_OF[m]) <= rules.few[m]) if m in COUNT_OF else usual)
         if m in TWO_SIDED:
-            inside = inside & (F.expr(expression) >= F.col(f"{m}_least"))
+            inside = inside & (value >= F.col(f"{m}_least"))
     same = all_equal([F.col(f"`{lang_col}`"), F.col(f"`{source_col}`")], [F.col("limit_lang"), F.col("limit_source")])
     failed = base_failed(rules)
     return df.join(limits, same, "left").select(

@@ -1,10 +1,12 @@
 """Extraction, SentencePiece, quality counts, URL rules and preference rows against plain Python."""
 
 import hashlib
+import html
 import random
 import re
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -132,12 +134,51 @@ def test_extraction_of_all_pages(spark):
     assert len(rows) == len(pages)
     for r in rows:
         body = re.search(r"<article>(.*?)</article>", pages[r.page_id].html, re.S)[1]
-        blocks = [" ".join(re.sub(r"<[^>]*>", "", b).split()) for b in re.split(r"<p>|</p>|<h1>|</h1>|<br>", body)]
-        expected = "\n\n".join(b for b in blocks if b)
-        for entity, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-            expected = expected.replace(entity, char)
+        blocks = re.split(r"<p>|</p>|<h1>|</h1>|<br>", body)
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
         assert (r.url, r.n_chars) == (pages[r.page_id].url, len(r.text))
-        assert r.text == re.sub(r"&amp(?!;)", "&", expected) or "&" in expected
+        assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+def without_marks(source):
+    """A page whose elements tell nothing: no names or roles, and neutral elements."""
+    bare = re.sub(r"\s(class|id|role|itemprop)=(\"[^\"]*\"|'[^']*'|\S+)", "", source)
+    return re.sub(r"<(/?)(?:article|main|nav|footer|header|aside|form|section)\b", r"<\1div", bare)
+
+
+def test_windows_find_the_article_without_marks():
+    """By the weights of lines alone the article is whole on every page, and the menu goes on nearly all.
+
+    A menu entry stays where the article's own lines are as short.
+    """
+    changed = without_menu = 0
+    for row in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        bare = without_marks(row["html"])
+        found = extraction.main_text(bare).split("\n\n")
+        expected = extraction.main_text(row["html"]).split("\n\n")
+        at = found.index(expected[0])
+        assert found[at : at + len(expected)] == expected or set(expected) <= set(found)
+        menu = re.findall(r"<li><a [^>]*>([^<]*)", row["html"])
+        without_menu += not set(menu) & (set(found) - set(expected))
+        changed += len(found) < len([line for line in extraction.Lines(bare).found])
+    assert changed == 250 and without_menu >= 240
+
+
+def plain_regions(weights):
+    """Line ranges by definition: from a line of weight on, up to the first window without any."""
+    kept = []
+    for i in range(len(weights)):
+        inside = any(
+            weights[s] and all(any(weights[j : j + extraction.WINDOW]) for j in range(s, i + 1)) for s in range(i + 1)
+        )
+        kept.append(inside)
+    return [i for i, k in enumerate(kept) if k]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 40, 200]), max_size=25))
+def test_regions_by_definition(weights):
+    assert [i for a, b in extraction.regions(weights) for i in range(a, b)] == plain_regions(weights)
 
 
 def test_extraction_keeps_columns(spark):
@@ -172,6 +213,8 @@ def test_windows_decide_on_marked_pages():
         (f"<p>{LONG}</p><div class=ad>a<p>b<p>c</div><p>A short ending.", [LONG, "A short ending."]),
         (f"<p>{LONG}</p><p><a href=x>The whole paragraph is one link</a></p><p>{LONG}</p>", [LONG, "The whole paragraph is one link", LONG]),
         (f"<p>{LONG}</p><p><a href=x>The last is one link</a></p>", [LONG, "The last is one link"]),
+        (f"<p>{LONG}a</p><ul>{''.join(f'<li><a href=/{i}>Part {i}</a>' for i in range(4))}</ul><p>{LONG}b</p>",
+         [LONG + "a", "Part 0", "Part 1", "Part 2", "Part 3", LONG + "b"]),
         (f"<h1>Heading</h1><p>{LONG}</p><div class=content><p>{LONG}x</p></div>", ["Heading", LONG, LONG + "x"]),
         (f"<div id=body><p>{LONG}a</div><p>{LONG}b", [LONG + "a", LONG + "b"]),
         (f"<article><p>A card</article><div><p>{LONG}a<p>{LONG}b</div>", ["A card", LONG + "a", LONG + "b"]),
@@ -201,13 +244,13 @@ def counts_of(text):
     covered = {i + d for i, w in enumerate(windows) if windows.count(w) > 1 for d in range(3)}
     lines = [line for line in text.split("\n") if line.encode().split()]
     symbols = sum(c in "#*$%&|<>" for c in text)
-    return len(words), sum(len(w.decode()) for w in words), symbols, len(lines) - len(set(lines)), len(covered)
+    return len(words), sum(len(w.decode()) for w in words), symbols, len(lines) - len(set(lines)), len(covered), len(lines)
 
 
 def check_counts(frame, texts):
     for r in frame.collect():
         expected = counts_of(texts[r.doc_id])
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == expected, r.doc_id
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_lines) == expected, r.doc_id
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert not (r.base_failed and r.kept)
 
@@ -231,6 +274,31 @@ def test_counts_and_verdicts_of_odd_texts(spark, tmp_path):
     assert kept == set(range(len(texts), len(texts) + len(usual)))
 
 
+def test_limits_follow_the_group(spark):
+    """The same rate of symbols is usual in one source and goes in another; a few symbols go nowhere."""
+    rng = random.Random(3)
+
+    def text(symbols, words=100):
+        found = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        return " ".join(w + "#" * (i < symbols) for i, w in enumerate(found))
+
+    rows = [(i, text(rng.randrange(10, 30)), "en", "code") for i in range(200)]
+    rows += [(1000 + i, text(rng.randrange(0, 2)), "en", "news") for i in range(200)]
+    rows += [(2000, text(45), "en", "code"), (2001, text(45), "en", "news"), (2002, text(4, 50), "en", "news")]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], documents_schema())
+    measured = quality.counted(frame)
+    kept = {r.doc_id for r in quality.judged(measured).where("kept").collect()}
+    assert kept == {r[0] for r in rows} - {2001}
+    limits = {r.limit_source: r.m_symbols_most for r in quality.limits_of(measured, "lang", "source", quality.Rules()).collect()}
+    exact = sorted(1000 * r.n_symbols // r.n_words for r in measured.where("source = 'code'").collect())
+    high, middle = exact[int(len(exact) * 0.9)], exact[len(exact) // 2]
+    assert abs(limits["code"] - (high + 4 * (high - middle))) <= (high + 8 * middle) / 32 + 10
+
+
+def documents_schema():
+    return "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_quality_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(text, None, None, 1), (text, None, None, 1), (None, "en", None, 2), (text, "en", "s", None)]
