@@ -9,7 +9,8 @@ nothing is a surge point, where it falls back to nothing a dive point, and the l
 between them are a region. A line weighs its text outside links. Links count as text inside
 marks (``article``, ``main``, containers named for content), in lines as long as the page's
 typical line, and, where marks do not hold most of the text, in fewer neighbouring lines
-than a window, since these are no menu.
+than a window, since these are no menu, and in lists between two paragraphs that each
+hold more text, since these belong to the article.
 
 Every region is kept but stubs: those that peak nearer to one character than to the page's
 typical line, on a logarithmic scale. Marks never drop what lies outside them.
@@ -270,13 +271,26 @@ def weighed(lines: list[tuple]) -> tuple[list[int], int]:
         end = start
         while end < len(lines) and not weights[end]:
             end += 1
+        inside = loose and (end - start < WINDOW or between_paragraphs(lines, weights, typical, start, end))
         for i in range(start, end):
-            if len(lines[i][0]) >= typical or (loose and end - start < WINDOW):
+            if len(lines[i][0]) >= typical or inside:
                 weights[i] = len(lines[i][0])
         start = end + 1
     return weights, typical
 
 
+def between_paragraphs(lines: list[tuple], weights: list[int], typical: int, start: int, end: int) -> bool:
+    """Whether the lines without weight stand between two typical lines at least, in texts that each outweigh them."""
+    if not 0 < start < end < len(lines) or min(weights[start - 1], weights[end]) < typical:
+        return False
+    before, after = start, end
+    while before and weights[before - 1]:
+        before -= 1
+    while after < len(lines) and weights[after]:
+        after += 1
+    return sum(len(line[0]) for line in lines[start:end]) <= min(sum(weights[before:start]), sum(weights[end:after]))
+
+
 def main_text(page: str | None) -> str:
     read = Lines(page or "")
     gone = beside_by_name(read)
