@@ -2,7 +2,8 @@
 
 ``stored`` writes a table below ``spark.checkpoint.dir`` and frees the shuffle files
 behind it, so a chain of stages holds one stage's shuffle on disk at a time.
-``Scratch`` removes the stored tables that the result no longer needs.
+``Scratch`` removes the stored tables that the result no longer needs; ``remembered`` tells which
+calls left tables for a result, so that they can be removed when it has been written.
 """
 
 from __future__ import annotations
@@ -37,12 +38,28 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+REMEMBERING: list[list[Scratch]] = []
+
+
+@contextmanager
+def remembered(scratches: list[Scratch]) -> Iterator[None]:
+    """Add every operator call made within to the list."""
+    REMEMBERING.append(scratches)
+    try:
+        yield
+    finally:
+        REMEMBERING.remove(scratches)
+
+
 class Scratch:
     """Stored tables of one operator call. ``drop`` removes one as soon as nothing reads it any more."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
+        self.names: dict[int, str] = {}
+        for opened in REMEMBERING:
+            opened.append(self)
 
     def stored(self, df: DataFrame, label: str = "llm") -> DataFrame:
         path = new_path(self.spark, label)
@@ -53,6 +70,18 @@ class Scratch:
         table._scratch = self  # keeps the id from being reused while the table is in use
         return table
 
+    def bucketed(self, df: DataFrame, by: str, buckets: int, label: str) -> DataFrame:
+        """Store a table whose rows of a ``by`` value lie together, so that grouping by it needs no shuffle."""
+        path = new_path(self.spark, label)
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        with settings(self.spark, WHILE_STORING):
+            dealt = df.repartition(buckets, by)
+            dealt.write.bucketBy(buckets, by).sortBy(by).format("parquet").option("path", path).saveAsTable(name)
+        table = self.spark.table(name)
+        self.paths[id(table)], self.names[id(table)] = path, name
+        table._scratch = self
+        return table
+
     def renamed(self, table: DataFrame, view: DataFrame) -> DataFrame:
         """Let a view of a stored table stand for it."""
         self.paths[id(view)] = self.paths.pop(id(table))
@@ -60,8 +89,17 @@ class Scratch:
         return view
 
     def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            path = self.paths.pop(id(table), None)
+        self.remove([id(table) for table in tables])
+
+    def release(self) -> None:
+        """Remove all tables that are left; nothing may read them any more."""
+        self.remove(list(self.paths))
+
+    def remove(self, keys: list[int]) -> None:
+        for key in keys:
+            path, name = self.paths.pop(key, None), self.names.pop(key, None)
+            if name:
+                self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
             if path:
                 there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)

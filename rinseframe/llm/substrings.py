@@ -5,12 +5,16 @@ fingerprinted at places that are 1, 2 or 4 modulo 7 only: for any two places som
 below 7 takes both to such a place, so two equal passages of ``length`` words, wherever
 they stand, share an aligned anchor. Anchors that two documents share are then extended:
 only passages of full length around them are fingerprinted, in 128 bits, and the smallest
-document of each is found. Three passes over the texts; between them only sorted arrays of
+document of each is found. Between the passes over the texts only sorted arrays of
 fingerprints travel, one blob for each (group of documents, range of fingerprints).
 
-Groups and ranges are hash buckets whose number follows the bytes of the table. Within a
-group every fingerprint is sent once, however often it occurs, so a passage in a third of
-all documents adds at most one entry per group to its range.
+The rows are stored once, numbered and dealt to groups of neighbours by their bytes, so a
+group is bounded however many rows are equal; a text above the bound is a group of its own.
+The table is bucketed by group: texts are shuffled once, when it is written, and each pass
+then meets its answers where the texts lie. Ranges are
+hash buckets whose number follows the bytes of the table. Within a group every fingerprint
+is sent once, however often it occurs, so a passage in a third of all documents adds at
+most one entry per group to its range.
 
 Defined results: a null text has no words; documents with null ids come after all others
 and do not repeat each other; rows with equal ids do not repeat each other; texts shorter
@@ -21,20 +25,24 @@ named like an added column are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinseframe.llm.fingerprints import U64, batch_words, windows
 from rinseframe.llm.frames import Scratch, fresh, without
+from rinseframe.plans.lineage import shuffle_partitions
 
 #: a perfect difference cover: every residue modulo 7 is a difference of two of these
 PERIOD, COVER = 7, (1, 2, 4)
 #: text bytes of one group of documents, and of one range of anchors
-GROUP_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
+GROUP_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
+#: text bytes of one bucket of groups, and buckets at most
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 50_000
 LAST_ID = np.iinfo(np.int64).max
 SECOND = 0xA24BAED4963EE407
 
@@ -111,13 +119,27 @@ def table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def grouped(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int, str]:
-    """The rows with a group number spread by id and text, and how many groups and ranges there are."""
-    size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    groups, ranges = -(-size // GROUP_BYTES) or 1, -(-size // RANGE_BYTES) or 1
-    group = fresh(df, "document_group")
-    spread = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(groups)).cast("long")
-    return df.withColumn(group, spread), groups, ranges, group
+def sizes_of(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def dealt(df: DataFrame, text_col: str, row: str, group: str, group_bytes: int) -> DataFrame:
+    """The rows with a number of their own and a group of neighbours with about ``group_bytes`` of text."""
+    at = df.columns.index(text_col)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = groups = TaskContext.get().partitionId() << 33
+        held = 0
+        for batch in batches:
+            before = held + np.cumsum(sizes_of(batch.column(at)))
+            number = groups + before // group_bytes
+            held, groups = (int(before[-1] % group_bytes), int(number[-1])) if batch.num_rows else (held, groups)
+            added = [pa.array(np.arange(rows, rows + batch.num_rows)), pa.array(number)]
+            rows += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, row, group])
+
+    return df.mapInArrow(deal, f"{kinds}, `{row}` long, `{group}` long")
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
@@ -129,21 +151,35 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if length <= PERIOD:
         raise ValueError(f"windows need more than {PERIOD} words")
     df = without(df, "n_words", "n_removed")
-    with_group, groups, ranges, group = grouped(df, id_col, text_col)
-    slim = with_group.select(group, F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    scratch = Scratch(df.sparkSession)
-    shared = scratch.stored(shared_anchors(slim, group, length, ranges), "anchors")
-    first = scratch.stored(first_documents(slim, shared, group, length, groups), "passages")
+    scratch, row, group = Scratch(df.sparkSession), fresh(df, "row"), fresh(df, "document_group")
+    size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    ranges, buckets = -(-size // RANGE_BYTES) or 1, min(-(-size // BUCKET_BYTES) or 1, MOST_BUCKETS)
+    buckets = max(buckets, min(shuffle_partitions(df.sparkSession), -(-size // GROUP_BYTES) or 1))
+    rows = scratch.bucketed(dealt(df, text_col, row, group, GROUP_BYTES), group, buckets, "rows")
+    slim = rows.select(
+        F.col(group).alias("group"), F.col(row).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"),
+        F.col(f"`{text_col}`").alias("text"),
+    )
+    shared = scratch.stored(shared_anchors(slim, length, ranges), "anchors")
+    spans = scratch.stored(repeated_spans(passages(slim, shared, length, ranges), length), "spans")
     scratch.drop(shared)
-    return removed(with_group, first, group, id_col, text_col, length)
+    return removed(rows, spans, row, group, text_col)
 
 
-def shared_anchors(slim: DataFrame, group: str, length: int, ranges: int) -> DataFrame:
-    """Anchors found in two documents at least, as blobs for each group that has them."""
+def shared_anchors(slim: DataFrame, length: int, ranges: int) -> DataFrame:
+    """(receiver, prints): anchors found in two documents at least, as blobs for each group that has them."""
     sent = pa.schema([("part", pa.int64()), ("sender", pa.int64()), ("prints", pa.binary()), ("often", pa.binary())])
 
-    def send(key: tuple, docs: pa.Table) -> pa.Table:
-        texts = Group(docs.column("text").combine_chunks(), length)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = np.asarray(batch.column(0))
+            begins = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else []
+            for first, end in zip(begins, [*begins[1:], len(group)]):
+                found = anchors_of(batch.column(1).slice(first, end - first), int(group[first]))
+                yield from table(sent, found).to_batches()
+
+    def anchors_of(column: pa.Array, sender: int) -> list[tuple]:
+        texts = Group(column, length)
         places, prints = texts.anchors()
         order = np.lexsort((texts.document[places], prints))
         prints, document = prints[order], texts.document[places][order]
@@ -155,7 +191,7 @@ def shared_anchors(slim: DataFrame, group: str, length: int, ranges: int) -> Dat
             often = (np.maximum.reduceat(document, begin) > document[begin]).astype(np.uint8)
         prints = prints[begin]
         cuts = np.searchsorted(range_of(prints, ranges), np.arange(ranges + 1))
-        return table(sent, [(r, key[0].as_py(), *b) for r, b in blobs([prints, often], cuts)])
+        return [(r, sender, *b) for r, b in blobs([prints, often], cuts)]
 
     back = pa.schema([("receiver", pa.int64()), ("prints", pa.binary())])
 
@@ -172,55 +208,120 @@ def shared_anchors(slim: DataFrame, group: str, length: int, ranges: int) -> Dat
                 rows.append((sender, prints[here][kept[here]].tobytes()))
         return table(back, rows)
 
-    meeting = slim.groupBy(group).applyInArrow(send, "part long, sender long, prints binary, often binary")
+    meeting = slim.select("group", "text").mapInArrow(send, "part long, sender long, prints binary, often binary")
     return meeting.groupBy("part").applyInArrow(meet, "receiver long, prints binary")
 
 
-def first_documents(slim: DataFrame, shared: DataFrame, group: str, length: int, ranges: int) -> DataFrame:
-    """For each group, its passages that start in a smaller document somewhere, with that document's id."""
-    names = ["part", "sender", "upper", "lower", "first", "often"]
-    sent = pa.schema([(n, pa.int64() if n in names[:2] else pa.binary()) for n in names])
+PASSAGES = "part long, sender long, base long, upper binary, lower binary, first binary, often binary"
+
+
+def passages(slim: DataFrame, shared: DataFrame, length: int, ranges: int) -> DataFrame:
+    """For each group its distinct passages that hold a shared anchor, cut by range, and a row with where they are.
+
+    Passages are 128-bit fingerprints with the group's smallest document id; ``base`` counts those before.
+    The row of places has a negative part of its own: ids and numbers of the ``base`` documents, the
+    passage at each place, and the places as runs (document, first word, length).
+    """
+    names = [part.split()[0] for part in PASSAGES.split(", ")]
+    sent = pa.schema([(n, pa.int64() if n in names[:3] else pa.binary()) for n in names])
 
     def send(key: tuple, docs: pa.Table, anchors: pa.Table) -> pa.Table:
         if not anchors.num_rows or not docs.num_rows:
             return table(sent, [])
-        texts = Group(docs.column("text").combine_chunks(), length)
+        texts, sender = Group(docs.column("text").combine_chunks(), length), key[0].as_py()
         chosen = texts.extended(np.sort(joined(anchors.column("prints"), U64)))
         ids = np.asarray(docs.column("id").combine_chunks().fill_null(LAST_ID))
         upper, lower = texts.passages(chosen)
-        begin, (upper, lower, ids) = ordered_runs(upper, lower, ids[texts.document[chosen]])
-        often = np.zeros(len(begin), dtype=np.uint8)
-        if len(begin):
-            often = (np.maximum.reduceat(ids, begin) > ids[begin]).astype(np.uint8)
+        begin, (upper, lower, own, index) = ordered_runs(upper, lower, ids[texts.document[chosen]], np.arange(len(chosen)))
+        if not len(begin):
+            return table(sent, [])
+        often = (np.maximum.reduceat(own, begin) > own[begin]).astype(np.uint8)
+        entry = np.empty(len(chosen), dtype="<u4")
+        entry[index] = np.repeat(np.arange(len(begin), dtype="<u4"), np.diff(np.append(begin, len(chosen))))
+        numbers = np.asarray(docs.column("row").combine_chunks())
+        places = (-1 - sender, sender, len(numbers), ids.tobytes() + numbers.tobytes(), entry.tobytes(), runs_of(texts, chosen), b"")
         upper = upper[begin]
         cuts = np.searchsorted(range_of(upper, ranges), np.arange(ranges + 1))
-        found = blobs([upper, lower[begin], ids[begin], often], cuts)
-        return table(sent, [(r, key[0].as_py(), *b) for r, b in found])
+        found = blobs([upper, lower[begin], own[begin], often], cuts)
+        return table(sent, [(r, sender, int(cuts[r]), *b) for r, b in found] + [places])
+
+    return slim.groupBy("group").cogroup(shared.groupBy("receiver")).applyInArrow(send, PASSAGES)
 
-    back = pa.schema([("receiver", pa.int64()), *[(n, pa.binary()) for n in names[2:5]]])
+
+def runs_of(texts: Group, chosen: np.ndarray) -> bytes:
+    """Neighbouring places as (document, first word, length)."""
+    apart = np.ones(len(chosen), dtype=bool)
+    apart[1:] = (chosen[1:] != chosen[:-1] + 1) | (texts.document[chosen[1:]] != texts.document[chosen[:-1]])
+    begin = np.flatnonzero(apart)
+    first = chosen[begin]
+    lengths = np.diff(np.append(begin, len(chosen)))
+    return np.stack([texts.document[first], texts.place[first], lengths]).astype("<u4").tobytes()
+
+
+def repeated_spans(found: DataFrame, length: int) -> DataFrame:
+    """(receiver, number, spans): first and end word of the parts of each row that repeat a smaller document, as a blob.
+
+    Places pass through with the answers, so the passages are computed once and stored nowhere.
+    """
+    back = pa.schema([("receiver", pa.int64()), ("base", pa.int64()), *[(n, pa.binary()) for n in ("entry", "first", "runs")]])
 
     def meet(key: tuple, parts: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            places = (parts.column(c).to_pylist() for c in ("sender", "base", "lower", "upper", "first"))
+            return table(back, list(zip(*places)))
         upper, lower = joined(parts.column("upper"), U64), joined(parts.column("lower"), U64)
         own, often = joined(parts.column("first"), np.int64), joined(parts.column("often"), np.uint8)
-        senders = parts.column("sender").to_pylist()
-        sizes = [len(b) for b in parts.column("often").to_pylist()]
-        entry = np.arange(len(upper))
-        begin, (_, _, first, entry) = ordered_runs(upper, lower, own, entry)
+        index = np.arange(len(upper))
+        begin, (_, _, first, index) = ordered_runs(upper, lower, own, index)
         smallest = np.empty(len(upper), dtype=np.int64)
         if len(begin):
-            smallest[entry] = np.repeat(first[begin], np.diff(np.append(begin, len(upper))))
+            smallest[index] = np.repeat(first[begin], np.diff(np.append(begin, len(upper))))
         kept = (smallest < own) | (often > 0)
         rows, at = [], 0
-        for sender, size in zip(senders, sizes):
+        for sender, base, size in zip(*(parts.column(c).to_pylist() for c in ("sender", "base")), map(len, parts.column("often").to_pylist())):
             here = slice(at, at + size)
             at = here.stop
             if kept[here].any():
-                rows.append((sender, *[a[here][kept[here]].tobytes() for a in (upper, lower, smallest)]))
+                entry = (base + np.flatnonzero(kept[here])).astype("<u4")
+                rows.append((sender, -1, entry.tobytes(), smallest[here][kept[here]].tobytes(), b""))
         return table(back, rows)
 
-    kinds = "part long, sender long, upper binary, lower binary, first binary, often binary"
-    meeting = slim.groupBy(group).cogroup(shared.groupBy("receiver")).applyInArrow(send, kinds)
-    return meeting.groupBy("part").applyInArrow(meet, "receiver long, upper binary, lower binary, first binary")
+    spans = pa.schema([("receiver", pa.int64()), ("number", pa.int64()), ("spans", pa.binary())])
+
+    def apply(key: tuple, rows: pa.Table) -> pa.Table:
+        base = np.asarray(rows.column("base").combine_chunks())
+        answers, own = rows.filter(pa.array(base < 0)), rows.filter(pa.array(base >= 0)).to_pylist()
+        if not answers.num_rows:
+            return table(spans, [])
+        answered, first = joined(answers.column("entry"), "<u4"), joined(answers.column("first"), np.int64)
+        smallest = np.full(int(answered.max()) + 1, LAST_ID)
+        smallest[answered] = first
+        result = []
+        for places in own:
+            ids, numbers = np.frombuffer(places["first"], dtype=np.int64).reshape(2, places["base"])
+            entry = np.frombuffer(places["entry"], dtype="<u4")
+            document, start, count = np.frombuffer(places["runs"], dtype="<u4").astype(np.int64).reshape(3, -1)
+            place = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count - start, count)
+            document = np.repeat(document, count)
+            known = np.flatnonzero(entry < len(smallest))
+            hit = known[smallest[entry[known]] < ids[document[known]]]
+            result += [(key[0].as_py(), *found) for found in spans_of(document[hit], place[hit], numbers)]
+        return table(spans, result)
+
+    def spans_of(document: np.ndarray, place: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        apart = np.ones(len(place), dtype=bool)
+        apart[1:] = (document[1:] != document[:-1]) | (place[1:] > place[:-1] + length)
+        begin = np.flatnonzero(apart)
+        end = np.append(begin[1:], len(place)) - 1
+        both = np.stack([place[begin], place[end] + length], axis=1).astype("<u4")
+        owner = document[begin]
+        change = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else []
+        for a, b in zip(change, [*change[1:], len(owner)]):
+            yield int(numbers[owner[a]]), both[a:b].tobytes()
+
+    kinds = "receiver long, base long, entry binary, first binary, runs binary"
+    met = found.groupBy("part").applyInArrow(meet, kinds)
+    return met.groupBy("receiver").applyInArrow(apply, "receiver long, number long, spans binary")
 
 
 def ordered_runs(upper: np.ndarray, lower: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -232,42 +333,28 @@ def ordered_runs(upper: np.ndarray, lower: np.ndarray, *more: np.ndarray) -> tup
     return np.flatnonzero(first), (upper, lower, *more)
 
 
-def removed(df: DataFrame, first: DataFrame, group: str, id_col: str, text_col: str, length: int) -> DataFrame:
-    """The rows with the repeated words taken out of their texts."""
-    columns = [c for c in df.columns if c != group]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != group)
-
-    def apply(key: tuple, docs: pa.Table, repeats: pa.Table) -> pa.Table:
-        texts = docs.column(text_col).combine_chunks()
-        flat = Group(texts, length)
-        gone = np.zeros(flat.total, dtype=bool)
-        if repeats.num_rows:
-            ids = np.asarray(docs.column(id_col).combine_chunks().cast(pa.int64()).fill_null(LAST_ID))
-            gone = repeated(flat, ids, *(joined(repeats.column(n), d) for n, d in (("upper", U64), ("lower", U64), ("first", np.int64))))
-        kept, taken = [], []
-        for i, text in enumerate(texts):
-            words = (text.as_py() or "").encode().split()
-            here = gone[flat.firsts[i] : flat.firsts[i] + flat.counts[i]]
-            taken.append(int(here.sum()))
-            kept.append(b" ".join(compress(words, (~here).tolist()) if taken[-1] else words).decode())
+def removed(rows: DataFrame, spans: DataFrame, row: str, group: str, text_col: str) -> DataFrame:
+    """The rows with the words of their spans taken out of their texts."""
+    columns = [c for c in rows.columns if c not in (row, group)]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in columns)
+
+    def cut(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
+        blobs_of = dict(zip(found.column("number").to_pylist(), found.column("spans").to_pylist()))
+        kept, counts, taken = [], [], []
+        for text, number in zip(docs.column(text_col), docs.column(row).to_pylist()):
+            words, blob = (text.as_py() or "").encode().split(), blobs_of.get(number)
+            counts.append(len(words))
+            if blob:
+                parts, begin = [], 0
+                for a, b in np.frombuffer(blob, dtype="<u4").reshape(-1, 2).tolist():
+                    parts += words[begin:a]
+                    begin = b
+                words = parts + words[begin:]
+            taken.append(counts[-1] - len(words))
+            kept.append(b" ".join(words).decode())
         arrays = [pa.array(kept, pa.string()) if c == text_col else docs.column(c) for c in columns]
-        added = [pa.array(flat.counts, pa.int64()), pa.array(taken, pa.int64())]
+        added = [pa.array(counts, pa.int64()), pa.array(taken, pa.int64())]
         return pa.Table.from_arrays([*arrays, *added], names=[*columns, "n_words", "n_removed"])
 
-    both = df.groupBy(group).cogroup(first.groupBy("receiver"))
-    return both.applyInArrow(apply, f"{kinds}, n_words long, n_removed long")
-
-
-def repeated(flat: Group, ids: np.ndarray, upper: np.ndarray, lower: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Words inside a passage whose first document has a smaller id than the word's own."""
-    order = np.argsort(upper)
-    upper, lower, first = upper[order], lower[order], first[order]
-    starts = np.flatnonzero(flat.starts)
-    above, below = flat.passages(starts)
-    at = np.minimum(np.searchsorted(upper, above), len(upper) - 1)
-    hit = (upper[at] == above) & (lower[at] == below) & (first[at] < ids[flat.document[starts]])
-    begin = starts[hit]
-    change = np.zeros(flat.total + 1, dtype=np.int64)
-    np.add.at(change, begin, 1)
-    np.add.at(change, begin + flat.length, -1)
-    return np.cumsum(change[:-1]) > 0
+    both = rows.groupBy(group).cogroup(spans.groupBy("receiver"))
+    return both.applyInArrow(cut, f"{kinds}, n_words long, n_removed long")
