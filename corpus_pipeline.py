@@ -2,7 +2,8 @@
 
 Every stage takes the table its predecessor kept, written as Parquet and read again, and
 returns the rows it keeps, with the columns of ``documents``; the last one returns the
-pieces of the kept documents with their places in the sequences.
+pieces of the kept documents with their places in the sequences. As a stage's rows have been
+written when the next stage is called, it removes the tables that the one before stored for them.
 """
 
 from __future__ import annotations
@@ -13,11 +14,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinseframe.llm import near, quality, queries, substrings
+from rinseframe.llm.frames import Scratch, remembered
 from rinseframe.plans.lineage import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: what the last stage called has stored for rows that are read once, to be written
+LEFT: list[Scratch] = []
+
+
+def before_the_next(stage: Stage) -> Stage:
+    """The stage, remembered until the next one is called."""
+
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with remembered(LEFT):
+            return stage(spark, docs, sf_dir)
+
+    return call
+
+
+def after_the_last(stage: Stage) -> Stage:
+    """The stage, called when what the one before stored is gone."""
+
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while LEFT:
+            LEFT.pop().release()
+        return stage(spark, docs, sf_dir)
+
+    return call
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents inside the limits of their language and source; the others go."""
     return quality.quality_filter(docs)
@@ -40,10 +67,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("quality rules", quality_rules),
-    ("near dedup", near_dedup),
-    ("substring dedup", substring_dedup),
-    ("best-fit packing", packing),
+    ("quality rules", before_the_next(quality_rules)),
+    ("near dedup", after_the_last(before_the_next(near_dedup))),
+    ("substring dedup", after_the_last(before_the_next(substring_dedup))),
+    ("best-fit packing", after_the_last(packing)),
 ]
 
 #: tokenization has no SQL; the tests hold run() against plain Python instead
