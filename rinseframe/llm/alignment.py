@@ -21,7 +21,9 @@ empty table stays empty; input columns named like an added column are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,37 +34,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinseframe.llm import pieces
+from rinseframe.llm.bytelevel import byte_of_character
 from rinseframe.llm.frames import Scratch, fresh, without
-from rinseframe.llm.tokens import Encoder
-
-#: ids of both vocabularies are below 2^22, so a pair and a row of a batch fit into 64 bits
-ID_BITS = 22
-PAIR = (1 << 2 * ID_BITS) - 1
+from rinseframe.llm.tokens import BEFORE_WORD, DOUBLE_SPACE, USUAL, Encoder
+
+#: ids of both vocabularies are below 2^20, so a pair and a row of a batch fit into 64 bits
+ID_BITS = 20
+PAIR, PAIR_BYTES = (1 << 2 * ID_BITS) - 1, 5
+#: texts that words alone do not make: neighbouring white space, also at an end, or a space mark
+UNEVEN = re.compile(rf"\s\s|^\s|\s$|{pieces.SPACE}")
+#: words, and chunks of each tokenizer, remembered by a Python worker: about 60 MB
+REMEMBERED = 250_000
 #: text bytes aligned at once, rows at once, bytes of pair lists of one group of documents
-BATCH_BYTES, BATCH_ROWS, GROUP_BYTES = 1 << 20, 1 << 14, 8 << 20
+BATCH_BYTES, BATCH_ROWS, GROUP_BYTES = 1 << 18, 1 << 14, 8 << 20
 #: groups with more links than this are counted by distinct ids instead of link by link
 FEW_LINKS = 1024
-ADDED = ("a_ids", "b_ids", "a_sizes", "b_sizes", "n_a", "n_b", "n_groups", "n_links", "pair_group", "pairs", "pair_links")
-ADDED_TYPES = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, n_a long, n_b long, n_groups long, n_links long, pair_group long, pairs binary, pair_links binary"
+LISTS = {name: "array<int>" for name in ("a_ids", "b_ids", "a_sizes", "b_sizes")}
+COUNTS = {name: "long" for name in ("n_a", "n_b", "n_groups", "n_links")}
+PAIRS = {"pair_group": "long", "pairs": "binary", "pair_links": "binary"}
+#: what a slice of texts gives, see ``align_texts``
+Found = dict[str, np.ndarray]
 
 
 # ---- tokens with their bytes
 
 
-class PlainEncoder(Encoder):
+class Chunks:
+    """Ids of whole texts from ids of their chunks; chunks met before are looked up."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.known: dict[str, bytes] = {"": b""}
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.chunks(t) for t in texts]
+        new = set().union(*split) - self.known.keys()
+        self.known.update(self.encode(list(new)))
+        found = [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), dtype=self.kind) for chunks in split]
+        for chunk in new:
+            if len(self.known) <= REMEMBERED and len(chunk) <= 64:
+                continue
+            del self.known[chunk]
+        return found
+
+    def chunks(self, text: str) -> list[str]:
+        raise NotImplementedError
+
+    def encode(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        raise NotImplementedError
+
+
+class ByteChunks(Chunks):
     """Byte-level ids; a special token's string is text like any other."""
 
     def __init__(self, *paths: str):
-        super().__init__(*paths)
-        self.special = []
-        self.whole.encode_special_tokens = True
+        super().__init__("<u4")
+        self.own = Encoder(*paths)
+        self.own.special = []
+        self.own.whole.encode_special_tokens = True
+
+    def chunks(self, text: str) -> list[str]:
+        if DOUBLE_SPACE.search(text):
+            return BEFORE_WORD.split(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + c for c in rest]]
+
+    def encode(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        fast, whole = self.own.fast, self.own.whole
+        for chunk in chunks:
+            if fast and USUAL.fullmatch(chunk):
+                ids = fast.encode_ordinary(chunk)
+            else:
+                ids = whole.encode(chunk, add_special_tokens=False).ids
+            yield chunk, array("I", ids).tobytes()
 
 
-def byte_of_character() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: itself if printable, else from 256 on in turn."""
-    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+class PieceChunks(Chunks):
+    """Ids of a piece model, chunks cut where nothing can merge."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        super().__init__("<i4")
+        self.model = pieces.model(path)
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def chunks(self, text: str) -> list[str]:
+        return self.model.words(text)
+
+    def encode(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        # the library puts one space mark before a text, so it takes words that begin with just one
+        words = [c for c in chunks if c[:1] == pieces.SPACE and len(c) > 1 and pieces.SPACE not in c[1:]]
+        yield from zip(words, (array("i", ids).tobytes() for ids in self.library.encode([w[1:] for w in words], num_threads=1)))
+        others = list(set(chunks).difference(words))
+        yield from zip(others, self.model.merged(others) if others else ())
 
 
 class Surfaces:
@@ -83,17 +148,51 @@ class Surfaces:
 
 
 class Pair:
-    """Both tokenizers and the bytes of their ids."""
+    """Both tokenizers and the bytes of their ids.
+
+    What stands between two blanks is a chunk of both, so texts of single blanks take the ids of
+    both from one look-up for each word.
+    """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str, model_path: str):
-        self.a, self.b = PlainEncoder(tokenizer_path, ranks_path, pattern), pieces.model(model_path)
+        self.a, self.b = ByteChunks(tokenizer_path, ranks_path, pattern), PieceChunks(model_path)
         byte = byte_of_character()
-        tokenizer = self.a.whole
+        tokenizer = self.a.own.whole
         surface = [b""] * tokenizer.get_vocab_size()
         for token, i in tokenizer.get_vocab().items():
             known = all(c in byte for c in token)
             surface[i] = bytes(byte[c] for c in token) if known else token.encode()
-        self.a_bytes, self.b_bytes = Surfaces(surface), Surfaces(self.b.surface)
+        self.a_bytes, self.b_bytes = Surfaces(surface), Surfaces(self.b.model.surface)
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both sides of each text."""
+        a: list = [None] * len(texts)
+        b: list = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and not UNEVEN.search(t)]
+        split = [texts[i].split(" ") for i in plain]
+        found = [list(map(self.known.get, words)) for words in split]
+        new = {w for words, pairs in zip(split, found) if None in pairs for w, pair in zip(words, pairs) if pair is None}
+        fresh_pairs = self.pairs(list(new))
+        for i, words, pairs in zip(plain, split, found):
+            if None in pairs:
+                pairs = [fresh_pairs[w] if pair is None else pair for w, pair in zip(words, pairs)]
+            a[i] = np.frombuffer(b"".join([pair[0] for pair in pairs]), dtype=self.a.kind)
+            b[i] = np.frombuffer(b"".join([pair[1] for pair in pairs]), dtype=self.b.kind)
+        room = REMEMBERED - len(self.known)
+        if room > 0:
+            self.known.update(pair for pair in list(fresh_pairs.items())[:room] if len(pair[0]) <= 64)
+        others = [i for i, ids in enumerate(a) if ids is None]
+        for i, x, y in zip(
+            others, self.a.encode_all([" " + texts[i] if texts[i] else "" for i in others]), self.b.encode_all([texts[i] for i in others])
+        ):
+            a[i], b[i] = x, y
+        return a, b
+
+    def pairs(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        of_a = (blob for _, blob in self.a.encode([" " + w for w in words]))
+        of_b = (array("i", ids).tobytes() for ids in self.b.library.encode(words, num_threads=1))
+        return {w: (x, y) for w, x, y in zip(words, of_a, of_b)}
 
 
 @lru_cache(maxsize=1)
@@ -101,32 +200,51 @@ def pair_of(*paths: str) -> Pair:
     return Pair(*paths)
 
 
+def spelled_groups(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, decimals: Surfaces) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal ids of all groups as ``a1,a2|b1;a3|b2,b3;`` and how many bytes each group takes.
+
+    ``decimals`` holds the decimals of n ids with a comma, then with a bar, then with a semicolon after them.
+    """
+    ids = len(decimals.size) // 3
+    group = np.arange(len(a_sizes))
+    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    marked_a, marked_b = a.astype(np.int64), b.astype(np.int64)
+    marked_a[a_ends - 1] += ids
+    marked_b[b_ends - 1] += 2 * ids
+    both = np.empty(len(a) + len(b), dtype=np.int64)
+    both[np.arange(len(a)) + np.repeat(b_ends - b_sizes, a_sizes)] = marked_a
+    both[np.arange(len(b)) + np.repeat(a_ends, b_sizes)] = marked_b
+    owner = np.repeat(group, a_sizes + b_sizes)
+    return decimals.text(both), np.bincount(owner, decimals.size[both], len(group)).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def decimals_of(ids: int) -> Surfaces:
+    return Surfaces([b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(ids)])
+
+
 # ---- groups
 
 
 def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each side in each group of two ascending arrays of ends, whose last ends are equal."""
-    a, b = a_ends.astype("<i8").tobytes(), b_ends.astype("<i8").tobytes()
+    n = len(a_ends)
+    # different marks after the last ends, so no probe over them succeeds
+    a, b = np.append(a_ends, -1).astype("<i8").tobytes(), np.append(b_ends, -2).astype("<i8").tobytes()
     a_at, b_at = a_ends.tolist(), b_ends.tolist()
-    repeats, a_sizes, b_sizes = [], [], []
-    i, shift, n, m = 0, 0, len(a_at), len(b_at)
+    runs, a_sizes, b_sizes = [], [], []
+    i = shift = 0
     while i < n:
-        left = min(n - i, m - i - shift)
-        run, step, growing = 0, 1, True
-        while step:
-            step = min(step, left - run)
-            p, q = 8 * (i + run), 8 * (i + shift + run)
-            if a[p : p + 8 * step] == b[q : q + 8 * step]:
-                run += step
-                step = step * 2 if growing and run < left else 0 if run == left else step // 2
-            else:
-                growing = False
-                step //= 2
-        if run:
-            repeats.append(run)
-            a_sizes.append(1)
-            b_sizes.append(1)
-            i += run
+        p, q, step = 8 * i, 8 * (i + shift), 8
+        while a[p : p + step] == b[q : q + step]:
+            p, q, step = p + step, q + step, 2 * step
+        step //= 2
+        while step >= 8:
+            if a[p : p + step] == b[q : q + step]:
+                p, q = p + step, q + step
+            step //= 2
+        runs.append(p // 8 - i)
+        i = p // 8
         if i == n:
             break
         x, y = i, i + shift
@@ -135,12 +253,13 @@ def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 x += 1
             else:
                 y += 1
-        repeats.append(1)
         a_sizes.append(x - i + 1)
         b_sizes.append(y - i - shift + 1)
         i, shift = x + 1, y - x
-    repeats = np.array(repeats, dtype=np.int64)
-    return np.repeat(np.array(a_sizes, dtype=np.int64), repeats), np.repeat(np.array(b_sizes, dtype=np.int64), repeats)
+    irregular = np.cumsum(np.array(runs, dtype=np.int64) + 1)[: len(a_sizes)] - 1
+    sizes = np.ones((2, int(sum(runs)) + len(a_sizes)), dtype=np.int64)
+    sizes[0, irregular], sizes[1, irregular] = a_sizes, b_sizes
+    return sizes[0], sizes[1]
 
 
 def link_pairs(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,13 +310,12 @@ def reproduced(ids: np.ndarray, sizes: np.ndarray, surfaces: Surfaces, text: np.
     return good
 
 
-def align_texts(texts: list[str | None], pair: Pair) -> dict[str, list[np.ndarray] | np.ndarray]:
-    """The added columns of some texts: ids, group sizes, and each text's distinct pairs with their links."""
+def align_texts(texts: list[str | None], pair: Pair) -> Found:
+    """Of some texts, one after the other: ids, group sizes, distinct pairs with their links, and the numbers of each."""
     spaced = [" " + t if t else "" for t in texts]
     raw = [t.encode("utf-8", "surrogatepass") for t in spaced]
     text, lengths = np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(r) for r in raw], dtype=np.int64)
-    a, a_count = flat([np.frombuffer(pair.a.encode(t) if t else b"", dtype="<u4") for t in spaced])
-    b, b_count = flat(pair.b.encode_all([t or "" for t in texts]))
+    (a, a_count), (b, b_count) = map(flat, pair.encode([t or "" for t in texts]))
     good = reproduced(a, a_count, pair.a_bytes, text, lengths) & reproduced(b, b_count, pair.b_bytes, text, lengths) & (lengths > 0)
     a, b = a[np.repeat(good, a_count)], b[np.repeat(good, b_count)]
     a_count, b_count = np.where(good, a_count, 0), np.where(good, b_count, 0)
@@ -224,9 +342,9 @@ def list_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
-def blob_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(counts) * 8]).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(values.astype("<i8"))])
+def blob_column(values: np.ndarray, counts: np.ndarray, kind: str) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts) * np.dtype(kind).itemsize]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(values.astype(kind))])
 
 
 def slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -239,17 +357,31 @@ def slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         first = end
 
 
-def aligned(df: DataFrame, text: str, tokenizer_path: str, ranks_path: str | None, pattern: str, model_path: str) -> DataFrame:
-    """Store each row's alignment: the other columns, ids and group sizes of both sides, counts, and its pairs.
-
-    ``pairs`` and ``pair_links`` are blobs of int64: distinct pairs ``a << 22 | b``, ascending,
-    and how many links each has in the text. ``pair_group`` tells the group of documents.
+def aligned(
+    df: DataFrame,
+    text: str,
+    tokenizer_path: str,
+    ranks_path: str | None,
+    pattern: str,
+    model_path: str,
+    lists: bool = True,
+    derived: dict[str, tuple[str, Callable[[Found], list]]] | None = None,
+) -> DataFrame:
+    """Each row's alignment: the other columns, ids and group sizes of both sides, counts, and its pairs.
+
+    ``pairs`` and ``pair_links`` are blobs: distinct pairs, ascending, as ``a << 20 | b`` in steps
+    from one to the next (``steps``), and how many links each has in the text (uint32).
+    ``pair_group`` tells the group of documents. ``derived`` names further columns, their types and
+    functions of what ``align_texts`` finds, which give a value for each text; without ``lists``
+    ids and sizes stay in the tasks.
     """
-    df = without(df, *[c for c in ADDED if c != text.lower()])
+    derived = derived or {}
+    kinds = {**(LISTS if lists else {}), **COUNTS, **PAIRS, **{name: kind for name, (kind, _) in derived.items()}}
+    df = without(df, *[c for c in kinds if c != text.lower()])
     kept = [f for f in df.schema.fields if f.name.lower() != text.lower()]
     source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias(fresh(df, "text_to_align")))
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [ADDED_TYPES])
-    width, paths, names = len(kept), (tokenizer_path, ranks_path, pattern, model_path), [*[f.name for f in kept], *ADDED]
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` {k}" for n, k in kinds.items()])
+    width, paths, names = len(kept), (tokenizer_path, ranks_path, pattern, model_path), [*[f.name for f in kept], *kinds]
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, group, held = pair_of(*paths), TaskContext.get().partitionId() << 32, 0
@@ -260,23 +392,42 @@ def aligned(df: DataFrame, text: str, tokenizer_path: str, ranks_path: str | Non
                 if held > GROUP_BYTES:
                     group, held = group + 1, 0
                 found = align_texts(batch.column(width).to_pylist(), pair)
-                held += 16 * len(found["pairs"])
+                held += 9 * len(found["pairs"])
                 columns = [
-                    list_column(found["a"], found["a_count"]), list_column(found["b"], found["b_count"]),
-                    list_column(found["a_sizes"], found["group_count"]), list_column(found["b_sizes"], found["group_count"]),
+                    *([list_column(found[c], found[n]) for c, n in LIST_OF] if lists else []),
                     *[pa.array(found[c].astype(np.int64)) for c in ("a_count", "b_count", "group_count", "link_count")],
                     pa.array(np.full(end - first, group)),
-                    blob_column(found["pairs"], found["pair_count"]), blob_column(found["links"], found["pair_count"]),
+                    steps(found["pairs"], found["pair_count"]), blob_column(found["links"], found["pair_count"], "<u4"),
+                    *[pa.array(function(found)) for _, function in derived.values()],
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], names=names)
 
-    return Scratch(df.sparkSession).stored(source.mapInArrow(align, fields), "aligned")
+    return source.mapInArrow(align, fields)
+
+
+LIST_OF = [("a", "a_count"), ("b", "b_count"), ("a_sizes", "group_count"), ("b_sizes", "group_count")]
+
 
+def steps(pairs: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Ascending pairs of each row as the differences of neighbours, in five bytes each."""
+    change = np.diff(pairs, prepend=0)
+    first = (np.cumsum(counts) - counts)[counts > 0]
+    change[first] = pairs[first]
+    data = np.ascontiguousarray(change.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES])
+    offsets = np.concatenate([[0], np.cumsum(counts) * PAIR_BYTES]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
-def int64s(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values of all blobs, number in each)."""
+
+def pairs_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of all rows, number in each)."""
     blobs = column.to_pylist()
-    return np.frombuffer(b"".join(blobs), dtype="<i8"), np.array([len(x) // 8 for x in blobs], dtype=np.int64)
+    counts = np.array([len(x) // PAIR_BYTES for x in blobs], dtype=np.int64)
+    wide = np.zeros((int(counts.sum()), 8), dtype=np.uint8)
+    wide[:, :PAIR_BYTES] = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, PAIR_BYTES)
+    total = np.cumsum(wide.view("<i8").ravel())
+    begin = np.cumsum(counts) - counts
+    before = np.concatenate([[0], total])[begin]
+    return total - np.repeat(before, counts), counts
 
 
 def group_pairs(found: DataFrame) -> DataFrame:
@@ -297,7 +448,7 @@ def group_pairs(found: DataFrame) -> DataFrame:
                     yield rows()
                     waiting, held = [], 0
                 group = int(ids[first])
-                values, _ = int64s(batch.column(1).slice(first, end - first))
+                values, _ = pairs_of(batch.column(1).slice(first, end - first))
                 waiting.append(values)
                 held += values.nbytes
         if waiting:
@@ -321,9 +472,12 @@ def pair_counts(by_group: DataFrame) -> DataFrame:
 
 def scored(found: DataFrame) -> DataFrame:
     """Replace the pairs of ``aligned`` rows by ``n_best`` (links whose pair is the best of its A id) and
-    ``count_sum`` (the sum over links of how many documents link their pair)."""
+    ``count_sum`` (the sum over links of how many documents link their pair).
+
+    The rows are stored once, so leave out columns that are not needed.
+    """
     scratch = Scratch(found.sparkSession)
-    found = without(found, "n_best", "count_sum")
+    found = scratch.stored(without(found, "n_best", "count_sum"), "aligned")
     by_group = scratch.stored(group_pairs(found), "pairs")
     counts = scratch.stored(pair_counts(by_group), "counts")
     answers = by_group.select("pair_group", "pair").join(counts, "pair").select("pair_group", "pair", "count", "best")
@@ -333,8 +487,8 @@ def scored(found: DataFrame) -> DataFrame:
     def score(documents: pa.Table, known: pa.Table) -> pa.Table:
         pair, at = np.unique(known.column("pair").to_numpy(), return_index=True)
         count, best = known.column("count").to_numpy()[at], known.column("best").to_numpy()[at]
-        pairs, sizes = int64s(documents.column("pairs"))
-        links, _ = int64s(documents.column("pair_links"))
+        pairs, sizes = pairs_of(documents.column("pairs"))
+        links = np.frombuffer(b"".join(documents.column("pair_links").to_pylist()), dtype="<u4").astype(np.int64)
         place, row = np.searchsorted(pair, pairs), np.repeat(np.arange(len(sizes)), sizes)
         sums, bests = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
         if len(pairs):
@@ -345,5 +499,5 @@ def scored(found: DataFrame) -> DataFrame:
 
     together = found.groupBy("pair_group").cogroup(answers.groupBy("pair_group"))
     result = scratch.stored(together.applyInArrow(score, fields), "scored")
-    scratch.drop(by_group, counts)
+    scratch.drop(found, by_group, counts)
     return result

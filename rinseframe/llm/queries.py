@@ -9,11 +9,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rinseframe.llm import alignment, extraction, near, packing, pieces, preferences, quality, sharding, substrings, token_files, url_filter, vectors, whitening
 from rinseframe.llm.frames import Scratch
@@ -150,35 +149,29 @@ def op8_bloom_url_rules(spark, sf):
 def op11_bit_packed_ids(spark, sf):
     """Every document's ids written as bits in ascending order of ids, and read back from the files."""
     documents = read(spark, sf, "documents").select("doc_id", "text")
-    ids = token_files.token_ids(documents, "text", WORD_BPE, END_ID)
     path = new_path(spark, "token-files")
-    token_files.write_tokens(ids, path, "doc_id", token_files.vocabulary_of(WORD_BPE))
+    reader = token_files.text_reader(WORD_BPE, END_ID)
+    token_files.write_tokens(documents, path, "doc_id", "text", token_files.vocabulary_of(WORD_BPE), reader)
     found = token_files.read_tokens(spark, path)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@F.pandas_udf(T.StringType())
-def groups_sha256(a: pd.Series, b: pd.Series, a_sizes: pd.Series, b_sizes: pd.Series) -> pd.Series:
-    """Digest of the groups' decimal ids; empty without groups."""
-
-    def digest(a_ids, b_ids, sizes) -> str:
-        left, right, parts = [*map(str, a_ids.tolist())], [*map(str, b_ids.tolist())], []
-        i = j = 0
-        for n, m in sizes:
-            parts.append(f"{left[i]}|{right[j]}" if n == m == 1 else f"{','.join(left[i : i + n])}|{','.join(right[j : j + m])}")
-            i, j = i + n, j + m
-        return hashlib.sha256(";".join(parts).encode()).hexdigest() if parts else ""
-
-    return pd.Series([digest(x, y, zip(n.tolist(), m.tolist())) for x, y, n, m in zip(a, b, a_sizes, b_sizes)])
-
-
 @query
 def op12_diagonal_alignment(spark, sf):
     """Groups and links of every document's tokens in two vocabularies, and how common the links are."""
+
+    def groups_sha256(found: alignment.Found) -> list[str]:
+        """Digest of the groups' decimal ids; empty without groups."""
+        groups = [found[c] for c in ("a", "b", "a_sizes", "b_sizes")]
+        spelled, sizes = alignment.spelled_groups(*groups, alignment.decimals_of(1 << 16))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(found["group_count"])])].tolist()
+        data = spelled.tobytes()
+        return [hashlib.sha256(data[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(ends, ends[1:])]
+
     documents = read(spark, sf, "documents").select("doc_id", "text")
-    found = alignment.aligned(documents, "text", model_path=PIECE_MODEL, **BYTE_BPE)
-    digest = groups_sha256("a_ids", "b_ids", "a_sizes", "b_sizes").alias("groups_sha256")
-    scored = alignment.scored(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pair_group", "pairs", "pair_links"))
+    digests = {"groups_sha256": ("string", groups_sha256)}
+    found = alignment.aligned(documents, "text", model_path=PIECE_MODEL, lists=False, derived=digests, **BYTE_BPE)
+    scored = alignment.scored(found)
     return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

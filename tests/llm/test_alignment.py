@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from plain import write
-from rinseframe.llm import alignment, queries
+from rinseframe.llm import alignment, bytelevel, queries
 
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
@@ -57,7 +57,7 @@ class Plain:
         self.a = Tokenizer.from_file(queries.BYTE_BPE["tokenizer_path"])
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
-        self.byte = alignment.byte_of_character()
+        self.byte = bytelevel.byte_of_character()
 
     def groups(self, text):
         if not text:
