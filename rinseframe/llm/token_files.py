@@ -12,31 +12,37 @@ A file, little-endian throughout:
 are one shift and one mask for each of the 64 lanes over a whole array. The offsets give
 the blocks of any place, so a span of ids is read without the rest of the file.
 
-``write_tokens`` sorts documents by key into a range of files per task. A task writes files
+``write_tokens`` deals documents to tasks by ranges of keys, a key of many documents to several
+neighbouring tasks, and each task sorts its own and writes them in turn. A task writes files
 under names of its own and tells their names in a manifest that Spark commits; a file of a
 lost or repeated task is in no manifest and is never read. The folder must be one that
 ``pyarrow.fs`` opens in the workers.
 
 Defined results: a null text counts as empty and has the end id alone; documents without
-key come first, documents of equal keys in table order, each as a document of its own; an
-empty table gives a manifest without files; an id outside the vocabulary is an error.
+key come first, as if theirs were the smallest long; documents of equal keys are documents of
+their own, in any order; an empty table gives a manifest without files; an id outside the vocabulary is an error.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rinseframe.llm.frames import Scratch, fresh, with_rows, without
+from rinseframe.llm.bytelevel import spelled
+from rinseframe.llm.frames import Scratch, fresh, without
 
 LANES = 64
 BLOCK_IDS = 1 << 13
@@ -44,11 +50,18 @@ BLOCK_IDS = 1 << 13
 FILE_IDS, FILE_DOCS = 1 << 25, 1 << 20
 #: ids packed or unpacked at once
 STRIP_IDS = 1 << 19
+#: bytes of the documents of one task, and tasks at most; a task may write many files
+PART_BYTES, MOST_PARTS = 64 << 20, 20_000
+LEAST_KEY = -(1 << 63)
 MAGIC = b"RFIDBITS"
 FOOTER = struct.Struct("<IIQQ8s")
 U64 = np.uint64
-#: words remembered by a Python worker: about 50 MB
-REMEMBERED = 250_000
+#: words and parts of words remembered by a Python worker: about 80 MB
+REMEMBERED = 400_000
+#: letters that stay single under NFC and have one lower-case letter each, then ASCII marks that begin nothing else
+LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\[-`{}~]*)")
+#: called in a task: gives a function from cells to blobs of ids
+Reading = Callable[[], Callable[[list], list[bytes]]]
 FILES = "part int, no int, name string, n_docs long, n_ids long"
 #: files whose starts are added up in one task
 TOGETHER = 1000
@@ -64,6 +77,11 @@ def width_of(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def kind_of(vocabulary: int) -> str:
+    """How ids are handed to ``write_tokens``: little-endian, unsigned, in 16 bits where all fit, else in 32."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def lanes(width: int) -> Iterator[tuple[int, int, U64, U64]]:
     """(lane, word, shift, bits that reach into the next word) of 64 ids in ``width`` words."""
     for lane in range(LANES):
@@ -201,35 +219,72 @@ def with_scheme(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
+def key_bounds(sizes: DataFrame, part_bytes: int) -> list[int]:
+    """Keys that part the (key, size) rows into ranges of about ``part_bytes``; a key of many rows may come repeatedly."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    parts = min(MOST_PARTS, -(-total // part_bytes))
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    return sizes.agg(F.percentile_approx("key", shares, max(10_000, 10 * parts))).first()[0]
+
+
+def part_of(key: Column, bounds: list[int]) -> Column:
+    """The range of a key; rows of a key that is itself a bound are dealt in turn to the ranges it touches."""
+    ordered = np.array(bounds, dtype=np.int64)
+
+    def parts(key: pd.Series, turn: pd.Series) -> pd.Series:
+        low, high = np.searchsorted(ordered, key, side="left"), np.searchsorted(ordered, key, side="right")
+        return pd.Series((low + turn % (high - low + 1)).astype(np.int32))
+
+    # Python sees the keys alone
+    return F.pandas_udf(parts, T.IntegerType())(key, F.monotonically_increasing_id())
+
+
 def write_tokens(
-    tokens: DataFrame, path: str, key: str, vocabulary: int, ids: str = "ids", file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS
+    df: DataFrame,
+    path: str,
+    key: str,
+    column: str,
+    vocabulary: int,
+    reader: Reading | None = None,
+    file_ids: int = FILE_IDS,
+    file_docs: int = FILE_DOCS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Write (key, ids) rows in ascending order of keys; returns the manifest.
+    """Write the ids of all rows in ascending order of keys; returns the manifest.
 
-    ``ids`` holds little-endian unsigned 32-bit ids. The manifest has a row for each file:
-    name, order, number of documents and ids, and the ids before it in all files (``start``).
+    ``column`` holds ids as blobs of the vocabulary's ``kind_of``, or what ``reader`` makes such
+    blobs of: it is called once in a task and gives a function from a list of cells to a list
+    of blobs. Rows are dealt to tasks by ranges of keys, so ``column`` is shuffled once. The
+    manifest has a row for each file: name, order, number of documents and ids, and the ids
+    before it in all files (``start``).
     """
-    spark, scratch, width = tokens.sparkSession, Scratch(tokens.sparkSession), width_of(vocabulary)
-    row = fresh(tokens, "row")
-    table = with_rows(tokens.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{ids}`").alias("ids")), scratch, row)
-    total = table.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    parts = max(1, -(-total // (4 * file_ids)))
+    spark, scratch, width, kind = df.sparkSession, Scratch(df.sparkSession), width_of(vocabulary), kind_of(vocabulary)
+    table = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{column}`").alias("cell"))
+    ordered_key = F.coalesce("key", F.lit(LEAST_KEY))
+    size = F.coalesce(F.octet_length("cell"), F.lit(0)) + 1
+    bounds = key_bounds(table.select(ordered_key.alias("key"), size.alias("size")), part_bytes)
     folder = with_scheme(path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = store(folder)
+        read = reader() if reader else None
         part, done, writer, name = TaskContext.get().partitionId(), [], None, ""
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if writer is None:
-                    name = f"{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.ids"
-                    files.create_dir(root, recursive=True)
-                    writer = Writer(files.open_output_stream(f"{root}/{name}"), width)
-                writer.add(k, np.frombuffer(blob or b"", dtype="<u4"))
-                if writer.n_ids >= file_ids or len(writer.keys) >= file_docs:
-                    writer.close()
-                    done.append((part, len(done), name, len(writer.keys), writer.n_ids))
-                    writer = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                cells = batch.column(1).to_pylist()
+                for k, blob in zip(batch.column(0).to_pylist(), read(cells) if read else cells):
+                    if writer is None:
+                        name = f"{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.ids"
+                        files.create_dir(root, recursive=True)
+                        writer = Writer(files.open_output_stream(f"{root}/{name}"), width)
+                    writer.add(k, np.frombuffer(blob or b"", dtype=kind))
+                    if writer.n_ids >= file_ids or len(writer.keys) >= file_docs:
+                        writer.close()
+                        done.append((part, len(done), name, len(writer.keys), writer.n_ids))
+                        writer = None
         if writer:
             writer.close()
             done.append((part, len(done), name, len(writer.keys), writer.n_ids))
@@ -238,10 +293,12 @@ def write_tokens(
             columns = [pa.array(c, k) for c, k in zip(zip(*done), kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "no", "name", "n_docs", "n_ids"])
 
-    in_order = table.repartitionByRange(parts, "key", row).sortWithinPartitions("key", row).select("key", "ids")
+    part = part_of(ordered_key, bounds) if bounds else F.lit(0)
+    dealt = table.withColumn("part", part).repartitionById(len(bounds) + 1, "part")
+    in_order = dealt.sortWithinPartitions("key").select("key", "cell")
     written = scratch.stored(in_order.mapInArrow(write, FILES), "files")
     with_starts(written).write.parquet(f"{path}/manifest")
-    scratch.drop(table, written)
+    scratch.drop(written)
     return manifest(spark, path)
 
 
@@ -336,30 +393,62 @@ def read_spans(spark: SparkSession, path: str, spans: DataFrame, start: str = "s
 
 
 class WordEncoder:
-    """Ids of a tokenizer file that never joins what a blank or line end parts, words met before from a table."""
+    """Ids of a tokenizer file that never joins what a blank or line end parts.
+
+    Words met before are looked up. A new word of Latin letters and the marks after it is put
+    together from both, the letters by the file's merge model alone where that gives the same
+    ids; other new words go to the tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        one, other = "Ab'c 12", "x<y É"
-        ids = self.tokenizer.encode(f"{one} \n{other}", add_special_tokens=False).ids
-        if ids != [i for part in (*one.split(), *other.split()) for i in self.tokenizer.encode(part, add_special_tokens=False).ids]:
-            raise ValueError("the tokenizer does not encode words by themselves")
+        self.merges = self.tokenizer.model
+        self.kind = kind_of(self.tokenizer.get_vocab_size())
+        self.code = "H" if self.kind == "<u2" else "I"
         self.known: dict[str, bytes] = {"": b""}
-
-    def new(self, word: str) -> bytes:
-        blob = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        words = ["Ab'c", "12", "x<y", "É", "été,", "OFF..", "ÑANDÚ(!)", "straßeí", "thequickbrownfox:", "a", "zzzzxq###"]
+        if self.ids(" \n".join(words)) != b"".join(map(self.ids, words)):
+            raise ValueError("the tokenizer does not encode words by themselves")
+        self.parted = all(self.of_parts(m) == self.ids(m[0]) for m in map(LETTERS_MARKS.fullmatch, words) if m)
+        self.known = {"": b""}
+
+    def ids(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of_parts(self, match: re.Match) -> bytes:
+        letters, marks = match[1].lower(), match[2]
+        blob, after = self.known.get(letters), self.known.get(marks)
+        if blob is None:
+            blob = array(self.code, [t.id for t in self.merges.tokenize(letters.translate(BYTE_LEVEL))]).tobytes()
+            self.remember(letters, blob)
+        if after is None:
+            after = self.ids(marks)
+            self.remember(marks, after)
+        return blob + after
+
+    def remember(self, word: str, blob: bytes) -> None:
         if len(self.known) < REMEMBERED and len(word) <= 64:
             self.known[word] = blob
+
+    def new(self, word: str) -> bytes:
+        match = LETTERS_MARKS.fullmatch(word) if self.parted else None
+        blob = self.of_parts(match) if match else self.ids(word)
+        self.remember(word, blob)
         return blob
 
     def encode(self, text: str) -> bytes:
+        """Ids of a whole text as a blob of ``kind``."""
         words = text.replace("\n", " ").split(" ")
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self.new(word) if blob is None else blob for word, blob in zip(words, found)]
-        return b"".join(found)
+        blobs = list(map(self.known.get, words))
+        if None in blobs:
+            blobs = [self.new(words[i]) if blob is None else blob for i, blob in enumerate(blobs)]
+        return b"".join(blobs)
+
+
+#: the letters above 127 as a byte-level vocabulary spells them
+BYTE_LEVEL = {c: spelled(chr(c)) for c in range(0xC0, 0x100)}
 
 
 @lru_cache(maxsize=2)
@@ -371,19 +460,12 @@ def vocabulary_of(tokenizer_path: str) -> int:
     return word_encoder(tokenizer_path).tokenizer.get_vocab_size()
 
 
-def token_ids(df: DataFrame, text: str, tokenizer_path: str, end_id: int, ids: str = "ids") -> DataFrame:
-    """Replace the text by its ids with the end id, as little-endian unsigned 32-bit blobs."""
-    kept = [c for c in df.columns if c.lower() not in (text.lower(), ids.lower())]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(fresh(df, "text_to_encode")))
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{ids}` binary"])
-    end = np.array([end_id], dtype="<u4").tobytes()
+def text_reader(tokenizer_path: str, end_id: int) -> Reading:
+    """Texts as blobs of their ids with the end id, for ``write_tokens``."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reader() -> Callable[[list], list[bytes]]:
         own = word_encoder(tokenizer_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                blobs = [own.encode(t or "") + end for t in batch.column(len(kept)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(blobs, pa.binary())], names=[*kept, ids])
+        end = np.array([end_id], dtype=own.kind).tobytes()
+        return lambda texts: [own.encode(t or "") + end for t in texts]
 
-    return source.mapInArrow(encode, fields)
+    return reader

@@ -1,6 +1,7 @@
 """Packed token ids against plain loops and the tokenizers library."""
 
 import zlib
+from collections import Counter
 from random import Random
 
 import numpy as np
@@ -97,10 +98,12 @@ def test_odd_texts(spark, tmp_path):
 def test_repeated_rows_and_many_files(spark, tmp_path):
     rng = Random(6)
     rows = [(7 if i % 3 else rng.randrange(100), [rng.randrange(30_000) for _ in range(rng.randrange(1, 400))]) for i in range(300)]
-    tokens = spark.createDataFrame([(k, np.array(v, dtype="<u4").tobytes()) for k, v in rows], "key long, ids binary").repartition(5)
+    tokens = spark.createDataFrame([(k, np.array(v, dtype="<u2").tobytes()) for k, v in rows], "key long, ids binary").repartition(5)
     path = str(tmp_path / "packed")
-    files = token_files.write_tokens(tokens, path, "key", 30_000, file_ids=5000, file_docs=40).collect()
-    assert len(files) > 10 and sum(f.n_docs for f in files) == 300
+    files = token_files.write_tokens(tokens, path, "key", "ids", 30_000, file_ids=5000, file_docs=40, part_bytes=8000).collect()
+    assert len(files) > 10 and max(f.part for f in files) > 8 and max(f.n_ids for f in files) < 6000
+    assert max(Counter(f.part for f in files).values()) < 6  # the key of two thirds of all rows is dealt to many tasks
+    assert sum(f.n_docs for f in files) == 300
     found = token_files.read_tokens(spark, path, "key").orderBy("start").collect()
     assert sorted((r.key, bytes(r.ids)) for r in found) == sorted((k, np.array(v, dtype="<u4").tobytes()) for k, v in rows)
     assert [r.key for r in found] == sorted(k for k, _ in rows)
