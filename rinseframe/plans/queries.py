@@ -830,7 +830,7 @@ def snapshots_left(spark, sf):
     named = {n: read(spark, sf, n) for n in ("orders", "customer")}
     session = versions.Session(named, "INIT")
     session.save(folder)
-    session.step(rows.delete_rows, "o_totalprice", "<", 100_000, table="orders", describe="DELETE ROWS").save(folder)
+    session.step(rows.delete_rows, (Cell("o_totalprice"), "<", 100_000), table="orders", describe="DELETE ROWS").save(folder)
     session.step(rows.drop_column, "c_acctbal", table="customer", describe="DROP COLUMN").save(folder)
     session.undo().drop(1)
     versions.collect_snapshots(spark, folder, 0)
