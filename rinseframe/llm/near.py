@@ -10,7 +10,12 @@ Half keys that no other document has cannot form a shared table key and are drop
 pairs are formed. Documents with equal shingle sets are one class from the start. Within a
 table, members are compared with the table's smallest member first; what this links is one
 component, and only members of different components that share a table are compared after
-that, so large groups of copies cost no pair per pair of members. Every comparison first
+that, so large groups of copies cost no pair per pair of members. Where a table still holds
+many members of different components (documents of one template, similar but not enough),
+they are not compared with each other: they meet by prefixes of their sets instead, the
+shingles that fewest of these members have. Two sets that reach the similarity share one of
+them whatever the table, and a template's common shingles come last; under a shingle, too,
+members are compared with the smallest one first, then across components. Every comparison first
 passes an exact bound on the difference of the sets, from the odd-count bits of their
 hashes, and is then confirmed on the full sets.
 
@@ -18,8 +23,7 @@ Defined results: null or wordless texts have an empty set and link with nothing;
 fewer words than a shingle is one shingle; rows with equal ids are judged by their own
 texts; rows with null ids link with nothing and are kept; an empty table stays empty; input
 columns named like an added column are replaced. ``one_of_each`` judges rows by a number of
-their own, so rows with equal ids are documents too; rows with null ids link with each other
-and, where their shingle sets are equal, with rows that have an id.
+their own, so rows with equal ids and rows with null ids are documents that link like all others.
 """
 
 from __future__ import annotations
@@ -30,18 +34,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinseframe.llm.components import components, labelled
 from rinseframe.llm.fingerprints import LOWER, U64, batch_words, mixed, windows
-from rinseframe.llm.frames import Scratch, all_equal, fresh, with_rows, without
+from rinseframe.llm.frames import Scratch, all_equal, fresh, settings, with_rows, without
 
 MINIMA = 3
 MISSED = 2e-5
 ODD_WORDS = 16
-#: added to the row numbers of rows without id, which stay below 1 << 62
-NAMELESS = 1 << 62
+#: members of different components in a table, above which they meet by prefixes
+CROWDED = 64
+#: texts and sets meet ids in shuffled joins at every size, as they must on a large table
+ALIKE = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
 #: elements hashed at once by all functions
 SLICE = 1 << 15
 SKETCH = "id long, text_hash long, n long, set_a long, set_b long, lefts array<long>, rights array<long>, odd array<long>"
@@ -212,6 +218,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(similar, "a long, b long")
 
 
+def prefixes(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node) of the prefixes of some nodes' sets, without shingles that one node alone has.
+
+    Shingles are ordered by how many of these nodes have them. Of a set of n, the rarest
+    n - ceil(n * percent / 100) + 1 are its prefix: two sets that reach the similarity have
+    more in common than either has outside its prefix.
+    """
+    names = ["node", "n", "shingle"]
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.frombuffer(blob, np.int64)
+                whole = [pa.array(np.full(len(found), v, dtype=np.int64)) for v in (node, len(found))]
+                yield pa.RecordBatch.from_arrays([*whole, pa.array(found)], names=names)
+
+    of_crowd = sets.join(crowd.select("node"), "node", "left_semi").select("node", "shingles")
+    listed = of_crowd.mapInArrow(opened, "node long, n long, shingle long")
+    often = listed.groupBy("shingle").agg(F.count("*").alias("nodes"))
+    # a shingle that one node has is in no other prefix, but takes its place in its own
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("nodes", "shingle"))
+    ranked = listed.join(often, "shingle").select(*names, "nodes", rank.alias("rank"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return ranked.where((F.col("rank") <= length) & (F.col("nodes") > 1)).select("shingle", "node")
+
+
+def centered(members: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(a, b): each (shingle, node) member with the smallest node of its shingle, where their roots differ."""
+    least = members.groupBy("shingle").agg(F.min("node").alias("b"))
+    pairs = members.join(least, "shingle").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    sides = [crowd.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where("root_a <> root_b").select("a", "b")
+
+
+def across_roots(members: DataFrame, roots: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of a shingle that are in different components, where their sets may reach the similarity."""
+    owned = labelled(members, "node", roots, "root")
+    split = owned.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    sided = owned.join(split.select("shingle"), "shingle").join(bounds, "node")
+    x, y = sided.alias("x"), sided.alias("y")
+    across = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    found = x.join(y, across & may_link(percent, "x", "y"))
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """(node, root) stars over the classes."""
     members = table_members(classes, scratch)
@@ -220,42 +271,53 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: S
     texts = docs.join(used.select(F.col("low_id").alias("id")).distinct(), "id", "left_semi")
     same = ["low_id", "n", "set_a", "set_b"]
     sets = sets_of(texts, k).withColumnRenamed("id", "low_id").join(used.select("node", *same), same)
-    sets = scratch.stored(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    spark = classes.sparkSession
+    with settings(spark, ALIKE):
+        sets = scratch.stored(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
     bounds = used.select("node", "n", "odd")
 
+    def linked_of(pairs: DataFrame) -> DataFrame:
+        with settings(spark, ALIKE):
+            return scratch.stored(confirmed(pairs, sets, percent), "links")
+
     def checked(pairs: DataFrame) -> DataFrame:
         sides = [bounds.select(F.col("node").alias(c), F.struct("n", "odd").alias(f"side_{c}")) for c in "ab"]
         near = pairs.join(sides[0], "a").join(sides[1], "b").where(may_link(percent, "side_a", "side_b"))
-        return confirmed(near.select("a", "b"), sets, percent)
+        return linked_of(near.select("a", "b"))
 
     stars = members.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     stars = scratch.stored(stars, "candidates")
     nearest = stars.groupBy("a").agg(F.min("b").alias("b"))
-    links = scratch.stored(checked(nearest), "links")
+    links = checked(nearest)
     first_roots = components(links, scratch)
 
     other = labelled(labelled(stars, "a", first_roots, "root_a"), "b", first_roots, "root_b").where("root_a <> root_b")
-    more = scratch.stored(checked(other.select("a", "b").join(nearest, ["a", "b"], "left_anti")), "links")
+    more = checked(other.select("a", "b").join(nearest, ["a", "b"], "left_anti"))
     more_roots = components(links.union(more), scratch)
 
     owned = labelled(members, "node", more_roots, "root")
     split = owned.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     apart = scratch.stored(owned.join(split.select("key"), "key").join(bounds, "node"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
+    full = apart.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > CROWDED).select("key")
+    full = scratch.stored(full, "crowded")
+    few = apart.join(full, "key", "left_anti")
+    x, y = few.alias("x"), few.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     across = across & (F.col("x.node") != F.col("y.center")) & may_link(percent, "x", "y")
-    rest = x.join(y, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    last = scratch.stored(confirmed(rest, sets, percent), "links")
+    rest = x.join(y, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    if not full.isEmpty():
+        crowd = scratch.stored(apart.join(full, "key", "left_semi").select("node", "root").distinct(), "crowd")
+        under = scratch.stored(prefixes(crowd, sets, percent), "prefixes")
+        more = more.union(checked(centered(under, crowd)))
+        rest = rest.union(across_roots(under, components(links.union(more), scratch), bounds, percent))
+    last = linked_of(rest.distinct())
     roots = components(links.union(more).union(last), scratch)
-    scratch.drop(members, used, sets, stars, apart, links, more, last, first_roots, more_roots)
+    scratch.drop(members, used, sets, stars, apart, full, links, more, last, first_roots, more_roots)
     return roots
 
 
-def labels(docs: DataFrame, k: int, percent: int, scratch: Scratch, apart: int | None = None) -> DataFrame:
-    """Store (id, text_hash, component_id, n) of the different (id, text_hash) of (id, text, text_hash) rows.
-
-    Classes that have ids from ``apart`` up only share no table key with others.
-    """
+def labels(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Store (id, text_hash, component_id, n) of the different (id, text_hash) of (id, text, text_hash) rows."""
     sketched = scratch.stored(sketches(docs, k, percent), "sketches")
     one = ["n", "set_a", "set_b"]
     classes = (
@@ -265,10 +327,6 @@ def labels(docs: DataFrame, k: int, percent: int, scratch: Scratch, apart: int |
         .sort("low_id")  # so that node numbers rise with the smallest id
         .withColumn("node", F.monotonically_increasing_id())
     )
-    if apart is not None:
-        for c in ("lefts", "rights"):
-            other = F.transform(c, lambda key: key.bitwiseXOR(F.lit(-1)))
-            classes = classes.withColumn(c, F.when(F.col("low_id") >= apart, other).otherwise(F.col(c)))
     classes = scratch.stored(classes, "classes")
     roots = linked(classes, docs.drop("text_hash"), k, percent, scratch)
 
@@ -307,15 +365,14 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """One row of each component: that of the smallest id, rows without id last, then the first row.
 
     The rows are stored under a number, which stands for their id, so equal ids and null ids
-    are rows of their own. A row without id that is similar to one with id, but has not the
-    same set, stays.
+    are rows of their own, and the ids only decide which row stays.
     """
     scratch = Scratch(df.sparkSession)
     row = fresh(df, "row")
     rows = with_rows(df, scratch, row)
     doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    own = F.col(row) + F.when(doc_id.isNull(), F.lit(NAMELESS)).otherwise(F.lit(0))
-    found = labels(rows.select(own.alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), k, percent, scratch, NAMELESS)
+    own = F.col(row)
+    found = labels(rows.select(own.alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), k, percent, scratch)
     ids = rows.select(own.alias("id"), F.col(row).alias("row"), doc_id.alias("doc_id"))
     component = F.coalesce("component_id", "id")
     first = F.min(F.struct(F.isnull("doc_id").alias("without"), "doc_id", "row"))["row"]

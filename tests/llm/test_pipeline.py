@@ -1,5 +1,7 @@
 """The corpus pipeline against plain Python, stage by stage."""
 
+import random
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -53,6 +55,7 @@ def test_stages_and_run(spark, tmp_path):
 def test_pipeline_of_odd_rows(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(1, text, None, None, None), (1, text, None, None, None), (2, None, None, None, None), (None, text + " x", "en", "s", 1)]
+    rows += [(None, text.replace("w", "v"), "en", "s", 1)]
     spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, None}
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/none/documents.parquet")
@@ -68,11 +71,22 @@ def test_near_dedup_counts_rows(spark):
     rows += [(9, third + " y", "fr", "i", 10), (None, third, None, None, 9)]
     found = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCUMENTS).coalesce(1), SF)
     assert found.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    # only similar rows with and without id stay both
-    assert sorted(r.n_chars for r in found.collect()) == [2, 6, 9, 10]
+    assert sorted(r.n_chars for r in found.collect()) == [2, 6, 10]
     assert corpus_pipeline.near_dedup(spark, found.limit(0), SF).collect() == []
 
 
+def test_near_dedup_links_rows_without_id(spark):
+    """Rows without id at a similarity near 0.9 to rows with ids: one row of each pair stays, the one with id."""
+    rng, rows = random.Random(11), []
+    for i in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        copy = [*base[:-6], *(f"x{i}_{j}" for j in range(6))]
+        rows += [(i, " ".join(base), "en", "s", i), (None, " ".join(copy), "en", "s", 100 + i)]
+    rng.shuffle(rows)
+    found = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCUMENTS), SF)
+    assert sorted(r.n_chars for r in found.collect()) == list(range(40))
+
+
 def test_pipeline_packs_repeated_rows_once(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(1, text, None, None, None)] * 3 + [(None, text.replace("w", "v"), "en", "s", 1)] * 3

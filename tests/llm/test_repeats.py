@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plain import documents, near_groups, words, without_repeats, write
 from rinseframe.llm import components, fingerprints, near, queries, substrings
@@ -72,6 +73,25 @@ def test_repeats_in_small_vocabularies(spark, tmp_path, monkeypatch, groups):
     check_repeats(queries.op3_substring_dedup(spark, str(tmp_path)), texts)
 
 
+def test_repeats_with_a_third_of_equal_rows(spark, tmp_path, monkeypatch):
+    """Equal rows, and rows without id with equal text, are dealt to groups of bounded size; one long text is a group."""
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 1 << 12)
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 1 << 12)
+    rng = random.Random(4)
+    copy = " ".join(f"c{i}" for i in range(40))
+    texts = [(i, " ".join(rng.choices("abcdefghijkl", k=60))) for i in range(10, 110)]
+    texts += [(500, " ".join(rng.choices("abcdefghijkl", k=20_000)))]
+    rows = texts + [(None, copy)] * 50 + [(200, copy)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    groups = substrings.dealt(frame, "text", "row", "part", 1 << 12).groupBy("part").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows"))
+    assert all(r.n < (1 << 12) + 200 or r.n >= 40_000 for r in groups.collect()) and groups.count() > 5
+    found = substrings.drop_repeats(frame).collect()
+    assert sorted((r.n_words, r.n_removed) for r in found if r.doc_id is None) == [(40, 40)] * 50
+    assert [(r.n_words, r.n_removed) for r in found if r.doc_id == 200] == [(40, 0)]
+    expected = without_repeats(texts)
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in found if r.doc_id not in (None, 200)} == {d: v[:2] for d, v in expected.items()}
+
+
 def test_repeats_of_odd_rows(spark):
     passage = " ".join(f"w{i}" for i in range(20))
     rows = [(None, passage, 1), (None, passage, 2), (5, passage, 3), (5, passage, 4), (7, passage + " tail", 5), (7, None, 6)]
@@ -126,6 +146,43 @@ def test_near_duplicates_at_the_limit(spark, tmp_path):
     check_near(queries.op9_tensored_minhash(spark, str(tmp_path)), texts)
 
 
+def template_texts(count, own, seed, words=150):
+    """Documents that have all but ``own`` words in common, at the same places, and near copies of a few."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(words - own)]
+    texts = []
+    for i in range(count):
+        text = common + [f"d{i}_{j}" for j in range(own)]
+        texts.append(text)
+        if i % 20 == 0:
+            texts.append([*text[:-1], f"e{i}"])
+    texts = [" ".join(t) for t in texts]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("crowded", [4, 10_000])
+def test_documents_of_one_template(spark, tmp_path, monkeypatch, crowded):
+    monkeypatch.setattr(near, "CROWDED", crowded)
+    texts = template_texts(80, 30, 1) + [(1000 + i, t) for i, t in near_texts(2)[:60]]
+    write(spark, documents(texts), tmp_path)
+    check_near(queries.op9_tensored_minhash(spark, str(tmp_path)), texts)
+
+
+def test_template_members_are_not_paired(spark):
+    """400 documents at a similarity of 0.65: the prefixes pair near copies alone."""
+    texts = template_texts(400, 31, 2)
+    docs = spark.createDataFrame(texts, "id long, text string")
+    sets = near.sets_of(docs, 3).select(F.col("id").alias("node"), "n", "shingles")
+    sketched = near.sketches(docs.select("id", "text", F.lit(0).cast("long").alias("h")), 3, 85)
+    bounds = sketched.select(F.col("id").alias("node"), "n", "odd")
+    crowd = sets.select("node", F.col("node").alias("root"))
+    under = near.prefixes(crowd, sets.select("node", "shingles"), 85).cache()
+    alone = spark.createDataFrame([], "node long, root long")
+    assert near.across_roots(under, alone, bounds, 85).distinct().count() == 20
+    assert near.centered(under, crowd).count() == 20
+
+
 def test_near_duplicates_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(None, text, 1), (4, text, 2), (4, text, 2), (2, text + " more", 3), (9, None, 4), (9, "other words here and there", 5)]
