@@ -44,7 +44,7 @@ from rinseframe.llm.frames import Scratch, all_equal, fresh, settings, with_rows
 MINIMA = 3
 MISSED = 2e-5
 ODD_WORDS = 16
-#: members of different components in a table, above which they meet by prefixes
+#: components in a table, above which its members meet by prefixes
 CROWDED = 64
 #: texts and sets meet ids in shuffled joins at every size, as they must on a large table
 ALIKE = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
@@ -298,7 +298,7 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: S
     owned = labelled(members, "node", more_roots, "root")
     split = owned.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     apart = scratch.stored(owned.join(split.select("key"), "key").join(bounds, "node"), "apart")
-    full = apart.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > CROWDED).select("key")
+    full = apart.groupBy("key").agg(F.count_distinct("root").alias("roots")).where(F.col("roots") > CROWDED).select("key")
     full = scratch.stored(full, "crowded")
     few = apart.join(full, "key", "left_anti")
     x, y = few.alias("x"), few.alias("y")
