@@ -120,11 +120,20 @@ def _close(a: str, b: str, k: int) -> Column:
     return _shorter(a, b) & (F.levenshtein(f"{a}.v", f"{b}.v", k) >= 0)
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that goes by a shuffle.
+
+    Rows made by ``explode`` and strings that compress well are many times what Spark expects
+    from the size of the files, so a broadcast it chooses by itself can exceed the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(s, h) tables as the two sides of a join on h."""
     return (
         left.select(F.col("s").alias("l"), F.col("h").alias("lh")),
-        right.select(F.col("s").alias("r"), F.col("h").alias("rh")),
+        _shuffled(right.select(F.col("s").alias("r"), F.col("h").alias("rh"))),
     )
 
 
@@ -189,7 +198,7 @@ def _kept_pieces(texts: DataFrame, k: int, fine: bool = False) -> DataFrame:
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "h", "i"))), 1, k + (TOGETHER if fine else 1))
     in_order = F.array_sort(F.transform("kept", lambda p: F.struct(p["i"].alias("i"), p["h"].alias("h"))))
     return (
-        own.join(shared, "h")
+        own.join(_shuffled(shared), "h")
         .groupBy("id", "len")
         .agg(rarest.alias("kept"))
         .select(
@@ -237,7 +246,7 @@ def _look_ups(texts: DataFrame, k: int, direct: int, fine: bool = False) -> Data
 def _meet(index: DataFrame, look_ups: DataFrame) -> DataFrame:
     """(i, j): strings whose key (h) is among the look-ups (h2) of a string that is not shorter."""
     same = (F.col("h") == F.col("h2")) & (F.col("i_len") <= F.col("j_len")) & (F.col("i") != F.col("j"))
-    return index.join(look_ups, same).select("i", "j").distinct()
+    return index.join(_shuffled(look_ups), same).select("i", "j").distinct()
 
 
 def _piece_candidates(kept: DataFrame, texts: DataFrame, k: int, direct: int) -> DataFrame:
@@ -287,7 +296,7 @@ def _three_piece_candidates(crowded: DataFrame, texts: DataFrame, grouped: DataF
         F.col("id").alias("i"), F.col("len").alias("i_len"), F.explode(_three_together(F.col("pieces"))).alias("h")
     )
     singles = kept.select(F.col("len").alias("length"), F.explode("keys").alias("h2")).distinct()
-    hits = _look_ups(texts, k, direct, fine=True).join(singles, ["length", "h2"], "left_semi")
+    hits = _look_ups(texts, k, direct, fine=True).join(_shuffled(singles), ["length", "h2"], "left_semi")
     entry = F.struct("piece", "shift", F.col("h2").alias("h"))
     found = hits.groupBy("j", "j_len", "length").agg(F.collect_set(entry).alias("pieces"))
     keys = _three_together(F.col("pieces"), F.col("j_len") - F.col("length"), k)
@@ -306,14 +315,14 @@ def _meet_across(index: DataFrame, look_ups: DataFrame, grouped: DataFrame) -> D
     def with_group(rows: DataFrame, own: str, group: str) -> DataFrame:
         known = grouped.select(F.col("id").alias(own), F.col("g").alias("known"))
         named = F.coalesce("known", F.xxhash64(own)).alias(group)
-        return cut_lineage(rows.join(known, own, "left").select(*rows.columns, named))
+        return cut_lineage(rows.join(_shuffled(known), own, "left").select(*rows.columns, named))
 
     index, look_ups = with_group(index, "i", "i_group"), with_group(look_ups, "j", "j_group")
     left, right = index.select("h", "i_group").distinct(), look_ups.select("h2", "j_group").distinct()
-    met = left.join(right, (F.col("h") == F.col("h2")) & (F.col("i_group") != F.col("j_group"))).select("h", "i_group", "j_group")
-    of_left = index.join(met, ["h", "i_group"])
+    met = left.join(_shuffled(right), (F.col("h") == F.col("h2")) & (F.col("i_group") != F.col("j_group"))).select("h", "i_group", "j_group")
+    of_left = index.join(_shuffled(met), ["h", "i_group"])
     same = (F.col("l.h") == F.col("r.h2")) & (F.col("l.j_group") == F.col("r.j_group")) & (F.col("l.i_len") <= F.col("r.j_len"))
-    return of_left.alias("l").join(look_ups.alias("r"), same).select("l.i", "r.j").distinct()
+    return of_left.alias("l").join(_shuffled(look_ups.alias("r")), same).select("l.i", "r.j").distinct()
 
 
 def _mixed_variant_count(length: int, k: int) -> int:
@@ -335,7 +344,7 @@ def _templates(crowded: DataFrame, k: int) -> DataFrame:
     marked = crowded.select("id", "v", "len", by_digits.alias("digits"), by_ends.alias("ends"))
     many = marked.groupBy("digits").agg(F.count(F.lit(1)).alias("alike"))
     g = F.when(F.col("alike") >= TEMPLATE_STRINGS, F.col("digits")).otherwise(F.col("ends")).alias("g")
-    marked = cut_lineage(marked.join(many, "digits").select("id", "v", "len", g))
+    marked = cut_lineage(marked.join(_shuffled(many), "digits").select("id", "v", "len", g))
     groups = marked.groupBy("g").agg(
         F.count(F.lit(1)).alias("strings"),
         F.min("v").alias("first"), F.max("v").alias("last"),
@@ -349,7 +358,7 @@ def _templates(crowded: DataFrame, k: int) -> DataFrame:
     most = max(length for length in range(64) if _mixed_variant_count(length, k) <= TEMPLATE_VARIANTS)
     groups = groups.where(F.col("longest") - F.col("start") - F.col("end") <= most)
     rest = F.substr("v", F.col("start") + 1, F.col("len") - F.col("start") - F.col("end"))
-    return marked.join(groups, "g").select("id", "g", "len", rest.alias("rest"))
+    return marked.join(_shuffled(groups), "g").select("id", "g", "len", rest.alias("rest"))
 
 
 def _mixed_variants(rest: Column, k: int) -> Column:
@@ -388,7 +397,7 @@ def _template_candidates(grouped: DataFrame, k: int) -> DataFrame:
     left, right = keyed.alias("l"), keyed.alias("r")
     within = (F.col("l.h") == F.col("r.h")) & (F.col("l.open") + F.col("l.deleted") + F.col("r.deleted") <= k)
     shorter = (F.col("l.len") < F.col("r.len")) | ((F.col("l.len") == F.col("r.len")) & (F.col("l.rest") < F.col("r.rest")))
-    return left.join(right, within & shorter).select(F.col("l.id").alias("i"), F.col("r.id").alias("j")).distinct()
+    return left.join(_shuffled(right), within & shorter).select(F.col("l.id").alias("i"), F.col("r.id").alias("j")).distinct()
 
 
 def _joined_pairs(candidates: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -396,8 +405,8 @@ def _joined_pairs(candidates: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     left = texts.select(_string().alias("l"), F.col("id").alias("i"))
     right = texts.select(_string().alias("r"), F.col("id").alias("j"))
     return (
-        candidates.join(left, "i")
-        .join(right, "j")
+        candidates.join(_shuffled(left), "i")
+        .join(_shuffled(right), "j")
         .where(_close("l", "r", k))
         .select("l", "r")
     )
@@ -501,7 +510,7 @@ def find_duplicates(
     )
     strings = strings.select("candidate", (F.col("n") * F.col("size")).alias("weight"), "dist_sum")
     links = both.select(F.col("a.v").alias("value"), F.col("b.v").alias("candidate"))
-    ranked = links.join(strings, "candidate").unionByName(
+    ranked = links.join(_shuffled(strings), "candidate").unionByName(
         strings.select(F.col("candidate").alias("value"), "candidate", "weight", "dist_sum")
     )
     best_first = Window.partitionBy("value").orderBy(F.desc("weight"), "dist_sum", F.desc("candidate"))

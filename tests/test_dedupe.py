@@ -175,6 +175,14 @@ def test_similarity_plan_has_only_equi_joins(spark, monkeypatch):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_exploded_keys_are_not_broadcast(spark):
+    """Their size cannot be told from that of the files, so small files must not bring a broadcast about."""
+    for text, k in (("Customer#%09d", 1), ("https://www.example.org/en/%06d?utm_source=feed", 2)):
+        df = spark.createDataFrame([(text % i,) for i in range(3000)], "s string")
+        plan = dedupe.similar_pairs(df, "s", k)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 # ---- replacement maps
 
 CHAIN = {"a": "b", "b": "c", "x": "x", "p": "q", "q": "p"}
