@@ -3,7 +3,7 @@
 Pairs within edit distance k are found by equi-joins on blocking keys that miss
 none of them; a bounded Levenshtein check on the joined rows then removes the
 false ones. There is no cross join and no cap on candidates. A pair is found
-through its shorter string (by text among equal lengths), in one of four ways:
+through its shorter string (by text among equal lengths), in one of five ways:
 
 * Pieces: cut the string into more than k pieces. k edits leave at least one of any
   k+1 pieces whole, and it occurs in the longer string shifted by at most k. Kept
@@ -12,6 +12,9 @@ through its shorter string (by text among equal lengths), in one of four ways:
   pieces are shared by many others (a template with a running number) are cut finer, so
   that their own part falls into pieces of its own; kept are the k+3 pieces that fewest
   share, and a key is three of them together, shifted by no more than k edits can.
+* Long texts: their pieces are cut alike for all lengths of a step, and a piece's key is the least hash
+  of the passages in it. So the longer string looks up a few keys a piece, whatever k is, and
+  not one for each difference of lengths and each shift.
 * Templates: strings whose pieces are crowded and that are equal but for their digits, or
   have both ends in common, are a group. What all of a group begin and end with is taken
   out, which changes no distance within it, and the rests meet by variants in which each edit
@@ -30,11 +33,15 @@ characters are paired directly: all pairs of them belong to the result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rinseframe.functions import windows
 from rinseframe.functions.columns import col, is_string, replace_columns, require
 from rinseframe.plans.lineage import cut_lineage, shuffle_partitions
 
@@ -194,8 +201,13 @@ def _kept_pieces(texts: DataFrame, k: int, fine: bool = False) -> DataFrame:
         .select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("i"))
         .select("id", "len", "i", _piece_hash(F.col("len"), F.col("i"), F.substr("v", start + 1, end - start)).alias("h"))
     )
+    return _rarest(own, k + (TOGETHER if fine else 1))
+
+
+def _rarest(own: DataFrame, wanted: int) -> DataFrame:
+    """(id, len, cost, keys) from (id, len, i, h): the least shared keys of each string, in order of pieces."""
     shared = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "h", "i"))), 1, k + (TOGETHER if fine else 1))
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "h", "i"))), 1, wanted)
     in_order = F.array_sort(F.transform("kept", lambda p: F.struct(p["i"].alias("i"), p["h"].alias("h"))))
     return (
         own.join(_shuffled(shared), "h")
@@ -255,6 +267,83 @@ def _piece_candidates(kept: DataFrame, texts: DataFrame, k: int, direct: int) ->
     return _meet(index, _look_ups(texts, k, direct).select("j", "j_len", "h2"))
 
 
+def _long_text_keys(texts: DataFrame, k: int, least: int, fine: bool = False) -> DataFrame:
+    """(id, len, own, asked, letters): keys of texts of at least ``least`` characters, those they look up, and counts of letters."""
+    most = None if fine else SPARE_PIECES * (k + 1)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            found = [(*windows.text_keys(v, k, least, most), windows.letter_counts(v)) for v in texts]
+            columns = []
+            for lists in zip(*found):
+                offsets = np.zeros(len(lists) + 1, dtype=np.int32)
+                np.cumsum([len(x) for x in lists], out=offsets[1:])
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).view(np.int64))))
+            if columns:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "len", "own", "asked", "letters"])
+
+    lists = ", ".join(f"{name} array<bigint>" for name in ("own", "asked", "letters"))
+    return texts.select("id", "len", "v").mapInArrow(keys, f"id binary, len int, {lists}")
+
+
+def _long_text_candidates(texts: DataFrame, k: int, least: int) -> DataFrame:
+    """(i, j): candidates among texts of at least ``least`` characters, by keys that neither length nor shift changes."""
+    keys = cut_lineage(_long_text_keys(texts, k, least))
+    kept = cut_lineage(_rarest(_own_keys(keys), k + 1))
+    crowded = F.col("cost") > CROWDED * (k + 1)
+    found = _meet(_key_index(kept.where(~crowded)), _asked_keys(keys))
+    many = kept.where(crowded)
+    if not many.isEmpty():
+        # what lies near a crowded text has one of its keys
+        near = _asked_by(keys, _key_index(many)).select(F.col("j").alias("id")).distinct()
+        near = texts.join(_shuffled(near), "id", "left_semi")
+        near = cut_lineage(near.repartition(shuffle_partitions(texts.sparkSession), F.xxhash64("id")))
+        many = cut_lineage(near.join(_shuffled(many.select("id")), "id", "left_semi"))
+        grouped = cut_lineage(_templates(many, k))
+        alike = _template_candidates(grouped, k)
+        found = found.unionByName(alike).unionByName(_fine_key_candidates(many, near, grouped, k, least)).distinct()
+    # each edit takes away one key at most, and one letter and adds one
+    left = keys.select(F.col("id").alias("i"), F.array_distinct("own").alias("own"), F.col("letters").alias("i_letters"))
+    right = keys.select(F.col("id").alias("j"), "asked", F.col("letters").alias("j_letters"))
+    enough = F.size(F.array_intersect("own", "asked")) >= F.size("own") - k
+
+    def more(a: str, b: str) -> Column:
+        over = F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0)))
+        return F.aggregate(over, F.lit(0).cast("bigint"), lambda total, x: total + x)
+
+    few_letters = (more("i_letters", "j_letters") <= k) & (more("j_letters", "i_letters") <= k)
+    return found.join(_shuffled(left), "i").join(_shuffled(right), "j").where(enough & few_letters).select("i", "j")
+
+
+def _key_index(kept: DataFrame) -> DataFrame:
+    return kept.select(F.col("id").alias("i"), F.col("len").alias("i_len"), F.explode("keys").alias("h"))
+
+
+def _own_keys(keys: DataFrame) -> DataFrame:
+    return keys.select("id", "len", F.posexplode("own").alias("i", "h"))
+
+
+def _asked_keys(keys: DataFrame) -> DataFrame:
+    return keys.select(F.col("id").alias("j"), F.col("len").alias("j_len"), F.explode("asked").alias("h2"))
+
+
+def _asked_by(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """The look-ups whose key is in the index."""
+    return _asked_keys(keys).join(_shuffled(index.select(F.col("h").alias("h2")).distinct()), "h2", "left_semi")
+
+
+def _fine_key_candidates(crowded: DataFrame, texts: DataFrame, grouped: DataFrame, k: int, least: int) -> DataFrame:
+    """Candidates for crowded long texts, by finer pieces, so that their own part falls into pieces of its own."""
+    keys = cut_lineage(_long_text_keys(texts, k, least, fine=True))
+    own = _own_keys(keys.join(_shuffled(crowded.select("id")), "id", "left_semi"))
+    index = _key_index(cut_lineage(_rarest(own, k + 1)))
+    look_ups = _asked_by(keys, index).select("j", "j_len", "h2")
+    if grouped.isEmpty():
+        return _meet(index, look_ups)
+    return _meet_across(index, look_ups, grouped)
+
+
 def _three_together(pieces: Column, gap: Column | None = None, k: int = 0) -> Column:
     """Keys of three (piece, shift, h) entries each, in order of pieces.
 
@@ -451,6 +540,18 @@ def _long_candidates(kept: DataFrame, texts: DataFrame, k: int, direct: int) ->
 def _found_pairs(values: DataFrame, k: int) -> DataFrame:
     limit = _variant_limit(k)
     texts = values.select("v", "n", "f", F.unhex(F.md5("v")).alias("id"), F.length("v").alias("len"))
+    # texts that are long for the distance have keys of their own; a pair is found as its shorter string is
+    least = windows.shortest(k, limit)
+    longest = texts.where(F.col("len") >= least)
+    if longest.isEmpty():
+        return _pairs_of_shorter(values, texts, k, limit)
+    apart = _joined_pairs(_long_text_candidates(longest, k, least), longest, k)
+    below = F.col("len") < least + k
+    shorter = _pairs_of_shorter(values.where(F.length("v") < least + k), texts.where(below), k, limit)
+    return apart.unionByName(shorter.where((F.length("l.v") < least) | (F.length("r.v") < least)))
+
+
+def _pairs_of_shorter(values: DataFrame, texts: DataFrame, k: int, limit: int) -> DataFrame:
     if limit < k:
         long_texts = texts.where(F.col("len") > k)
         kept = cut_lineage(_kept_pieces(long_texts, k))

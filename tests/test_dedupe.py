@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from rinseframe.functions import windows
 from rinseframe.operators import dedupe
 
 
@@ -183,6 +185,45 @@ def test_exploded_keys_are_not_broadcast(spark):
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+def long_texts(k, seed):
+    """Texts around the least length of long ones and around a step, each with edited copies."""
+    source, alphabet = random.Random(seed), "abcdefghij klmnopé"
+    least = windows.shortest(k, dedupe._variant_limit(k))
+    texts = []
+    for length in (least - 2, least, least + 1, least + windows.STEP - 1, least + windows.STEP + 1, 3 * least):
+        base = "".join(source.choices(alphabet, k=length))
+        texts += [base, *(mutated(source, base, edits, alphabet) for edits in (1, k // 2 + 1, k, k, k + 1))]
+        texts += [base[k:], "x" * k + base, "".join(source.choices("ab", k=3)) + base[:-3]]
+    return texts + ["ab" * least, "ab" * least + "a", "b" + "ab" * least, "Ü" * least, "Ü" * (least + k)]
+
+
+@pytest.mark.parametrize("k", [2, 8])
+def test_long_texts_lose_no_pair(spark, k):
+    texts = long_texts(k, k)
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    rows = [tuple(r) for r in dedupe.similar_pairs(df, "s", k).collect()]
+    assert sorted(rows) == sorted(brute_force(texts, k))
+
+
+def test_crowded_long_texts_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "CROWDED", 1)
+    texts = long_texts(2, 5)
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    rows = [tuple(r) for r in dedupe.similar_pairs(df, "s", 2).collect()]
+    assert sorted(rows) == sorted(brute_force(texts, 2))
+
+
+def test_long_texts_look_up_few_keys(spark):
+    """One or two for each piece, not one for each difference of lengths and shift."""
+    source, k = random.Random(4), 8
+    df = spark.createDataFrame([("".join(source.choices("abcdefgh ", k=2000)),) for _ in range(50)], "s string")
+    values = dedupe.distinct_values(df, "s")
+    texts = values.select("v", F.unhex(F.md5("v")).alias("id"), F.length("v").alias("len"))
+    keys = dedupe._long_text_keys(texts, k, windows.shortest(k)).select(F.size("asked").alias("n"))
+    assert keys.agg(F.max("n")).first()[0] <= 5 * dedupe.SPARE_PIECES * (k + 1)
+    assert dedupe._look_ups(texts, k, k).count() > 50 * 1500
+
+
 # ---- replacement maps
 
 CHAIN = {"a": "b", "b": "c", "x": "x", "p": "q", "q": "p"}
