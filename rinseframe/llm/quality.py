@@ -7,8 +7,8 @@ all of them, and adding up the sources gives a language's sketch, adding up the
 that of the corpus. Limits come from the tails of a group's own sketch: its 90th
 percentile plus ``reach`` times the distance from the median to it (below, the 10th percentile
 less ``reach`` times the distance down to it), so a group's usual documents stay, and
-whatever lies far outside its own group goes. A distance counts as one thousandth at least, which
-decides only where it is zero. A few symbols, repeated lines or repeated words (``few``) tell
+whatever lies far outside its own group goes. A distance counts as one bucket at least (one thousandth
+for small values), as the sketch tells no smaller one; that decides only where it is zero. A few symbols, repeated lines or repeated words (``few``) tell
 nothing about a document, as a short one exceeds any rate with them. Groups of fewer than
 ``least`` documents take the limits of their language, or else of the corpus.
 
@@ -104,12 +104,20 @@ def base_failed(rules: Rules) -> Column:
     return few | (100 * F.col("n_repeat_words") > rules.most_repeats_percent * F.col("n_words"))
 
 
+def bits_dropped(value: Column) -> Column:
+    return F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+
+
 def bucket(value: Column) -> Column:
     """The largest number not above the value that has seven significant binary digits."""
-    excess = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+    excess = bits_dropped(value)
     return F.call_function("shiftleft", F.call_function("shiftright", value, excess), excess)
 
 
+def bucket_width(value: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits_dropped(value))
+
+
 def sketches(measured: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     """(lang, source, measure, bucket, n): the mergeable sketches of all groups."""
     names = ", ".join(f"'{m}', {m}" for m in MEASURES)
@@ -143,10 +151,10 @@ def fences(sketch: DataFrame, by: list[str], rules: Rules) -> DataFrame:
     limits = []
     for m in MEASURES:
         here = F.col("measure") == m
-        above = F.col("high") + rules.reach * F.greatest(F.col("high") - F.col("middle"), F.lit(1))
+        above = F.col("high") + rules.reach * F.greatest(F.col("high") - F.col("middle"), bucket_width(F.col("middle")))
         limits.append(F.max(F.when(here, above)).alias(f"{m}_most"))
         if m in TWO_SIDED:
-            below = F.col("low") - rules.reach * F.greatest(F.col("middle") - F.col("low"), F.lit(1))
+            below = F.col("low") - rules.reach * F.greatest(F.col("middle") - F.col("low"), bucket_width(F.col("low")))
             limits.append(F.max(F.when(here, below)).alias(f"{m}_least"))
     return tails.groupBy(*by).agg(F.max("total").alias("documents"), *limits)
 
