@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from rinseframe.functions import windows
 from rinseframe.functions.columns import col, is_string, replace_columns, require
-from rinseframe.plans.lineage import cut_lineage, shuffle_partitions
+from rinseframe.plans.lineage import cut_lineage, remove_stored, shuffle_partitions, stored
 
 # Deletion variants one string may have, and the longest string they are built for.
 MAX_VARIANTS = 5000
@@ -64,6 +64,12 @@ TEMPLATE_STRINGS = 10
 TEMPLATE_ENDS = 16
 TEMPLATE_VARIANTS = 2000
 OPEN_PLACE = "\0"
+# Bits for each key in the bitmap that tells look-ups without a partner, all of them at most, and words of a block.
+# Up to ``FEW_KEYS`` keys are sent as they are.
+KEY_BITS = 16
+FEW_KEYS = 10_000
+BITMAP_BITS = 1 << 28
+BLOCK_WORDS = 512
 
 
 def _variant_count(length: int, k: int) -> int:
@@ -255,8 +261,31 @@ def _look_ups(texts: DataFrame, k: int, direct: int, fine: bool = False) -> Data
     )
 
 
+def _among(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be one of the keys (h): all of those that are, and about one in ``KEY_BITS`` of the others.
+
+    Every task gets a bitmap of the keys' hashes, whose size is bounded; so look-ups that meet nothing are not shuffled.
+    """
+    count = keys.count()
+    if count <= FEW_KEYS:
+        return rows.join(F.broadcast(keys.select(F.col("h").alias("known"))), key == F.col("known"), "left_semi")
+    bits = min(BITMAP_BITS, max(64 * BLOCK_WORDS, 1 << (KEY_BITS * count).bit_length()))
+    at = keys.select(F.pmod("h", F.lit(bits)).alias("at"))
+    set_bits = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bits"))
+    empty = rows.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    words = set_bits.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"])
+    blocks = words.groupBy(F.floor(F.col("word") / BLOCK_WORDS).alias("block")).agg(in_order.alias("words"))
+    placed = rows.withColumn("at", F.pmod(key, F.lit(bits)))
+    word = F.get("words", F.shiftright("at", 6).bitwiseAND(BLOCK_WORDS - 1).cast("int"))
+    found = F.call_function("shiftright", word, F.col("at").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    same = (F.floor(F.col("at") / (64 * BLOCK_WORDS)) == F.col("block")) & found
+    return placed.join(F.broadcast(blocks), same).select(*rows.columns)
+
+
 def _meet(index: DataFrame, look_ups: DataFrame) -> DataFrame:
     """(i, j): strings whose key (h) is among the look-ups (h2) of a string that is not shorter."""
+    look_ups = _among(look_ups, F.col("h2"), index)
     same = (F.col("h") == F.col("h2")) & (F.col("i_len") <= F.col("j_len")) & (F.col("i") != F.col("j"))
     return index.join(_shuffled(look_ups), same).select("i", "j").distinct()
 
@@ -284,25 +313,29 @@ def _long_text_keys(texts: DataFrame, k: int, least: int, fine: bool = False) ->
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "len", "own", "asked", "letters"])
 
     lists = ", ".join(f"{name} array<bigint>" for name in ("own", "asked", "letters"))
-    return texts.select("id", "len", "v").mapInArrow(keys, f"id binary, len int, {lists}")
+    return texts.select("id", "len", "v").mapInArrow(keys, f"id {texts.schema['id'].dataType.simpleString()}, len int, {lists}")
 
 
 def _long_text_candidates(texts: DataFrame, k: int, least: int) -> DataFrame:
     """(i, j): candidates among texts of at least ``least`` characters, by keys that neither length nor shift changes."""
-    keys = cut_lineage(_long_text_keys(texts, k, least))
-    kept = cut_lineage(_rarest(_own_keys(keys), k + 1))
+    keys = stored(_long_text_keys(texts, k, least))
+    kept = stored(_rarest(_own_keys(keys), k + 1))
     crowded = F.col("cost") > CROWDED * (k + 1)
     found = _meet(_key_index(kept.where(~crowded)), _asked_keys(keys))
     many = kept.where(crowded)
     if not many.isEmpty():
         # what lies near a crowded text has one of its keys
         near = _asked_by(keys, _key_index(many)).select(F.col("j").alias("id")).distinct()
-        near = texts.join(_shuffled(near), "id", "left_semi")
-        near = cut_lineage(near.repartition(shuffle_partitions(texts.sparkSession), F.xxhash64("id")))
-        many = cut_lineage(near.join(_shuffled(many.select("id")), "id", "left_semi"))
-        grouped = cut_lineage(_templates(many, k))
-        alike = _template_candidates(grouped, k)
-        found = found.unionByName(alike).unionByName(_fine_key_candidates(many, near, grouped, k, least)).distinct()
+        near = _of_ids(texts, stored(near))
+        near = stored(near.repartition(shuffle_partitions(texts.sparkSession), F.xxhash64("id")))
+        many = stored(near.join(_shuffled(many.select("id")), "id", "left_semi"))
+        grouped = stored(_templates(many, k))
+        alike = stored(_template_candidates(grouped, k))
+        fine = stored(_fine_key_candidates(many, near, grouped, k, least))
+        found = found.unionByName(alike).unionByName(fine).distinct()
+        remove_stored(near, many, grouped)
+    found = stored(found)
+    keys = _of_ids(keys, found.select(F.explode(F.array("i", "j")).alias("id")).distinct())
     # each edit takes away one key at most, and one letter and adds one
     left = keys.select(F.col("id").alias("i"), F.array_distinct("own").alias("own"), F.col("letters").alias("i_letters"))
     right = keys.select(F.col("id").alias("j"), "asked", F.col("letters").alias("j_letters"))
@@ -316,32 +349,38 @@ def _long_text_candidates(texts: DataFrame, k: int, least: int) -> DataFrame:
     return found.join(_shuffled(left), "i").join(_shuffled(right), "j").where(enough & few_letters).select("i", "j")
 
 
-def _key_index(kept: DataFrame) -> DataFrame:
-    return kept.select(F.col("id").alias("i"), F.col("len").alias("i_len"), F.explode("keys").alias("h"))
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of these distinct ids; others are not shuffled."""
+    return _among(rows, F.xxhash64("id"), ids.select(F.xxhash64("id").alias("h"))).join(_shuffled(ids), "id", "left_semi")
+
+
+def _key_index(kept: DataFrame, *more: str) -> DataFrame:
+    return kept.select(F.col("id").alias("i"), F.col("len").alias("i_len"), *more, F.explode("keys").alias("h"))
 
 
 def _own_keys(keys: DataFrame) -> DataFrame:
     return keys.select("id", "len", F.posexplode("own").alias("i", "h"))
 
 
-def _asked_keys(keys: DataFrame) -> DataFrame:
-    return keys.select(F.col("id").alias("j"), F.col("len").alias("j_len"), F.explode("asked").alias("h2"))
+def _asked_keys(keys: DataFrame, *more: str) -> DataFrame:
+    return keys.select(F.col("id").alias("j"), F.col("len").alias("j_len"), *more, F.explode("asked").alias("h2"))
 
 
 def _asked_by(keys: DataFrame, index: DataFrame) -> DataFrame:
     """The look-ups whose key is in the index."""
-    return _asked_keys(keys).join(_shuffled(index.select(F.col("h").alias("h2")).distinct()), "h2", "left_semi")
+    asked = _among(_asked_keys(keys), F.col("h2"), index)
+    return asked.join(_shuffled(index.select(F.col("h").alias("h2")).distinct()), "h2", "left_semi")
 
 
 def _fine_key_candidates(crowded: DataFrame, texts: DataFrame, grouped: DataFrame, k: int, least: int) -> DataFrame:
     """Candidates for crowded long texts, by finer pieces, so that their own part falls into pieces of its own."""
-    keys = cut_lineage(_long_text_keys(texts, k, least, fine=True))
+    keys = stored(_long_text_keys(texts, k, least, fine=True))
     own = _own_keys(keys.join(_shuffled(crowded.select("id")), "id", "left_semi"))
-    index = _key_index(cut_lineage(_rarest(own, k + 1)))
-    look_ups = _asked_by(keys, index).select("j", "j_len", "h2")
+    kept = stored(_rarest(own, k + 1))
     if grouped.isEmpty():
-        return _meet(index, look_ups)
-    return _meet_across(index, look_ups, grouped)
+        return _meet(_key_index(kept), _asked_keys(keys))
+    index = _key_index(_with_group(kept, "id", "i_group", grouped), "i_group")
+    return _meet_across(index, _asked_keys(_with_group(keys, "id", "j_group", grouped), "j_group"))
 
 
 def _three_together(pieces: Column, gap: Column | None = None, k: int = 0) -> Column:
@@ -379,34 +418,38 @@ def _three_piece_candidates(crowded: DataFrame, texts: DataFrame, grouped: DataF
     Look-ups are put together only where each piece is some crowded string's kept one.
     Two strings of the same template group do not meet.
     """
-    kept = cut_lineage(_kept_pieces(crowded, k, fine=True))
+    kept = stored(_kept_pieces(crowded, k, fine=True))
     listed = F.transform("keys", lambda h, at: F.struct(at.alias("piece"), F.lit(0).alias("shift"), h.alias("h")))
-    index = kept.select("id", "len", listed.alias("pieces")).select(
-        F.col("id").alias("i"), F.col("len").alias("i_len"), F.explode(_three_together(F.col("pieces"))).alias("h")
-    )
-    singles = kept.select(F.col("len").alias("length"), F.explode("keys").alias("h2")).distinct()
-    hits = _look_ups(texts, k, direct, fine=True).join(_shuffled(singles), ["length", "h2"], "left_semi")
+    together = _three_together(F.col("pieces"))
+
+    def index_of(kept: DataFrame, *more: str) -> DataFrame:
+        pieces = kept.select("id", "len", *more, listed.alias("pieces"))
+        return pieces.select(F.col("id").alias("i"), F.col("len").alias("i_len"), *more, F.explode(together).alias("h"))
+
+    # dealt by id once, so that what a string looks up is put together where it was made
+    dealt = texts.select("id", "v", "len").repartition(shuffle_partitions(texts.sparkSession), "id")
+    singles = stored(kept.select(F.explode("keys").alias("h")).distinct())
+    hits = _among(_look_ups(dealt, k, direct, fine=True), F.col("h2"), singles)
     entry = F.struct("piece", "shift", F.col("h2").alias("h"))
     found = hits.groupBy("j", "j_len", "length").agg(F.collect_set(entry).alias("pieces"))
     keys = _three_together(F.col("pieces"), F.col("j_len") - F.col("length"), k)
-    look_ups = found.select("j", "j_len", F.explode(keys).alias("h2"))
     if grouped.isEmpty():
-        return _meet(index, look_ups)
-    return _meet_across(index, look_ups, grouped)
-
+        return _meet(index_of(kept), found.select("j", "j_len", F.explode(keys).alias("h2")))
+    named = _with_group(found, "j", "j_group", grouped).select("j", "j_len", "j_group", F.explode(keys).alias("h2"))
+    return _meet_across(index_of(_with_group(kept, "id", "i_group", grouped), "i_group"), named)
 
-def _meet_across(index: DataFrame, look_ups: DataFrame, grouped: DataFrame) -> DataFrame:
-    """``_meet`` for strings of different groups: groups meet under a key first, then their strings.
 
-    A string without a group is one of its own.
-    """
+def _with_group(rows: DataFrame, own: str, group: str, grouped: DataFrame) -> DataFrame:
+    """The rows with the group of their string; a string without a group is one of its own."""
+    known = grouped.select(F.col("id").alias(own), F.col("g").alias("known"))
+    named = F.coalesce("known", F.xxhash64(own)).alias(group)
+    return rows.join(_shuffled(known), own, "left").select(*rows.columns, named)
 
-    def with_group(rows: DataFrame, own: str, group: str) -> DataFrame:
-        known = grouped.select(F.col("id").alias(own), F.col("g").alias("known"))
-        named = F.coalesce("known", F.xxhash64(own)).alias(group)
-        return cut_lineage(rows.join(_shuffled(known), own, "left").select(*rows.columns, named))
 
-    index, look_ups = with_group(index, "i", "i_group"), with_group(look_ups, "j", "j_group")
+def _meet_across(index: DataFrame, look_ups: DataFrame) -> DataFrame:
+    """``_meet`` for strings of different groups: groups meet under a key first, then their strings."""
+    index = stored(index)
+    look_ups = stored(_among(look_ups, F.col("h2"), index))
     left, right = index.select("h", "i_group").distinct(), look_ups.select("h2", "j_group").distinct()
     met = left.join(_shuffled(right), (F.col("h") == F.col("h2")) & (F.col("i_group") != F.col("j_group"))).select("h", "i_group", "j_group")
     of_left = index.join(_shuffled(met), ["h", "i_group"])
@@ -433,7 +476,7 @@ def _templates(crowded: DataFrame, k: int) -> DataFrame:
     marked = crowded.select("id", "v", "len", by_digits.alias("digits"), by_ends.alias("ends"))
     many = marked.groupBy("digits").agg(F.count(F.lit(1)).alias("alike"))
     g = F.when(F.col("alike") >= TEMPLATE_STRINGS, F.col("digits")).otherwise(F.col("ends")).alias("g")
-    marked = cut_lineage(marked.join(_shuffled(many), "digits").select("id", "v", "len", g))
+    marked = stored(marked.join(_shuffled(many), "digits").select("id", "v", "len", g))
     groups = marked.groupBy("g").agg(
         F.count(F.lit(1)).alias("strings"),
         F.min("v").alias("first"), F.max("v").alias("last"),
@@ -478,19 +521,24 @@ def _mixed_variants(rest: Column, k: int) -> Column:
 
 def _template_candidates(grouped: DataFrame, k: int) -> DataFrame:
     """(i, j): strings of one group whose rests are within the distance, the shorter or smaller first."""
-    listed = grouped.select("id", "g", "len", "rest", F.explode(_mixed_variants(F.col("rest"), k)).alias("x"))
+    # few strings have many variants, so they are spread out
+    spread = grouped.select("id", "g", "rest").repartition(shuffle_partitions(grouped.sparkSession), F.xxhash64("id"))
+    listed = spread.select("id", "g", "rest", F.explode(_mixed_variants(F.col("rest"), k)).alias("x"))
     keyed = listed.select(
-        "id", "len", "rest", F.col("x.open").alias("open"), F.col("x.deleted").alias("deleted"),
+        "id", "rest", F.col("x.open").alias("open"), F.col("x.deleted").alias("deleted"),
         F.xxhash64("g", "x.open", "x.text").alias("h"),
     )
     left, right = keyed.alias("l"), keyed.alias("r")
     within = (F.col("l.h") == F.col("r.h")) & (F.col("l.open") + F.col("l.deleted") + F.col("r.deleted") <= k)
-    shorter = (F.col("l.len") < F.col("r.len")) | ((F.col("l.len") == F.col("r.len")) & (F.col("l.rest") < F.col("r.rest")))
+    # rests of a group differ in length as their strings do
+    left_length, right_length = F.length("l.rest"), F.length("r.rest")
+    shorter = (left_length < right_length) | ((left_length == right_length) & (F.col("l.rest") < F.col("r.rest")))
     return left.join(_shuffled(right), within & shorter).select(F.col("l.id").alias("i"), F.col("r.id").alias("j")).distinct()
 
 
 def _joined_pairs(candidates: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """The candidates that are within the distance, as strings."""
+    candidates = stored(candidates)
     left = texts.select(_string().alias("l"), F.col("id").alias("i"))
     right = texts.select(_string().alias("r"), F.col("id").alias("j"))
     return (
@@ -507,9 +555,7 @@ def _pairs(df: DataFrame, column: str, k: int, order_col: str | None) -> DataFra
     if not is_string(df, column) or k < 1:
         found = values.limit(0).select(_string().alias("l"), _string().alias("r"))
     else:
-        # read by several branches; few strings can mean much work, so they are spread out
-        # (by a hash of their own: a partitioning like that of the grouping would be merged into it)
-        values = cut_lineage(values.repartition(shuffle_partitions(df.sparkSession), F.xxhash64("v")))
+        values = _spread(values)
         found = _found_pairs(values, k)
     swap = (F.col("r.f") < F.col("l.f")) | ((F.col("r.f") == F.col("l.f")) & (F.col("r.v") < F.col("l.v")))
     return found.select(
@@ -518,6 +564,16 @@ def _pairs(df: DataFrame, column: str, k: int, order_col: str | None) -> DataFra
     ).withColumn("distance", F.levenshtein("a.v", "b.v", max(k, 0)))
 
 
+def _spread(values: DataFrame) -> DataFrame:
+    """The strings stored with an id, for several branches to read.
+
+    Few strings can mean much work, so they are spread out (by a hash of their own: a
+    partitioning like that of the grouping would be merged into it).
+    """
+    spread = values.repartition(shuffle_partitions(values.sparkSession), F.xxhash64("v"))
+    return stored(spread.withColumn("id", F.monotonically_increasing_id()))
+
+
 def _look_up_count(k: int) -> int:
     """Look-ups a string may have for coarse pieces."""
     return SPARE_PIECES * (k + 1) ** 3
@@ -527,19 +583,19 @@ def _long_candidates(kept: DataFrame, texts: DataFrame, k: int, direct: int) ->
     """Candidates by single pieces, or by templates and three pieces together where single ones are too common."""
     enough = F.col("len") >= FINE_PIECE * (k + TOGETHER)
     crowded = (F.col("cost") > CROWDED * (k + 1)) & enough
-    few = _piece_candidates(kept.where(~crowded), texts, k, direct)
+    few = stored(_piece_candidates(kept.where(~crowded), texts, k, direct))
     many = kept.where(crowded).select("id")
     if many.isEmpty():
         return few
-    many = cut_lineage(texts.join(many, "id", "left_semi"))
-    grouped = cut_lineage(_templates(many, k))
-    alike = _template_candidates(grouped, k)
+    many = stored(texts.join(many, "id", "left_semi"))
+    grouped = stored(_templates(many, k))
+    alike = stored(_template_candidates(grouped, k))
     return few.unionByName(alike).unionByName(_three_piece_candidates(many, texts, grouped, k, direct)).distinct()
 
 
 def _found_pairs(values: DataFrame, k: int) -> DataFrame:
     limit = _variant_limit(k)
-    texts = values.select("v", "n", "f", F.unhex(F.md5("v")).alias("id"), F.length("v").alias("len"))
+    texts = values.select("v", "n", "f", "id", F.length("v").alias("len"))
     # texts that are long for the distance have keys of their own; a pair is found as its shorter string is
     least = windows.shortest(k, limit)
     longest = texts.where(F.col("len") >= least)
@@ -554,7 +610,7 @@ def _found_pairs(values: DataFrame, k: int) -> DataFrame:
 def _pairs_of_shorter(values: DataFrame, texts: DataFrame, k: int, limit: int) -> DataFrame:
     if limit < k:
         long_texts = texts.where(F.col("len") > k)
-        kept = cut_lineage(_kept_pieces(long_texts, k))
+        kept = stored(_kept_pieces(long_texts, k))
         return _tiny_pairs(values, k).unionByName(_joined_pairs(_long_candidates(kept, long_texts, k, k), long_texts, k))
     # strings by length, all that variants cannot serve as one: at most ``limit`` + k + 2 rows
     counted = texts.groupBy(F.least("len", F.lit(limit + k + 1)).alias("len")).agg(F.count(F.lit(1)).alias("n"))
@@ -572,7 +628,7 @@ def _pairs_of_shorter(values: DataFrame, texts: DataFrame, k: int, limit: int) -
         # a string of moderately many variants is better served by them than by three pieces together
         served = (count <= _look_up_count(k)) | (F.col("len") < FINE_PIECE * (k + TOGETHER))
         dear = (F.col("len") <= limit) & (F.col("cost") > count) & served
-        kept = cut_lineage(_kept_pieces(long_texts, k).withColumn("by_variants", F.coalesce(dear, F.lit(False))))
+        kept = stored(_kept_pieces(long_texts, k).withColumn("by_variants", F.coalesce(dear, F.lit(False))))
         found = _joined_pairs(_long_candidates(kept.where("not by_variants"), long_texts, k, direct), long_texts, k)
         varied = kept.where("by_variants").select("id", "len")
         lengths |= {row["len"] for row in varied.select("len").distinct().collect()}

@@ -1,6 +1,8 @@
 """Near-duplicate search against brute force, and replacement maps."""
 
+import gc
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,6 +226,41 @@ def test_long_texts_look_up_few_keys(spark):
     assert dedupe._look_ups(texts, k, k).count() > 50 * 1500
 
 
+def test_bitmap_keeps_known_keys(spark, monkeypatch):
+    """Look-ups that meet no key are dropped before they are shuffled, none that does."""
+    monkeypatch.setattr(dedupe, "FEW_KEYS", 0)
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(100_000).select("id", F.xxhash64("id").alias("h2"))
+    left = dedupe._among(rows, F.col("h2"), keys)
+    assert left.where("id < 5000").count() == 5000
+    assert left.count() < 5000 + 95_000 / 8
+
+
+def test_pairs_through_bitmaps_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "FEW_KEYS", 0)
+    monkeypatch.setattr(dedupe, "FEW_VARIANTS", 0)
+    strings = [f"https://{host}.example.org/en/{i}{end}" for i in range(100, 400, 7) for host in ("m", "www", "wwv") for end in ("", "/")]
+    assert found_pairs(spark, strings, 2) == brute_force(strings, 2)
+
+
+def shuffled_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_steps_free_their_shuffles(spark):
+    """Before the result is read, no step's keys are left on disk, which are many times the strings."""
+    df = spark.createDataFrame([(f"https://www.example.org/{i % 40:02d}/{i * 7919 % 100000}/a",) for i in range(2000)], "s string")
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = shuffled_bytes(spark)
+    pairs = dedupe.similar_pairs(df, "s", 2)
+    time.sleep(2)
+    assert shuffled_bytes(spark) - before < 300_000
+    assert pairs.count() > 0
+
+
 # ---- replacement maps
 
 CHAIN = {"a": "b", "b": "c", "x": "x", "p": "q", "q": "p"}
