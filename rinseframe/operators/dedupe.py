@@ -70,6 +70,8 @@ KEY_BITS = 16
 FEW_KEYS = 10_000
 BITMAP_BITS = 1 << 28
 BLOCK_WORDS = 512
+# Characters per partition below which strings are dealt out anew.
+SPREAD_CHARACTERS = 1_000_000
 
 
 def _variant_count(length: int, k: int) -> int:
@@ -539,6 +541,9 @@ def _template_candidates(grouped: DataFrame, k: int) -> DataFrame:
 def _joined_pairs(candidates: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """The candidates that are within the distance, as strings."""
     candidates = stored(candidates)
+    ids = stored(candidates.select(F.explode(F.array("i", "j")).alias("id")).distinct())
+    if 2 * ids.count() < texts.count():
+        texts = stored(_of_ids(texts, ids))
     left = texts.select(_string().alias("l"), F.col("id").alias("i"))
     right = texts.select(_string().alias("r"), F.col("id").alias("j"))
     return (
@@ -567,11 +572,18 @@ def _pairs(df: DataFrame, column: str, k: int, order_col: str | None) -> DataFra
 def _spread(values: DataFrame) -> DataFrame:
     """The strings stored with an id, for several branches to read.
 
-    Few strings can mean much work, so they are spread out (by a hash of their own: a
-    partitioning like that of the grouping would be merged into it).
+    Few short strings can mean much work, so they are spread out (by a hash of their own: a
+    partitioning like that of the grouping would be merged into it). Large texts are left as
+    the grouping dealt them, which saves a second shuffle of them.
     """
-    spread = values.repartition(shuffle_partitions(values.sparkSession), F.xxhash64("v"))
-    return stored(spread.withColumn("id", F.monotonically_increasing_id()))
+    values = stored(values.withColumn("id", F.monotonically_increasing_id()))
+    partitions = shuffle_partitions(values.sparkSession)
+    characters = values.agg(F.sum(F.length("v"))).first()[0] or 0
+    if characters >= SPREAD_CHARACTERS * partitions:
+        return values
+    spread = stored(values.repartition(partitions, F.xxhash64("v")))
+    remove_stored(values)
+    return spread
 
 
 def _look_up_count(k: int) -> int:

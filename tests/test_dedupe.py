@@ -261,6 +261,17 @@ def test_steps_free_their_shuffles(spark):
     assert pairs.count() > 0
 
 
+def test_texts_without_candidates_are_not_shuffled(spark):
+    """Texts are read again for candidates alone: the last joins shuffle a table that holds few rows."""
+    source = random.Random(9)
+    texts = ["".join(source.choices("abcdefgh ", k=600)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in [*texts, texts[0] + "x"]], "s string")
+    pairs = dedupe.similar_pairs(df, "s", 8)
+    rows = [spark.read.parquet(path) for path in {path.rsplit("/", 1)[0] for path in pairs.inputFiles()}]
+    assert 2 in [table.where("length(v) > 500").count() for table in rows if "v" in table.columns]
+    assert pairs.count() == 1
+
+
 # ---- replacement maps
 
 CHAIN = {"a": "b", "b": "c", "x": "x", "p": "q", "q": "p"}
