@@ -33,6 +33,7 @@ characters are paired directly: all pairs of them belong to the result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from math import comb
 
@@ -70,6 +71,9 @@ KEY_BITS = 16
 FEW_KEYS = 10_000
 BITMAP_BITS = 1 << 28
 BLOCK_WORDS = 512
+# Look-ups of a string that are shuffled in one pass, on average, and the least number of all.
+PASS_LOOK_UPS = 50
+PASS_ROWS = 1_000_000
 # Characters per partition below which strings are dealt out anew.
 SPREAD_CHARACTERS = 1_000_000
 
@@ -382,7 +386,7 @@ def _fine_key_candidates(crowded: DataFrame, texts: DataFrame, grouped: DataFram
     if grouped.isEmpty():
         return _meet(_key_index(kept), _asked_keys(keys))
     index = _key_index(_with_group(kept, "id", "i_group", grouped), "i_group")
-    return _meet_across(index, _asked_keys(_with_group(keys, "id", "j_group", grouped), "j_group"))
+    return _meet_across(index, _asked_keys(_with_group(keys, "id", "j_group", grouped), "j_group"), keys.count())
 
 
 def _three_together(pieces: Column, gap: Column | None = None, k: int = 0) -> Column:
@@ -438,7 +442,7 @@ def _three_piece_candidates(crowded: DataFrame, texts: DataFrame, grouped: DataF
     if grouped.isEmpty():
         return _meet(index_of(kept), found.select("j", "j_len", F.explode(keys).alias("h2")))
     named = _with_group(found, "j", "j_group", grouped).select("j", "j_len", "j_group", F.explode(keys).alias("h2"))
-    return _meet_across(index_of(_with_group(kept, "id", "i_group", grouped), "i_group"), named)
+    return _meet_across(index_of(_with_group(kept, "id", "i_group", grouped), "i_group"), named, texts.count())
 
 
 def _with_group(rows: DataFrame, own: str, group: str, grouped: DataFrame) -> DataFrame:
@@ -448,10 +452,22 @@ def _with_group(rows: DataFrame, own: str, group: str, grouped: DataFrame) -> Da
     return rows.join(_shuffled(known), own, "left").select(*rows.columns, named)
 
 
-def _meet_across(index: DataFrame, look_ups: DataFrame) -> DataFrame:
-    """``_meet`` for strings of different groups: groups meet under a key first, then their strings."""
+def _meet_across(index: DataFrame, look_ups: DataFrame, strings: int) -> DataFrame:
+    """``_meet`` for strings of different groups: groups meet under a key first, then their strings.
+
+    Keys are dealt over passes, so that what is shuffled at once grows with the ``strings`` alone. A
+    pair can come from several passes.
+    """
     index = stored(index)
     look_ups = stored(_among(look_ups, F.col("h2"), index))
+    passes = max(1, -(-look_ups.count() // max(PASS_ROWS, PASS_LOOK_UPS * strings)))
+    found = [stored(_met_across(index, look_ups, passes, part)) for part in range(passes)]
+    remove_stored(index, look_ups)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _met_across(index: DataFrame, look_ups: DataFrame, passes: int, part: int) -> DataFrame:
+    index, look_ups = index.where(F.pmod("h", F.lit(passes)) == part), look_ups.where(F.pmod("h2", F.lit(passes)) == part)
     left, right = index.select("h", "i_group").distinct(), look_ups.select("h2", "j_group").distinct()
     met = left.join(_shuffled(right), (F.col("h") == F.col("h2")) & (F.col("i_group") != F.col("j_group"))).select("h", "i_group", "j_group")
     of_left = index.join(_shuffled(met), ["h", "i_group"])

@@ -238,6 +238,8 @@ def test_bitmap_keeps_known_keys(spark, monkeypatch):
 
 def test_pairs_through_bitmaps_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(dedupe, "FEW_KEYS", 0)
+    monkeypatch.setattr(dedupe, "PASS_ROWS", 1)
+    monkeypatch.setattr(dedupe, "PASS_LOOK_UPS", 20)
     monkeypatch.setattr(dedupe, "FEW_VARIANTS", 0)
     strings = [f"https://{host}.example.org/en/{i}{end}" for i in range(100, 400, 7) for host in ("m", "www", "wwv") for end in ("", "/")]
     assert found_pairs(spark, strings, 2) == brute_force(strings, 2)
